@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import langid, mixing, pii, quality, secrets
+from tidewave.llm import decontamination, langid, mixing, ngram_join, pii, quality, secrets, substring_dedup
 from tidewave.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("set_class")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", substring_dedup.digest(kept["text"]).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,6 +44,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_ngram_join": op2_ngram_join,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
@@ -38,5 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
 }
 ORACLES: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE,
+    "op2_ngram_join": ngram_join.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_mixing": mixing.oracle(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import decontamination, langid, mixing, ngram_join, pii, quality, secrets, substring_dedup
+from tidewave.llm import decontamination, langid, lm_score, mixing, ngram_join, pii, quality, secrets, substring_dedup
 from tidewave.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).drop("set_class")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", substring_dedup.digest(kept["text"]).alias("kept_sha256"))
@@ -46,6 +50,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
+    "op3_lm_score": op3_lm_score,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_ngram_join": ngram_join.ORACLE,
+    "op3_lm_score": lm_score.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_mixing": mixing.oracle(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import decontamination, langid, lm_score, mixing, ngram_join, pii, quality, secrets, substring_dedup
+from tidewave.llm import decontamination, embedding_dedup, langid, lm_score, mixing, ngram_join, pii, quality, secrets, substring_dedup
 from tidewave.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_langid": op10_langid,
 }
 ORACLES: dict[str, str] = {

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +84,15 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, seed: int = 7)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text) with lang_pred and score, the posterior of the chosen language."""
+    """``docs`` with all its columns, and ``__lang_pred`` and ``__lang_score``, the posterior of the chosen language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = docs.select("*", F.lit("").alias("__lang_pred"), F.lit(0.0).alias("__lang_score")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         matrix = m.log_prob.astype(np.float32)
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = batch["text"].to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             rows, parts, size = [], [], 0
 
@@ -114,12 +116,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     if size >= BATCH_CHARS:
                         flush()
             flush()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": score})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, "__lang_pred", "__lang_score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, kinds)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on ``docs`` and predict every whole text of ``docs``."""
-    out = predict(docs, fit(docs))
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    out = predict(docs.select("doc_id", "text"), fit(docs))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+
+
+#: A document stays if its language is known with so much certainty.
+KEEP_SCORE = 0.5
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents whose language can't be told (``und`` or a low score); a null lang is filled in."""
+    out = predict(docs, fit(docs)).where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= KEEP_SCORE))
+    return out.withColumn("lang", F.coalesce("lang", "__lang_pred")).drop("__lang_pred", "__lang_score")

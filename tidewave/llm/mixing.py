@@ -126,6 +126,13 @@ def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     return out.where("copies > 0").select("doc_id", "domain", "language", F.col("leaf_source").alias("source"), "tokens", "copies")
 
 
+def take(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
+    """``docs`` reduced to what ``mix`` takes, with ``copies``; rows of one id are taken together."""
+    taken = mix(docs, plan).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    kept = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    return kept.withColumn("copies", F.col("__copies")).drop("__copies")
+
+
 def oracle(plan: Plan = Plan()) -> str:  # noqa: B008
     """DuckDB SQL for ``mix`` over the table ``documents``."""
 

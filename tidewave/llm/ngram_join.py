@@ -219,9 +219,26 @@ def join(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     grouped = owners.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     grouped = materialize(grouped, "grouped")
     smallest = grouped.groupBy("root").agg(F.min("owner").alias("component_id"))
-    by_class = grouped.join(smallest, "root").select("class", "component_id")
+    by_class = grouped.join(smallest, "root").select("class", "component_id", "root")
     out = members.join(by_class, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("class").alias("set_class"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("class").alias("set_class"), F.col("root").alias("group"))
+
+
+def keep_one(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id, and of its rows one; rows without words all stay."""
+    found = join(docs, percent).where("set_class is not null")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_class")).alias("first"))
+    first = materialize(first.select(F.col("first.doc_id").alias("__id"), F.col("first.set_class").alias("__set")), "first")
+    kinds = docs.select("*", F.lit(0).cast("long").alias("__class")).schema
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = [_class_of(s) if len(s) else None for _, run in runs(batch["text"], lower=True) for s in shingle_sets(run)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes, pa.int64())], names=[*batch.schema.names, "__class"])
+
+    known = docs.mapInArrow(classify, kinds)
+    kept = known.where("__class is not null").join(first, (F.col("__class") == F.col("__set")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__class"]).unionByName(known.where("__class is null")).drop("__class")
 
 
 ORACLE = rf"""

@@ -15,7 +15,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents")).drop("set_class")
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("set_class", "group")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

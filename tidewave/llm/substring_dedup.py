@@ -79,11 +79,11 @@ def _recurring_anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
-def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts places; start of each hash's group and the group of each row."""
-    rows.sort(order=["hash", "doc", "at"], kind="stable")
+def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in order, the start of each hash's group and the group of each row."""
+    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["hash"]))]
     new = np.concatenate([[True], rows["hash"][1:] != rows["hash"][:-1]]) if len(rows) else np.zeros(0, bool)
-    return np.flatnonzero(new), np.cumsum(new) - 1
+    return rows, np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def _confirmed(docs: DataFrame, window: int, phrase: int, blocks: int) -> DataFrame:
@@ -124,7 +124,7 @@ def _confirmed(docs: DataFrame, window: int, phrase: int, blocks: int) -> DataFr
 
     def resolve(t: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x.as_buffer(), _PLACE) for x in t["places"]])
-        heads, group = _firsts(rows)
+        rows, heads, group = _firsts(rows)
         last = np.append(heads[1:], len(rows)) - 1
         again = np.maximum.reduceat(rows["flag"], heads).astype(bool)
         recurs = again | (rows["doc"][last] != rows["doc"][heads]) | (rows["at"][last] != rows["at"][heads])
@@ -144,13 +144,23 @@ def _confirmed(docs: DataFrame, window: int, phrase: int, blocks: int) -> DataFr
     return packed.groupBy("part").applyInArrow(resolve, "block int, places binary")
 
 
-def _automaton(phrases: np.ndarray):  # noqa: ANN202
-    """An automaton over words, each known by 31 bits of its hash; gives the end of each phrase."""
+#: A word is so many letters of 6 bits each in the automata; the letters of each place are a set of their own.
+LETTERS = 3
+
+
+def _letters(hashes: np.ndarray) -> str:
+    """Words as letters: a node of an automaton then has at most 64 children."""
+    each = [((hashes >> np.uint64(58 - 6 * j)) & np.uint64(63)).astype(np.uint8) + np.uint8(64 * j) for j in range(LETTERS)]
+    return np.stack(each, axis=-1).tobytes().decode("latin-1")
+
+
+def _automaton(phrases: list[str]):  # noqa: ANN202
+    """An automaton over the letters of words; gives the end of each phrase."""
     import ahocorasick
 
-    out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for row in phrases.tolist():
-        out.add_word(tuple(row), 1)
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for phrase in phrases:
+        out.add_word(phrase, 1)
     out.make_automaton()
     return out
 
@@ -160,8 +170,7 @@ def _covered(run: Run, ids: np.ndarray, known: np.ndarray, automaton, window: in
     gone = np.zeros(len(run.hashes) + 1, np.int64)
     if automaton is None or len(run.hashes) < window:
         return gone[:-1].astype(bool)
-    symbols = tuple((run.hashes >> np.uint64(33)).tolist())
-    hits = np.fromiter((end for end, _ in automaton.iter(symbols)), np.int64) - (phrase - 1)
+    hits = np.fromiter((end for end, _ in automaton.iter(_letters(run.hashes))), np.int64) // LETTERS - (phrase - 1)
     near = np.zeros(len(run.hashes) + 1, np.int64)  # windows that may have a hit inside
     np.add.at(near, np.maximum(hits - (window - phrase), 0), 1)
     np.add.at(near, hits + 1, -1)
@@ -184,7 +193,7 @@ def _locate(texts: pa.Table, told: pa.Table, window: int, phrase: int) -> pa.Tab
     batch = texts.combine_chunks()
     ids = batch["doc_id"].cast(pa.int64()).fill_null(LAST).to_numpy().astype(np.int64)
     known = np.concatenate([np.frombuffer(x.as_buffer(), _PLACE) for x in told["places"]]) if len(told) else np.zeros(0, _PLACE)
-    known = np.sort(known, order="hash")
+    known = known[np.argsort(known["hash"], kind="stable")]
     blocks_runs = list(runs(batch["text"], lower=False))
     phrases = []
     for at, run in blocks_runs if len(known) else ():
@@ -193,9 +202,9 @@ def _locate(texts: pa.Table, told: pa.Table, window: int, phrase: int) -> pa.Tab
             h = ngram_hashes(run.hashes, window)[starts]
             confirmed = known["hash"][np.minimum(np.searchsorted(known["hash"], h), len(known) - 1)] == h
             where = np.unique(places[confirmed])
-            phrases.append((run.hashes[where[:, None] + np.arange(phrase)] >> np.uint64(33)).astype(np.int64))
-    found = np.unique(np.concatenate(phrases), axis=0) if phrases else np.zeros((0, phrase), np.int64)
-    automaton = _automaton(found) if len(found) else None
+            letters, size = _letters(run.hashes[(where[:, None] + np.arange(phrase)).ravel()]), phrase * LETTERS
+            phrases += [letters[i : i + size] for i in range(0, len(letters), size)]
+    automaton = _automaton(phrases) if phrases else None
     texts_out, n_words, n_removed = [], [], []
     raw = batch["text"].to_pylist()
     for at, run in blocks_runs:

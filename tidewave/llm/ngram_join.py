@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewave.llm.common import NGRAM, SIMILAR_PERCENT, Filter, components, materialize, mix, runs, shingle_sets
 
@@ -229,7 +230,7 @@ def keep_one(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     found = join(docs, percent).where("set_class is not null")
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_class")).alias("first"))
     first = materialize(first.select(F.col("first.doc_id").alias("__id"), F.col("first.set_class").alias("__set")), "first")
-    kinds = docs.select("*", F.lit(0).cast("long").alias("__class")).schema
+    kinds = StructType([*docs.schema.fields, StructField("__class", LongType())])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,9 +4,628 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewave.functions import kernels, statistics
+from tidewave.operators import models, signals
+from tidewave.sources import tables, xdf
+from tidewave.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+_SAMPLES = "samples AS (SELECT user_id AS signal_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS seq, ts, event_type AS channel, value FROM events)"
+_MARKERS = "markers AS (SELECT user_id AS signal_id, event_type AS marker, ts AS marker_ts FROM events WHERE event_type = 'purchase')"
+_BOUNDS = "bounds AS (SELECT signal_id, min(ts) AS first_ts, max(ts) AS last_ts FROM samples GROUP BY signal_id)"
+_WIDE = "wide AS (SELECT l_suppkey AS signal_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS seq, l_returnflag AS class, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)"
+_LONG = "long AS (" + " UNION ALL ".join(f"SELECT signal_id, seq, class, '{c}' AS channel, {c} AS value FROM wide" for c in tables.CHANNELS) + ")"
+_DAY = 86_400.0
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# ---- sources -----------------------------------------------------------------------------
+
+
+@query("scan_csv", "SELECT event_id, user_id, event_type, value FROM events")
+def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    top = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidewave-csv").rstrip("/")
+    path = f"{top}/csv-{uuid.uuid4().hex}"
+    tables.table(spark, sf, "events", "event_id", "user_id", "event_type", "value").write.option("header", True).csv(path)
+    return spark.read.option("header", True).schema("event_id long, user_id long, event_type string, value double").csv(path)
+
+
+@query("xdf_roundtrip", f"WITH {_SAMPLES} SELECT CAST(signal_id AS VARCHAR) AS stream, seq, epoch_us(ts) / 1000000.0::DOUBLE AS ts, channel, value FROM samples WHERE channel = 'purchase'")
+def xdf_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    s = tables.samples(spark, sf).where("channel = 'purchase'")
+    rows = s.select(F.col("signal_id").cast("string").alias("stream"), "seq", (signals.micros("ts") / 1e6).alias("ts"), "channel", "value")
+    return xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: (x for b in it for c in b["content"] for x in xdf.decode(c)), xdf.SCHEMA)
+
+
+@query("xdf_footer", f"WITH {_SAMPLES} SELECT signal_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS sample_count FROM samples GROUP BY signal_id")
+def xdf_footer(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.samples(spark, sf).groupBy("signal_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("sample_count"))
+
+
+@query("replay_source", f"WITH {_SAMPLES} SELECT signal_id, channel, seq // 4 AS block, count(*) AS n FROM samples GROUP BY ALL")
+def replay_source(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.samples(spark, sf).groupBy("signal_id", "channel", F.floor(F.col("seq") / 4).alias("block")).agg(F.count("*").alias("n"))
+
+
+@query("select_stream", f"WITH {_SAMPLES} SELECT * FROM samples WHERE channel = 'click'")
+def select_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.samples(spark, sf).where("channel = 'click'")
+
+
+@query("gen_signal")
+def gen_signal(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(3200).select((F.col("id") % 100).alias("seq"), F.concat(F.lit("channel_"), F.floor(F.col("id") / 100)).alias("channel"), (1 + 4 * (F.col("id") % 100) / 99).alias("ts"), F.rand(42).alias("value"))
+
+
+@query("gen_features")
+def gen_features(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(100).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("string").alias("class"), F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.pmod(F.hash(F.col("id"), i), 1000) / 1000).alias("x"))
+
+
+# ---- projections and filters -------------------------------------------------------------
+
+
+@query("select_label", f"WITH {_WIDE} SELECT signal_id, seq, l_tax FROM wide")
+def select_label(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.select_labels(tables.wide(spark, sf), ["l_tax"], tables.CHANNELS)
+
+
+@query("select_labels", f"WITH {_WIDE} SELECT signal_id, seq, l_quantity, l_tax FROM wide")
+def select_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.select_labels(tables.wide(spark, sf), ["l_quantity", "l_tax"], tables.CHANNELS)
+
+
+@query("select_label_range", f"WITH {_WIDE} SELECT signal_id, seq, l_quantity, l_extendedprice, l_discount FROM wide")
+def select_label_range(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.select_labels(tables.wide(spark, sf), signals.label_range(tables.CHANNELS, "l_quantity", "l_discount"), tables.CHANNELS)
+
+
+@query("select_channels", f"WITH {_SAMPLES} SELECT * FROM samples WHERE lower(channel) IN ('click', 'purchase')")
+def select_channels(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.select_channels(tables.samples(spark, sf), ["Click", "PURCHASE"])
+
+
+@query("select_rows", f"WITH {_WIDE} SELECT * FROM wide WHERE seq >= 5 AND seq < 15")
+def select_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.select_rows(tables.wide(spark, sf), 5, 15)
+
+
+@query("step_slice", f"WITH {_WIDE} SELECT * FROM wide WHERE seq >= 2 AND seq < 400 AND (seq - 2) % 20 = 0")
+def step_slice(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.select_rows(tables.wide(spark, sf), 2, 400, 20)
+
+
+@query("cell", f"WITH {_WIDE} SELECT * FROM wide WHERE seq = 3")
+def cell(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.wide(spark, sf).where("seq = 3")
+
+
+@query("mask_hull", f"WITH {_WIDE}, {_LONG}, m AS (SELECT *, (channel = 'l_quantity' AND value > 49) OR (channel = 'l_tax' AND value > 0.079) AS hit FROM long), h AS (SELECT signal_id, seq, class, channel, value, bool_or(hit) OVER (PARTITION BY signal_id, seq) AS r, bool_or(hit) OVER (PARTITION BY signal_id, channel) AS c FROM m) SELECT signal_id, seq, class, channel, value FROM h WHERE r AND c")
+def mask_hull(spark: SparkSession, sf: str) -> DataFrame:
+    hit = ((F.col("channel") == "l_quantity") & (F.col("value") > 49)) | ((F.col("channel") == "l_tax") & (F.col("value") > 0.079))
+    return signals.mask_hull(tables.melt(tables.wide(spark, sf)), hit)
+
+
+@query("filter_rows_by_col", f"WITH {_WIDE} SELECT * FROM wide WHERE l_discount > 0.05")
+def filter_rows_by_col(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.wide(spark, sf).where("l_discount > 0.05")
+
+
+@query("filter_cols_by_row", f"WITH {_WIDE}, {_LONG} SELECT * FROM long SEMI JOIN (SELECT signal_id, channel FROM long WHERE seq = 1 AND value > 0.04) USING (signal_id, channel)")
+def filter_cols_by_row(spark: SparkSession, sf: str) -> DataFrame:
+    long = tables.melt(tables.wide(spark, sf))
+    return long.join(long.where("seq = 1 and value > 0.04").select("signal_id", "channel"), ["signal_id", "channel"], "left_semi")
+
+
+@query("compare", f"WITH {_WIDE} SELECT signal_id, seq, l_discount < l_tax AS lt, l_discount = l_tax AS eq, l_quantity >= 25 AS ge FROM wide")
+def compare(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.wide(spark, sf).selectExpr("signal_id", "seq", "l_discount < l_tax as lt", "l_discount = l_tax as eq", "l_quantity >= 25 as ge")
+
+
+@query("add_sub", f"WITH {_WIDE} SELECT a.signal_id, a.seq, a.l_quantity + b.l_tax AS added, a.l_quantity - 1 AS less FROM wide a JOIN wide b USING (signal_id, seq)")
+def add_sub(spark: SparkSession, sf: str) -> DataFrame:
+    a = tables.wide(spark, sf)
+    return a.select("signal_id", "seq", "l_quantity").join(a.select("signal_id", "seq", "l_tax"), ["signal_id", "seq"]).selectExpr("signal_id", "seq", "l_quantity + l_tax as added", "l_quantity - 1 as less")
+
+
+@query("assign", f"WITH {_WIDE} SELECT signal_id, seq, CASE WHEN seq < 10 THEN 0 ELSE l_quantity END AS l_quantity FROM wide")
+def assign(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.wide(spark, sf).select("signal_id", "seq", F.when(F.col("seq") < 10, 0.0).otherwise(F.col("l_quantity")).alias("l_quantity"))
+
+
+@query("select_class", f"WITH {_WIDE} SELECT * FROM wide WHERE class BETWEEN 'A' AND 'N'")
+def select_class(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.wide(spark, sf).where("class between 'A' and 'N'")
+
+
+@query("class_count", f"WITH {_WIDE} SELECT class, count(*) AS n FROM wide WHERE seq % 20 = 0 GROUP BY class")
+def class_count(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.wide(spark, sf).where("seq % 20 = 0").groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query("conf_filter", f"WITH {_SAMPLES} SELECT * FROM samples WHERE value >= 0.9")
+def conf_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.samples(spark, sf).where("value >= 0.9")
+
+
+@query("class_selector", "SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS class FROM embeddings WHERE label < 4")
+def class_selector(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.features(spark, sf).where(F.col("class").cast("int") < 4).select("row_id", "class")
+
+
+@query("labels_duration", f"WITH {_SAMPLES} SELECT signal_id, count(DISTINCT channel) AS n_labels, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS duration_us FROM samples GROUP BY signal_id")
+def labels_duration(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.samples(spark, sf).groupBy("signal_id").agg(F.countDistinct("channel").alias("n_labels"), F.count("*").alias("n"), (signals.micros(F.max("ts")) - signals.micros(F.min("ts"))).alias("duration_us"))
+
+
+@query("lowercase_labels", "SELECT o_orderkey, lower(o_orderpriority) AS label FROM orders")
+def lowercase_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.table(spark, sf, "orders").select("o_orderkey", F.lower("o_orderpriority").alias("label"))
+
+
+# ---- joins -------------------------------------------------------------------------------
+
+_SEGMENT = f"WITH {_SAMPLES}, {_MARKERS}, {_BOUNDS} SELECT s.*, marker, marker_ts FROM samples s JOIN markers m USING (signal_id) JOIN bounds b USING (signal_id) WHERE s.ts >= marker_ts - INTERVAL 6 HOUR AND s.ts < marker_ts + INTERVAL 6 HOUR AND marker_ts - INTERVAL 6 HOUR >= first_ts AND marker_ts + INTERVAL 6 HOUR <= last_ts"
+
+
+@query("segment", _SEGMENT)
+def segment(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.segment(tables.samples(spark, sf), tables.markers(spark, sf), -_DAY / 4, _DAY / 4)
+
+
+@query("find_index", f"WITH {_SAMPLES}, t AS (SELECT DISTINCT user_id AS signal_id, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 12 HOUR AS target_ts FROM events) SELECT signal_id, target_ts, ts, channel, seq, value FROM t JOIN samples s USING (signal_id) WHERE abs(epoch_us(ts) - epoch_us(target_ts)) <= 7200000000 QUALIFY row_number() OVER (PARTITION BY signal_id, target_ts ORDER BY abs(epoch_us(ts) - epoch_us(target_ts)), ts, channel, seq) = 1")
+def find_index(spark: SparkSession, sf: str) -> DataFrame:
+    noon = F.expr("date_trunc('DAY', ts) + interval 12 hours").cast("timestamp_ntz")
+    targets = tables.table(spark, sf, "events").select(F.col("user_id").alias("signal_id"), noon.alias("target_ts")).distinct()
+    return signals.nearest(tables.samples(spark, sf), targets, _DAY / 12)
+
+
+@query("signal_align", f"WITH {_SAMPLES} SELECT signal_id, seq, a.value AS click, b.value AS purchase FROM (SELECT * FROM samples WHERE channel = 'click') a JOIN (SELECT * FROM samples WHERE channel = 'purchase') b USING (signal_id, seq)")
+def signal_align(spark: SparkSession, sf: str) -> DataFrame:
+    s = tables.samples(spark, sf)
+    side = lambda c: s.where(F.col("channel") == c).select("signal_id", "seq", F.col("value").alias(c))
+    return side("click").join(side("purchase"), ["signal_id", "seq"])
+
+
+@query("trials_collect", "SELECT 'left' AS class, l_orderkey AS trial_id, l_quantity AS value FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'right', l_orderkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
+def trials_collect(spark: SparkSession, sf: str) -> DataFrame:
+    df = tables.table(spark, sf, "lineitem")
+    side = lambda flag, name: df.where(F.col("l_returnflag") == flag).select(F.lit(name).alias("class"), F.col("l_orderkey").alias("trial_id"), F.col("l_quantity").alias("value"))
+    return side("A", "left").unionByName(side("R", "right"))
+
+
+# ---- statistics --------------------------------------------------------------------------
+
+_DERIVED = f"{_SAMPLES}, d1s AS (SELECT *, value - lag(value) OVER (PARTITION BY signal_id, channel ORDER BY seq) AS d1 FROM samples), d AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY signal_id, channel ORDER BY seq) AS d2 FROM d1s)"
+_MOBILITY = "CASE WHEN stddev_samp(value) > 0 THEN stddev_samp(d1) / stddev_samp(value) END"
+_SQL = {
+    "mean": "avg(value)", "var": "var_samp(value)", "std": "stddev_samp(value)", "ptp": "max(value) - min(value)",
+    "skew": "CASE WHEN var_pop(value) > 0 THEN (avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / var_pop(value) ** 1.5 END",
+    "kurt": "CASE WHEN var_pop(value) > 0 THEN (avg(value ** 4) - 4 * avg(value) * avg(value ** 3) + 6 * avg(value) ** 2 * avg(value ** 2) - 3 * avg(value) ** 4) / var_pop(value) ** 2 - 3 END",
+    "rms": "sqrt(avg(value * value))", "mobility": _MOBILITY,
+    "complexity": f"CASE WHEN {_MOBILITY} > 0 THEN (CASE WHEN stddev_samp(d1) > 0 THEN stddev_samp(d2) / stddev_samp(d1) END) / ({_MOBILITY}) END",
+    "q75": "quantile_cont(value, 0.75)", "q25": "quantile_cont(value, 0.25)",
+}
+
+
+def _stat(name: str) -> None:
+    digits = 4 if name in ("skew", "kurt") else 6
+    sql = f"WITH {_DERIVED} SELECT signal_id, channel, round({_SQL[name]}, {digits}) AS feature_{name} FROM d GROUP BY signal_id, channel"
+
+    @query(f"stat_{name}", sql)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        out = statistics.summarize(tables.samples(spark, sf), (name,))
+        return out.withColumn(f"feature_{name}", F.round(f"feature_{name}", digits)) if digits < 6 else out
+
+
+for _name in statistics.STATISTICS:
+    _stat(_name)
+
+_ALL = tuple(n for n in statistics.STATISTICS if n not in ("skew", "kurt"))
+
+
+@query("stats_all", f"WITH {_DERIVED} SELECT signal_id, channel, {', '.join(f'round({_SQL[n]}, 6) AS feature_{n}' for n in _ALL)} FROM d GROUP BY signal_id, channel")
+def stats_all(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.summarize(tables.samples(spark, sf), _ALL)
+
+
+@query("stats_rollup", f"WITH {_SAMPLES} SELECT signal_id, channel, count(*) AS n, round(avg(value), 6) AS mean FROM samples GROUP BY ROLLUP (signal_id, channel)")
+def stats_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.samples(spark, sf).rollup("signal_id", "channel").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("log_var", f"WITH {_SAMPLES}, v AS (SELECT signal_id, channel, var_pop(value) AS v FROM samples GROUP BY ALL) SELECT signal_id, channel, round(ln(v / sum(v) OVER (PARTITION BY signal_id)), 6) AS log_var FROM v WHERE v > 0")
+def log_var(spark: SparkSession, sf: str) -> DataFrame:
+    v = tables.samples(spark, sf).groupBy("signal_id", "channel").agg(F.var_pop("value").alias("v")).where("v > 0")
+    return v.select("signal_id", "channel", F.round(F.ln(F.col("v") / F.sum("v").over(Window.partitionBy("signal_id"))), 6).alias("log_var"))
+
+
+_PAIRED = "p AS (SELECT a.signal_id, a.seq, a.channel AS a, b.channel AS b, a.value AS x, b.value AS y FROM samples a JOIN samples b ON a.signal_id = b.signal_id AND a.seq = b.seq AND a.channel {op} b.channel)"
+
+
+def _paired(spark: SparkSession, sf: str, diagonal: bool) -> DataFrame:
+    s = tables.samples(spark, sf)
+    a = s.select("signal_id", "seq", F.col("channel").alias("a"), F.col("value").alias("x"))
+    b = s.select("signal_id", "seq", F.col("channel").alias("b"), F.col("value").alias("y"))
+    return a.join(b, ["signal_id", "seq"]).where("a <= b" if diagonal else "a < b")
+
+
+@query("trial_cov", f"WITH {_SAMPLES}, {_PAIRED.format(op='<=')}, c AS (SELECT signal_id, a, b, covar_samp(x, y) AS c FROM p GROUP BY ALL HAVING count(*) > 1) SELECT a, b, round(avg(c), 4) AS cov FROM c GROUP BY a, b")
+def trial_cov(spark: SparkSession, sf: str) -> DataFrame:
+    c = _paired(spark, sf, True).groupBy("signal_id", "a", "b").agg(F.covar_samp("x", "y").alias("c"), F.count("*").alias("n")).where("n > 1")
+    return c.groupBy("a", "b").agg(F.round(F.avg("c"), 4).alias("cov"))
+
+
+@query("conn_corr", f"WITH {_SAMPLES}, {_PAIRED.format(op='<')} SELECT signal_id, a, b, round(corr(x, y), 6) AS r FROM p GROUP BY ALL HAVING count(*) > 2 AND var_pop(x) > 0 AND var_pop(y) > 0")
+def conn_corr(spark: SparkSession, sf: str) -> DataFrame:
+    g = _paired(spark, sf, False).groupBy("signal_id", "a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    return g.where("n > 2 and vx > 0 and vy > 0").select("signal_id", "a", "b", F.round("r", 6).alias("r"))
+
+
+@query("effective_srate", f"WITH {_SAMPLES} SELECT signal_id, channel, round(count(*) * 1000000.0 / (epoch_us(max(ts)) - epoch_us(min(ts))), 9) AS srate FROM samples GROUP BY ALL HAVING max(ts) > min(ts)")
+def effective_srate(spark: SparkSession, sf: str) -> DataFrame:
+    g = tables.samples(spark, sf).groupBy("signal_id", "channel").agg(F.count("*").alias("n"), (signals.micros(F.max("ts")) - signals.micros(F.min("ts"))).alias("d"))
+    return g.where("d > 0").select("signal_id", "channel", F.round(F.col("n") * 1000000.0 / F.col("d"), 9).alias("srate"))
+
+
+# ---- windows -----------------------------------------------------------------------------
+
+
+def _window_sql(length: float, step: float, margin: float = 0.0) -> str:
+    size, hop, slack = int(length * 1e6), int(step * 1e6), int(margin * 1e6)
+    return (
+        f"WITH {_SAMPLES}, {_BOUNDS}, k AS (SELECT signal_id, first_ts, unnest(range(0, greatest(0, (epoch_us(last_ts) - epoch_us(first_ts) - {size} + {slack} + {hop}) // {hop})::BIGINT)) AS window_id FROM bounds), "
+        f"r AS (SELECT s.*, window_id FROM samples s JOIN k USING (signal_id) WHERE epoch_us(ts) - epoch_us(first_ts) >= window_id * {hop} AND epoch_us(ts) - epoch_us(first_ts) < window_id * {hop} + {size}) "
+        "SELECT signal_id, window_id, channel, count(*) AS n, round(avg(value), 6) AS mean FROM r GROUP BY ALL"
+    )
+
+
+def _windowed(name: str, length: float, step: float, margin: float = 0.0) -> None:
+    @query(name, _window_sql(length, step, margin))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        w = signals.windows(tables.samples(spark, sf), length, step, margin)
+        return w.groupBy("signal_id", "window_id", "channel").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+_windowed("window_tumbling", 2 * _DAY, 2 * _DAY)
+_windowed("window_step", 5 * _DAY, 2 * _DAY)
+_windowed("window_percent", 4 * _DAY, signals.percent_step(4 * _DAY, 0.75))
+_windowed("window_tolerance", 5 * _DAY, 5 * _DAY, _DAY)
+
+
+@query("lag_diff", f"WITH {_SAMPLES} SELECT signal_id, channel, seq, value - lag(value) OVER (PARTITION BY signal_id, channel ORDER BY seq) AS d1 FROM samples")
+def lag_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.derivatives(tables.samples(spark, sf), signals.SIGNAL).select("signal_id", "channel", "seq", "d1")
+
+
+@query("frame_rows", f"WITH {_SAMPLES} SELECT signal_id, channel, seq, round(avg(value) OVER (PARTITION BY signal_id, channel ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS trailing FROM samples")
+def frame_rows(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy(*signals.SIGNAL).orderBy("seq").rowsBetween(-4, 0)
+    return tables.samples(spark, sf).select("signal_id", "channel", "seq", F.round(F.avg("value").over(w), 6).alias("trailing"))
+
+
+# ---- filters -----------------------------------------------------------------------------
+
+_TAPS = [0.1, 0.2, 0.4, 0.2, 0.1]
+
+
+def _fir_sql(centre: int) -> str:
+    shift = lambda k: f"lag(value, {k - centre})" if k >= centre else f"lead(value, {centre - k})"
+    return f"WITH {_SAMPLES} SELECT signal_id, channel, seq, round({' + '.join(f'{h} * coalesce({shift(k)} OVER (PARTITION BY signal_id, channel ORDER BY seq), 0)' for k, h in enumerate(_TAPS))}, 6) AS value FROM samples"
+
+
+@query("fir_forward", _fir_sql(0))
+def fir_forward(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.samples(spark, sf).select("signal_id", "channel", "seq", F.round(signals.fir_columns(_TAPS), 6).alias("value"))
+
+
+@query("fir_zero_shift", _fir_sql(2))
+def fir_zero_shift(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.samples(spark, sf).select("signal_id", "channel", "seq", F.round(signals.fir_columns(_TAPS, 2), 6).alias("value"))
+
+
+@query("reref_avg", f"WITH {_SAMPLES} SELECT signal_id, seq, ts, channel, round(value - avg(value) OVER (PARTITION BY signal_id, seq), 6) AS value FROM samples")
+def reref_avg(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.reference_average(tables.samples(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+@query("reref_prep")
+def reref_prep(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.reference_robust(tables.samples(spark, sf))[0]
+
+
+@query("noisy_channels", f"WITH {_SAMPLES} SELECT signal_id, channel, bool_or(isnan(value) OR value IS NULL) AS has_nan, coalesce(stddev_pop(value), 0) < 1e-9 AS is_flat FROM samples GROUP BY ALL")
+def noisy_channels(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.noisy_channels(tables.samples(spark, sf))
+
+
+@query("to_mne", f"WITH {_SAMPLES} SELECT signal_id, channel, seq, seq / 256 AS ts, value FROM samples")
+def to_mne(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.samples(spark, sf).select("signal_id", "channel", "seq", (F.col("seq") / 256).alias("ts"), "value")
+
+
+def _transformed(name: str, kernel: Callable[[np.ndarray], np.ndarray]) -> None:
+    @query(name)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return signals.spread(signals.transform(signals.frames(tables.samples(spark, sf)), kernel))
+
+
+_HIGH = kernels.windowed_sinc(256, (1.0,), 101, stop=True)
+_SINC = kernels.windowed_sinc(256, (1.0,), 101, stop=True, window="blackman")
+_BAND = kernels.windowed_sinc(256, (8.0, 30.0), 41)
+_transformed("fir_zero", lambda x: kernels.fir(x, _BAND, "zero"))
+_transformed("notch", lambda x: kernels.notch(x, 256.0, 50.0))
+_transformed("line_noise", lambda x: kernels.notch(x - kernels.fir(x, _HIGH, "zero_shift"), 256.0, 50.0) + kernels.fir(x, _HIGH, "zero_shift"))
+_transformed("resample", lambda x: kernels.resample(x, 3, 2))
+_transformed("detrend_highpass", lambda x: kernels.fir(x, _HIGH, "zero_shift"))
+_transformed("detrend_sinc", lambda x: kernels.fir(x, _SINC, "zero_shift"))
+_transformed("detrend_local", lambda x: kernels.detrend_local(x, 8, 2))
+
+
+@query("fir_design")
+def fir_design(spark: SparkSession, sf: str) -> DataFrame:
+    taps = kernels.windowed_sinc(256, (8.0, 30.0), 100)
+    return spark.createDataFrame([(i, float(h)) for i, h in enumerate(taps)], "tap long, h double")
+
+
+# ---- spectra, entropies, connectivity ----------------------------------------------------
+
+
+def _feature(name: str, kernel: Callable[[np.ndarray], np.ndarray]) -> None:
+    """A query with one row for each number that the kernel makes of a channel."""
+
+    @query(name)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return signals.spread(signals.transform(signals.frames(tables.samples(spark, sf)), kernel), seq="item")
+
+
+_BANDS = ((0.5, 4), (4, 8), (8, 13), (13, 30), (30, 100))
+
+
+def band_power(x: np.ndarray) -> np.ndarray:
+    f, p = kernels.welch(x, 256.0)
+    return np.array([p[(f >= a) & (f < b)].sum() for a, b in _BANDS])
+
+
+_FREQS = np.array([16.0, 32.0, 64.0])
+_feature("ent_app", kernels.approximate_entropy)
+_feature("ent_sample", kernels.sample_entropy)
+_feature("ent_svd", kernels.svd_entropy)
+_feature("wavelet_energy", kernels.haar_energy)
+_feature("psd_welch", lambda x: kernels.welch(x, 256.0)[1])
+_feature("psd_multitaper", lambda x: kernels.multitaper(x, 256.0)[1])
+_feature("band_power", band_power)
+_feature("tfr_morlet", lambda x: (np.abs(kernels.morlet(x, 256.0, _FREQS)) ** 2).mean(1))
+_feature("tfr_multitaper", lambda x: np.mean([(np.abs(kernels.morlet(x * t, 256.0, _FREQS)) ** 2).mean(1) for t in kernels.slepians(len(x), 4.0 / 2, 3)], 0))
+_feature("tfr_stockwell", lambda x: (np.abs(kernels.stockwell(x)) ** 2).mean(1))
+_feature("stft", lambda x: (np.abs(kernels.stft(x)) ** 2).mean(1) if len(x) >= 4 else np.zeros(3))
+
+
+def _coupled(name: str, kernel: Callable[[np.ndarray, np.ndarray], float]) -> None:
+    @query(name)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return signals.couple(signals.pairs(signals.frames(tables.samples(spark, sf))), kernel, "value")
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.abs((np.fft.rfft(a - a.mean()) * np.conj(np.fft.rfft(b - b.mean()))).mean()))
+
+
+def _cross_tapered(a: np.ndarray, b: np.ndarray) -> float:
+    t = kernels.slepians(len(a), 2.0, 3)
+    return float(np.abs((np.fft.rfft(t * (a - a.mean()), axis=1) * np.conj(np.fft.rfft(t * (b - b.mean()), axis=1))).mean()))
+
+
+def _correlation(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.corrcoef(a, b)[0, 1]) if a.std() > 0 and b.std() > 0 else float("nan")
+
+
+_coupled("conn_plv", lambda a, b: float(np.abs(np.exp(1j * (kernels.phase(a) - kernels.phase(b))).mean())))
+_coupled("conn_spec_corr", lambda a, b: _correlation(kernels.welch(a, 256.0)[1], kernels.welch(b, 256.0)[1]))
+_coupled("csd_fourier", _cross)
+_coupled("csd_multitaper", _cross_tapered)
+_coupled("csd_morlet", lambda a, b: float(np.abs((kernels.morlet(a, 256.0, _FREQS) * np.conj(kernels.morlet(b, 256.0, _FREQS))).mean())))
+
+
+@query("ica_repair")
+def ica_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Drops the component of the largest kurtosis from each supplier's channels; a rule in place of learned labels."""
+    import pandas as pd
+
+    channels = list(tables.CHANNELS)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("seq")
+        x = t[channels].to_numpy(float).T
+        if x.shape[1] > 10:
+            mean, spread = x.mean(1, keepdims=True), x.std(1, keepdims=True) + 1e-12
+            z = (x - mean) / spread
+            w = kernels.fast_ica(z, len(channels))
+            s = w @ z
+            k = ((s - s.mean(1, keepdims=True)) ** 4).mean(1) / (s.var(1) ** 2 + 1e-12)
+            s[int(k.argmax())] = 0
+            x = np.linalg.pinv(w) @ s * spread + mean
+        return pd.DataFrame({"signal_id": t["signal_id"], "seq": t["seq"], **dict(zip(channels, x))})
+
+    return tables.wide(spark, sf).drop("class").groupBy("signal_id").applyInPandas(one, "signal_id long, seq long, " + ", ".join(f"{c} double" for c in channels))
+
+
+# ---- order and sets ----------------------------------------------------------------------
+
+
+@query("sort_markers", f"WITH {_MARKERS} SELECT signal_id, marker_ts, row_number() OVER (PARTITION BY signal_id ORDER BY marker_ts) AS place FROM markers")
+def sort_markers(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.markers(spark, sf).select("signal_id", "marker_ts", F.row_number().over(Window.partitionBy("signal_id").orderBy("marker_ts")).cast("long").alias("place"))
+
+
+_EMBEDDED = "f AS (SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS class FROM embeddings)"
+
+
+@query("sort_classes", f"WITH {_EMBEDDED}, n AS (SELECT class, count(*) AS n FROM f GROUP BY class) SELECT class, (sum(n) OVER w - n)::BIGINT AS start, (sum(n) OVER w)::BIGINT AS stop FROM n WINDOW w AS (ORDER BY class)")
+def sort_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return models.class_ranges(tables.features(spark, sf))
+
+
+@query("concat_rows", f"WITH {_WIDE}, u AS (SELECT 0 AS part, * FROM wide WHERE seq < 5 UNION ALL SELECT 1, * FROM wide WHERE seq >= 10 AND seq < 20) SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY part, seq) - 1 AS seq, class, l_quantity FROM u")
+def concat_rows(spark: SparkSession, sf: str) -> DataFrame:
+    w = tables.wide(spark, sf)
+    u = signals.select_rows(w, 0, 5).withColumn("part", F.lit(0)).unionByName(signals.select_rows(w, 10, 20).withColumn("part", F.lit(1)))
+    return u.select("signal_id", (F.row_number().over(Window.partitionBy("signal_id").orderBy("part", "seq")) - 1).cast("long").alias("seq"), "class", "l_quantity")
+
+
+@query("concat_classes", f"WITH {_EMBEDDED} SELECT 0 AS part, row_id, class FROM f WHERE class < '3' UNION ALL SELECT 1, row_id, class FROM f WHERE class >= '2'")
+def concat_classes(spark: SparkSession, sf: str) -> DataFrame:
+    f = tables.features(spark, sf)
+    return models.concat_classes(f.where("class < '3'"), f.where("class >= '2'")).drop("x")
+
+
+@query("distinct_classes", f"WITH {_EMBEDDED} SELECT DISTINCT class FROM f")
+def distinct_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.features(spark, sf).select("class").distinct()
+
+
+@query("topk_features", "WITH s AS (SELECT vec_id // 4 AS band, vec_id % 4 AS j, embedding[1]::DOUBLE AS mi FROM embeddings), b AS (SELECT * FROM s ORDER BY mi DESC, band, j LIMIT 4) SELECT band, j FROM b UNION SELECT band, 3 - j FROM b")
+def topk_features(spark: SparkSession, sf: str) -> DataFrame:
+    s = tables.features(spark, sf).select(F.floor(F.col("row_id") / 4).alias("band"), (F.col("row_id") % 4).alias("j"), F.col("x")[0].alias("mi"))
+    return models.top_features(s, 4, 2)
+
+
+# ---- features of trials, prediction, validation ------------------------------------------
+
+
+def _trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items of two flags as trials of four channels, two bands of trailing means; a trial for each supplier and flag."""
+    w = tables.wide(spark, sf).where("class in ('A', 'R')")
+    over = Window.partitionBy("signal_id", "class").orderBy("seq")
+    base = w.select((F.col("signal_id") * 2 + (F.col("class") == "R").cast("long")).alias("trial_id"), "class", "seq", *[(F.col(c) * s).alias(c) for c, s in zip(tables.CHANNELS, (1.0, 1e-3, 100.0, 100.0))], *[F.avg(c).over(over.rowsBetween(-3, 0)).alias(f"m_{c}") for c in tables.CHANNELS])
+    raw = base.select("trial_id", "class", F.lit(0).alias("band"), "seq", F.array(*tables.CHANNELS).alias("x"))
+    slow = base.select("trial_id", "class", F.lit(1).alias("band"), "seq", F.array(*[f"m_{c}" for c in tables.CHANNELS]).alias("x"))
+    long_enough = base.groupBy("trial_id").agg(F.count("*").alias("n")).where("n > 8").select("trial_id")
+    return raw.unionByName(slow).join(long_enough, "trial_id", "left_semi")
+
+
+@query("csp_cov")
+def csp_cov(spark: SparkSession, sf: str) -> DataFrame:
+    return models.mean_covariances(_trials(spark, sf))
+
+
+@query("fbcsp_extract")
+def fbcsp_extract(spark: SparkSession, sf: str) -> DataFrame:
+    t = _trials(spark, sf)
+    return models.FBCSP.fit(t).transform(t)
+
+
+@query("fbcsp_json")
+def fbcsp_json(spark: SparkSession, sf: str) -> DataFrame:
+    t = _trials(spark, sf)
+    return models.FBCSP.from_json(models.FBCSP.fit(t).to_json()).transform(t)
+
+
+def _classified(name: str, kind: str, rbf: bool = False) -> None:
+    @query(name)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        f = tables.features(spark, sf)
+        f = models.random_fourier(f) if rbf else f
+        return models.predict(models.fit(kind, f.where(models.held_out() > 0)), f)
+
+
+_classified("clf_logreg", "logreg")
+_classified("clf_svm", "svm")
+_classified("clf_svm_rbf", "svm", rbf=True)
+_classified("clf_rf", "rf")
+
+
+@query("clf_lda")
+def clf_lda(spark: SparkSession, sf: str) -> DataFrame:
+    f = tables.features(spark, sf)
+    return models.Discriminant.fit(f.where(models.held_out() > 0)).predict(f)
+
+
+@query("predict_proba")
+def predict_proba(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    f = tables.features(spark, sf)
+    model = models.fit("logreg", f.where(models.held_out() > 0))
+    out = model.transform(f.withColumn("features", models.array_to_vector("x")))
+    p = vector_to_array("probability")
+    return out.select("row_id", *[p[i].alias(f"p_{c}") for i, c in enumerate(model.stages[0].labels)])
+
+
+_GUESS = "g AS (SELECT doc_id AS row_id, CAST(quality AS VARCHAR) AS class, CASE WHEN n_chars > 1500 THEN '1' ELSE '0' END AS prediction FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL)"
+
+
+def _guess(spark: SparkSession, sf: str) -> DataFrame:
+    d = tables.table(spark, sf, "documents", "doc_id", "n_chars").join(tables.table(spark, sf, "labels"), "doc_id").where("quality is not null")
+    return d.select(F.col("doc_id").alias("row_id"), F.col("quality").cast("string").alias("class"), F.when(F.col("n_chars") > 1500, "1").otherwise("0").alias("prediction"))
+
+
+@query("confusion", f"WITH {_GUESS} SELECT class, prediction, count(*) AS n FROM g GROUP BY ALL")
+def confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return models.confusion(_guess(spark, sf))
+
+
+@query("metrics", f"WITH {_GUESS}, a AS (SELECT class, count(*) AS actual, count(*) FILTER (class = prediction) AS hit FROM g GROUP BY class), p AS (SELECT prediction AS class, count(*) AS guessed FROM g GROUP BY prediction) SELECT class, coalesce(hit / guessed, 0) AS precision, hit / actual AS recall, coalesce(2 * (hit / guessed) * (hit / actual) / nullif(hit / guessed + hit / actual, 0), 0) AS f1, (SELECT sum(hit) / sum(actual) FROM a) AS accuracy FROM a LEFT JOIN p USING (class)")
+def metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return models.metrics(_guess(spark, sf))
+
+
+@query("train_test_split", f"WITH {_EMBEDDED} SELECT row_id, class, row_id % 5 = 0 AS held_out FROM f")
+def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.features(spark, sf).select("row_id", "class", (F.col("row_id") % 5 == 0).alias("held_out"))
+
+
+@query("cross_validate")
+def cross_validate(spark: SparkSession, sf: str) -> DataFrame:
+    return models.cross_validate("logreg", tables.features(spark, sf), max_iter=10)
+
+
+@query("cv_mean", f"WITH {_GUESS} SELECT round(avg(score), 9) AS mean_score FROM (SELECT row_id % 3 AS fold, avg((class = prediction)::INT) AS score FROM g GROUP BY ALL)")
+def cv_mean(spark: SparkSession, sf: str) -> DataFrame:
+    scores = _guess(spark, sf).groupBy((F.col("row_id") % 3).alias("fold")).agg(F.avg((F.col("class") == F.col("prediction")).cast("int")).alias("score"))
+    return scores.agg(F.round(F.avg("score"), 9).alias("mean_score"))
+
+
+# ---- streaming ---------------------------------------------------------------------------
+
+
+@query("segment_online", f"WITH {_SAMPLES}, {_MARKERS} SELECT signal_id, ts, channel, value, marker_ts FROM samples JOIN markers USING (signal_id) WHERE ts >= marker_ts - INTERVAL 6 HOUR AND ts < marker_ts + INTERVAL 6 HOUR")
+def segment_online(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{sf}/events.parquet*"
+    m = online.stream(spark, path).where("channel = 'purchase'").select("signal_id", F.col("ts").alias("marker_ts"))
+    out = online.drained(online.segment(online.stream(spark, path), m, -_DAY / 4, _DAY / 4, "40 days").drop("seq"), "segments")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "marker_ts")})
+
+
+@query("window_online")
+def window_online(spark: SparkSession, sf: str) -> DataFrame:
+    return online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "2 days"), "windows")
+
+
+@query("session_online")
+def session_online(spark: SparkSession, sf: str) -> DataFrame:
+    return online.drained(online.sessions(online.stream(spark, f"{sf}/events.parquet*"), "6 hours"), "sessions")
+
+
+@query("fir_online")
+def fir_online(spark: SparkSession, sf: str) -> DataFrame:
+    return online.drained(online.fir(online.stream(spark, f"{sf}/events.parquet*"), _TAPS), "fir")

@@ -16,7 +16,7 @@ hashes. If ids don't follow the order of storage, only more bytes travel.
 Each logarithm is rounded to a millionth, so sums don't depend on their order.
 Null texts and texts without words have 0 words, score 0 and a null mean.
 Rows are independent, so repeated rows give repeated results (and count twice).
-N-grams are known by 64-bit hashes.
+N-grams are known by hashes of 56 bits.
 """
 
 from __future__ import annotations
@@ -33,12 +33,31 @@ from tidewave.llm.common import Run, distinct, ngram_hashes, runs
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
 BLOCK_CHARS = 12_000_000
 MICRO = 1_000_000
+#: Of the n-grams' hashes; two of a billion n-grams of one length share a hash with a chance of 1 in 72 million each.
+HASH_BITS = 56
+
+
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, data): the documents of each block of a batch, compressed, for the shuffle."""
+    for batch in batches:
+        own = batch["block"].to_numpy()
+        order = np.argsort(own, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(own) else ():
+            sink = pa.BufferOutputStream()
+            part = batch.select(["doc_id", "text"]).take(pa.array(rows))
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            yield pa.record_batch([pa.array([own[rows[0]]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
+
+
+def _unpacked_texts(t: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in t["data"]])
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct hashes as their differences, in six bytes each where they fit."""
+    """Sorted distinct hashes as their differences, in five bytes each where they fit."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    width = 6 if not len(steps) or steps[1:].max(initial=0) < 1 << 48 else 8
+    width = 5 if not len(steps) or steps[1:].max(initial=0) < 1 << 40 else 8
     first = keys[:1].tobytes()
     return bytes([width]) + first + steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
@@ -69,8 +88,9 @@ def _unpack_counts(data: bytes) -> np.ndarray:
 
 
 def _ngrams(run: Run, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the n-gram that starts at each word, and whether it lies in one text."""
-    return (run.hashes, np.ones(len(run.hashes), bool)) if n == 1 else run.ngrams(n)
+    """Hash (``HASH_BITS``) of the n-gram that starts at each word, and whether it lies in one text."""
+    h, whole = (run.hashes, np.ones(len(run.hashes), bool)) if n == 1 else run.ngrams(n)
+    return h >> np.uint64(64 - HASH_BITS), whole
 
 
 def _totals(t: pa.Table) -> pa.Table:
@@ -164,7 +184,7 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
                     keys, counts = np.unique(np.concatenate(lists), return_counts=True)
                     if not len(keys):
                         continue
-                    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                    part = (keys >> np.uint64(HASH_BITS - bits)).astype(np.int64)
                     at = np.flatnonzero(np.diff(part, prepend=-1))
                     ends = np.append(at[1:], len(keys))
                     yield pa.record_batch([
@@ -177,9 +197,10 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
     total = size["words"]
 
     def scores(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        return _scores(texts.select(["doc_id", "text"]), counts, total, order, least, backoff)
+        return _scores(_unpacked_texts(texts), counts, total, order, least, backoff)
 
-    return keyed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scores, "doc_id long, n_words long, log_score double, mean_log_score double")
+    packed = keyed.mapInArrow(_packed_texts, "block long, data binary")
+    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scores, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
 ORACLE = rf"""

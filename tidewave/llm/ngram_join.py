@@ -4,8 +4,9 @@ Texts are sets of shingles (five words, A-Z lower-cased). For a Jaccard
 similarity of 0.8 two sets of sizes m <= n must share a token in the first
 ``n - ceil(0.8 n) + 1`` tokens of any global order. Candidates are texts that
 share such prefix tokens under the first order, which puts frequent tokens
-last; they must also do so under two more orders, and what is left of them
-is verified by counting the common shingles.
+last. Sizes and outlines (tokens per hash cell) that leave no room for so many
+common tokens rule out most; the others must share prefix tokens under two more
+orders too, and what is left is verified by counting the common shingles.
 
 Copies form one class. What is joined are classes, first with the least and
 the greatest class of each prefix token, then, where a token still has classes
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -49,14 +50,41 @@ def prefix_length(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     return size - (size * percent + 99) // 100 + 1
 
 
+#: Cells of an outline: how many tokens of a set fall into each.
+CELLS = 256
+
+
+def _outline(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, classes = [], []
+        sizes, classes, outlines = [], [], []
         for _, run in runs(batch["text"], lower=True):
             for s in shingle_sets(run):
                 sizes.append(len(s))
                 classes.append(_class_of(s) if len(s) else None)
-        yield pa.record_batch([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["doc_id", "n", "class"])
+                outlines.append(_outline(s) if len(s) else None)
+        yield pa.record_batch([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(outlines, pa.binary())], ["doc_id", "n", "class", "outline"])
+
+
+def _promising(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose outlines leave room for so many common tokens; none that are similar go."""
+    a = outlines.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("outline").alias("oa"))
+    b = outlines.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("outline").alias("ob"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.stack([np.frombuffer(o.as_buffer(), np.uint8) for o in batch[c]]) for c in ("oa", "ob"))
+                least = np.minimum(x, y)
+                room = least.sum(1, dtype=np.int64)
+                room[(least == 255).any(1)] = 1 << 40  # a full cell tells nothing
+                size = batch["na"].to_numpy() + batch["nb"].to_numpy()
+                yield batch.select(["a", "b"]).filter(pa.array(100 * room >= percent * (size - room)))
+
+    return pairs.join(a, "a").join(b, "b").mapInArrow(check, "a long, b long")
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -126,8 +154,8 @@ def _postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) that pass the other orders and are similar."""
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(owners, "class")
+    pairs = materialize(_promising(pairs, owners, percent), "pairs")
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(owners.select("class", "owner"), "class")
     wanted = materialize(wanted.select(F.xxhash64("class", "owner").alias("key")), "wanted")
     shared = docs.sparkSession.sparkContext.broadcast(Filter.of(wanted, "key"))
 
@@ -196,19 +224,21 @@ def _close(a: str, b: str, percent: int) -> Column:
 def join(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, and ``set_class``, equal for equal sets."""
     docs = docs.select("doc_id", "text")
-    members = materialize(docs.mapInArrow(_digests, "doc_id long, n long, class long"), "members")
-    owners = materialize(members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("owner")), "owners")
+    members = materialize(docs.mapInArrow(_digests, "doc_id long, n long, class long, outline binary"), "members")
+    first = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("owner"))
+    owners = members.join(first.withColumnRenamed("class", "c"), (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("owner")))
+    owners = materialize(owners.select("class", "owner", "n", "outline").dropDuplicates(["class"]), "owners")
     postings = _postings(docs, _frequent(docs), percent)
-    # a token that one class has alone leads nowhere; the ends are found by partial aggregation
-    postings = materialize(postings, "postings")
-    ends = postings.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    shared = materialize(postings.join(ends, "token").distinct(), "shared")
-    to_low = shared.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b"))
-    to_high = shared.where("class <> high").select(F.col("class").alias("a"), F.col("high").alias("b"))
+    # a token that one class has alone leads nowhere; one shuffle by token finds the ends of the others
+    by_token, entry = Window.partitionBy("token"), F.struct("class", "n")
+    shared = postings.withColumns({"low": F.min(entry).over(by_token), "high": F.max(entry).over(by_token)}).where("low.class < high.class")
+    shared = materialize(shared.select("token", "class", "n", "low", "high"), "shared")
+    to_low = shared.where((F.col("class") != F.col("low.class")) & _close("n", "low.n", percent)).select(F.col("low.class").alias("a"), F.col("class").alias("b"))
+    to_high = shared.where((F.col("class") != F.col("high.class")) & _close("n", "high.n", percent)).select(F.col("class").alias("a"), F.col("high.class").alias("b"))
     links = _verified(docs, to_low.union(to_high).distinct(), owners, percent)
     labels = components(links, "a", "b")
     # tokens whose classes are not yet one component: all pairs of different components
-    labelled = shared.select("token", "class", "n").join(labels.withColumnRenamed("node", "class"), "class", "left")
+    labelled = shared.select("token", "class", "n").distinct().join(labels.withColumnRenamed("node", "class"), "class", "left")
     labelled = materialize(labelled.select("token", "class", "n", F.coalesce("root", "class").alias("root")), "labelled")
     split = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     open_ = materialize(labelled.join(split, "token"), "open")
@@ -217,7 +247,7 @@ def join(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     rest = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close("na", "nb", percent)).select("a", "b").distinct()
     more = _verified(docs, rest, owners, percent)
     roots = components(labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
-    grouped = owners.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    grouped = owners.select("class", "owner").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     grouped = materialize(grouped, "grouped")
     smallest = grouped.groupBy("root").agg(F.min("owner").alias("component_id"))
     by_class = grouped.join(smallest, "root").select("class", "component_id", "root")

@@ -4,12 +4,12 @@ Texts are sets of shingles (five words, A-Z lower-cased). For a Jaccard
 similarity of 0.8 two sets of sizes m <= n must share a token in the first
 ``n - ceil(0.8 n) + 1`` tokens of any global order. Candidates are texts that
 share such prefix tokens under the first order, which puts frequent tokens
-last. Sizes and outlines (tokens per hash cell) that leave no room for so many
+last. Their places in that order, sizes and outlines (tokens per hash cell) that leave no room for so many
 common tokens rule out most; the others must share prefix tokens under two more
 orders too, and what is left is verified by counting the common shingles.
 
-Copies form one class. What is joined are classes, first with the least and
-the greatest class of each prefix token, then, where a token still has classes
+Copies form one class. What is joined are classes, first with two classes of
+each prefix token (that with the fewest rare tokens, and the greatest), then, where a token still has classes
 that are not connected, with all of those: so the components come out whole
 while a large group of near copies never expands into all its pairs.
 
@@ -126,30 +126,38 @@ def _order(s: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray
 
 
 def _first(s: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    return s[np.argpartition(key, n - 1)[:n]] if n < len(s) else s
+    """The first ``n`` tokens of a set in the order of their keys."""
+    some = np.argpartition(key, n - 1)[:n] if n < len(s) else np.arange(len(s))
+    return s[some[np.argsort(key[some])]]
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(token, class, n) for the prefix tokens of each set, once for each class of a batch."""
+    """(token, class, n, at, rare) for the prefix tokens of each set, once for each class of a batch.
+
+    ``at``: the token's place in the set's order; ``rare``: how many of the prefix are not frequent, so 0 for what others are edited copies of.
+    """
     by_value = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[by_value], by_value.astype(np.uint64)))
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, tokens, sizes, prefixes = {}, [], [], []
+            seen, tokens, sizes, prefixes, rare = {}, [], [], [], []
             for _, run in runs(batch["text"], lower=True):
                 for s in shingle_sets(run):
                     if len(s) and (c := _class_of(s)) not in seen:
                         seen[c] = len(s)
-                        prefix = _first(s, _order(s, *shared.value), prefix_length(len(s), percent))
+                        key = _order(s, *shared.value)
+                        prefix = _first(s, key, prefix_length(len(s), percent))
+                        rare.append(min(len(prefix), int((key < np.uint64(1 << 63)).sum())))
                         tokens.append(prefix)
                         sizes.append(len(s))
                         prefixes.append(len(prefix))
             if tokens:
                 token, n = np.concatenate(tokens).view(np.int64), np.array(prefixes)
-                yield pa.record_batch([pa.array(token), pa.array(np.repeat(np.fromiter(seen, np.int64, len(seen)), n)), pa.array(np.repeat(np.array(sizes, np.int32), n))], ["token", "class", "n"])
+                at = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.record_batch([pa.array(token), pa.array(np.repeat(np.fromiter(seen, np.int64, len(seen)), n)), pa.array(at, pa.int32()), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.repeat(np.array(rare, np.int32), n))], ["token", "class", "at", "n", "rare"])
 
-    return docs.select("text").mapInArrow(run_all, "token long, class long, n int")
+    return docs.select("text").mapInArrow(run_all, "token long, class long, at int, n int, rare int")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
@@ -216,9 +224,14 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _close(a: str, b: str, percent: int) -> Column:
-    """The length filter."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may(a: str, b: str, percent: int) -> Column:
+    """Whether two sets (columns ``n`` and ``at`` of ``a`` and ``b``) that first meet in a token can be similar.
+
+    What they share then stands at or behind that token in both orders. Pairs
+    that are similar pass at the first token they share.
+    """
+    both = (F.col(f"{a}n") + F.col(f"{b}n")) * percent
+    return ((F.col(f"{a}n") - F.col(f"{a}at")) * (100 + percent) >= both) & ((F.col(f"{b}n") - F.col(f"{b}at")) * (100 + percent) >= both)
 
 
 def join(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
@@ -230,21 +243,23 @@ def join(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     owners = materialize(owners.select("class", "owner", "n", "outline").dropDuplicates(["class"]), "owners")
     postings = _postings(docs, _frequent(docs), percent)
     # a token that one class has alone leads nowhere; one shuffle by token finds the ends of the others
-    by_token, entry = Window.partitionBy("token"), F.struct("class", "n")
-    shared = postings.withColumns({"low": F.min(entry).over(by_token), "high": F.max(entry).over(by_token)}).where("low.class < high.class")
-    shared = materialize(shared.select("token", "class", "n", "low", "high"), "shared")
-    to_low = shared.where((F.col("class") != F.col("low.class")) & _close("n", "low.n", percent)).select(F.col("low.class").alias("a"), F.col("class").alias("b"))
-    to_high = shared.where((F.col("class") != F.col("high.class")) & _close("n", "high.n", percent)).select(F.col("class").alias("a"), F.col("high.class").alias("b"))
+    by_token = Window.partitionBy("token")
+    low, high = F.min(F.struct("rare", "class", "n", "at")).over(by_token), F.max(F.struct("class", "n", "at")).over(by_token)
+    several = F.min("class").over(by_token) < F.max("class").over(by_token)
+    shared = postings.withColumns({"low": low, "high": high, "several": several}).where("several")
+    shared = materialize(shared.select("token", "class", "n", "at", "low", "high"), "shared")
+    to_low = shared.where((F.col("class") != F.col("low.class")) & _may("", "low.", percent)).select(F.col("low.class").alias("a"), F.col("class").alias("b"))
+    to_high = shared.where((F.col("class") != F.col("high.class")) & _may("", "high.", percent)).select(F.col("class").alias("a"), F.col("high.class").alias("b"))
     links = _verified(docs, to_low.union(to_high).distinct(), owners, percent)
     labels = components(links, "a", "b")
     # tokens whose classes are not yet one component: all pairs of different components
-    labelled = shared.select("token", "class", "n").distinct().join(labels.withColumnRenamed("node", "class"), "class", "left")
-    labelled = materialize(labelled.select("token", "class", "n", F.coalesce("root", "class").alias("root")), "labelled")
+    labelled = shared.select("token", "class", "n", "at").distinct().join(labels.withColumnRenamed("node", "class"), "class", "left")
+    labelled = materialize(labelled.select("token", "class", "n", "at", F.coalesce("root", "class").alias("root")), "labelled")
     split = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     open_ = materialize(labelled.join(split, "token"), "open")
-    x = open_.select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close("na", "nb", percent)).select("a", "b").distinct()
+    x = open_.select("token", F.col("class").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("root").alias("ra"))
+    y = open_.select("token", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("root").alias("rb"))
+    rest = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may("a", "b", percent)).select("a", "b").distinct()
     more = _verified(docs, rest, owners, percent)
     roots = components(labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
     grouped = owners.select("class", "owner").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

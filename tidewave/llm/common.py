@@ -210,25 +210,40 @@ class Filter:
         return out
 
 
+#: Edges that one task of a star operation writes, and its least number of tasks.
+EDGES_PER_TASK, LEAST_TASKS = 500_000, 12
+
+
+def _stars(pairs: DataFrame) -> tuple[bool, int]:
+    """Whether each node of ``pairs`` (x, y) has one y or is one, never both; and the number of pairs."""
+    ends = pairs.select(F.col("x").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.union(pairs.select("y", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    chained = (F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))
+    row = nodes.agg(F.count(F.when(chained, 1)).alias("chained"), F.coalesce(F.sum("out"), F.lit(0)).alias("pairs")).first()
+    return row["chained"] == 0, row["pairs"]
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node that links reach, for all nodes of ``edges``.
 
     Alternates the two star operations of "Connected Components in MapReduce and
-    Beyond" (Kiveris et al. 2014) until nothing changes; each node's smallest
-    neighbour is found with partial aggregation, so a hub is no hot group.
+    Beyond" (Kiveris et al. 2014) until only stars are left; each node's smallest
+    neighbour is found with partial aggregation, so a hub is no hot group. Files
+    and tasks grow with the number of edges.
     """
     pairs = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where("x <> y").distinct()
-    pairs, before = materialize(pairs, "links"), None
+    pairs = materialize(pairs, "links")
     while True:
+        done, n = _stars(pairs)
+        if done:
+            break
+        tasks = max(LEAST_TASKS, n // EDGES_PER_TASK)
         both = pairs.union(pairs.select("y", "x"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        large = materialize(large, "links")
+        large = materialize(large.coalesce(tasks), "links")
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").union(least.select("x", F.col("m").alias("y"))).distinct()
-        pairs = materialize(small, "links")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        pairs = materialize(small.coalesce(tasks), "links")
     return pairs.select(F.col("x").alias("node"), F.col("y").alias("root")).union(pairs.select("y", "y").distinct())

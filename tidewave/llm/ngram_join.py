@@ -163,6 +163,8 @@ def _postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) that pass the other orders and are similar."""
     pairs = materialize(_promising(pairs, owners, percent), "pairs")
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(owners.select("class", "owner"), "class")
     wanted = materialize(wanted.select(F.xxhash64("class", "owner").alias("key")), "wanted")
     shared = docs.sparkSession.sparkContext.broadcast(Filter.of(wanted, "key"))

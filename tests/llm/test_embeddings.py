@@ -27,3 +27,31 @@ def test_near_duplicates(spark):
     assert sorted(zip(found.vec_id, found.n_links, found.component_id)) == expected
     assert (found.kept == (found.vec_id == found.component_id)).all()
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def brute(x):
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(x))
+    for _ in range(50):
+        label = np.minimum(label, np.where(linked, label[None, :], 1 << 40).min(1))
+    return linked.sum(1), label
+
+
+def test_links_between_dense_groups(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a, away = unit(rng.standard_normal((2, 64)))
+    away = unit(away - (away @ a) * a)
+    parts = []
+    for cosine in (1.0, 0.971, 0.8):  # the second links with the first at about 0.96, the third with none
+        centre = cosine * a + np.sqrt(1 - cosine**2) * away
+        parts.append(unit(np.sqrt(0.99) * centre + np.sqrt(0.01) * unit(rng.standard_normal((300, 64)))))
+    x = np.concatenate([*parts, unit(rng.standard_normal((100, 64)))])
+    assert (parts[0] @ parts[1].T >= 0.95).mean() > 0.8
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = embedding_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
+    n_links, label = brute(x)
+    assert label[300] == 0 and label[600] == 600
+    assert found.component_id.tolist() == label.tolist()
+    assert found.n_links.tolist() == n_links.tolist()

@@ -9,7 +9,10 @@
 3. A bounded sample of nodes is compared with all rows to audit the recall;
    while it is below ``WANTED_RECALL`` more codes and rounds follow.
 4. Edges that reach the threshold in double precision give the components.
-   As a group may be larger than any list, links are then counted exactly
+   A list of a dense group may hold none of the links to another dense group:
+   components with a node of ``NEIGHBOURS`` links are cut into cells around
+   pivots, cells of two components that angles don't rule out are compared in
+   full, and components that link are joined. Links are then counted exactly
    inside each component, in blocks; no pair is ever written.
 
 Large code blocks, hubs and components are split by hash, so no task gathers an
@@ -36,6 +39,8 @@ NEIGHBOURS, MOST_NEIGHBOURS = 10, 40
 CODES, CODE_NODES, BLOCK_NODES = 6, 96, 256
 GROUP_NODES, TASK_NODES = 64, 8000
 ROUNDS, ROUNDS_LATER, PASSES = 3, 1, 3
+#: Cells of a dense component at most; cells and nodes of a block; nodes of a cell that are tried before all.
+MOST_CELLS, BLOCK_CELLS, TRIED_NODES = 512, 2048, 64
 #: Nodes that the audit compares with all rows; a documented bound.
 AUDITED, WANTED_RECALL = 256, 0.97
 
@@ -228,6 +233,115 @@ def _links(x: DataFrame, graph: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def _cells(own: DataFrame, n: int, seed: int) -> DataFrame:
+    """(root, id, x, cell, angle): each node of ``own`` (root, id, x) with its component's nearest pivot."""
+    sizes = own.groupBy("root").agg(F.count("*").alias("size"))
+    sized = own.join(sizes, "root").withColumn("parts", F.ceil(F.col("size") / (2 * BLOCK_NODES)).cast("int"))
+    rate = F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt("size") / 4)) / F.col("size")
+    picked = (F.col("id") == F.col("root")) | (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < rate * (1 << 30))
+    tasks = max(4, n // TASK_NODES)
+    part, task = F.xxhash64("root", "part").alias("group"), F.pmod(F.xxhash64("root", "part"), F.lit(tasks)).alias("task")
+    nodes_ = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(task, part, "root", "id", "x")
+    pivots = sized.where(picked).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(task, part, F.col("id").alias("pivot"), F.col("x").alias("centre"))
+
+    def assign(t: pa.Table, centres: pa.Table) -> pa.Table:
+        m, c, ids = _matrix(t["x"], np.float64), _matrix(centres["centre"], np.float64), _ids(centres["pivot"])
+        of = {int(_ids(centres["group"])[at[0]]): at for at in _groups(_ids(centres["group"]))}
+        group, cell, angle = _ids(t["group"]), np.zeros(len(t), np.int64), np.zeros(len(t))
+        for rows in _groups(group):
+            at = of[int(group[rows[0]])]
+            sims = m[rows] @ c[at].T
+            best = sims.argmax(1)
+            cell[rows], angle[rows] = ids[at][best], np.arccos(np.clip(sims[np.arange(len(rows)), best], -1, 1))
+        return t.select(["root", "id", "x"]).append_column("cell", pa.array(cell)).append_column("angle", pa.array(angle))
+
+    return nodes_.groupBy("task").cogroup(pivots.groupBy("task")).applyInArrow(assign, "root long, id long, x binary, cell long, angle double")
+
+
+def _near_cells(cells: DataFrame) -> DataFrame:
+    """(ca, cb, ra, rb): cells (cell, root, radius, x) of two components that may hold a link."""
+    parts = max(1, -(-cells.count() // BLOCK_CELLS))
+    dealt = cells.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts)).cast("int"))
+    mates = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    dealt = dealt.select("cell", "root", "radius", "x", "part", F.explode(mates).alias("pair"))
+
+    def near(t: pa.Table) -> pa.Table:
+        cell, root, part, r, m = _ids(t["cell"]), _ids(t["root"]), _ids(t["part"]), t["radius"].to_numpy(), _matrix(t["x"], np.float64)
+        out = []
+        for i in range(len(t)):  # a row at a time: only what may link takes space
+            may = np.arccos(np.clip(m @ m[i], -1, 1)) <= r + r[i] + np.arccos(THRESHOLD) + 1e-6
+            # two parts: those inside one are met in their own group
+            may &= (root != root[i]) & ((part > part[i]) if part.min() != part.max() else (np.arange(len(t)) > i))
+            out += [(cell[i], cell[j], root[i], root[j]) for j in np.flatnonzero(may)]
+        found = np.array(out, np.int64).reshape(-1, 4)
+        return pa.table({c: pa.array(found[:, k]) for k, c in enumerate(("ca", "cb", "ra", "rb"))})
+
+    return dealt.groupBy("pair").applyInArrow(near, "ca long, cb long, ra long, rb long")
+
+
+def _tried(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): the components of ``pairs`` of cells of which any two of ``members`` (cell, id, x) link, all compared in blocks."""
+    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / (2 * BLOCK_NODES)).cast("int").alias("parts"))
+    dealt = members.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "x")
+    side = lambda c, p: sizes.select(F.col("cell").alias(c), F.col("parts").alias(p))
+    blocks = pairs.join(side("ca", "pa"), "ca").join(side("cb", "pb"), "cb")
+    blocks = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pa") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)))
+    blocks = materialize(blocks.withColumn("group", F.xxhash64("ca", "cb", "i", "j")).select("group", "ca", "cb", "i", "j", "ra", "rb"), "blocks")
+    one = blocks.select("group", F.col("ca").alias("cell"), F.col("i").alias("part"), F.col("ra").alias("root"), F.lit(0).alias("side"))
+    two = blocks.select("group", F.col("cb").alias("cell"), F.col("j").alias("part"), F.col("rb").alias("root"), F.lit(1).alias("side"))
+    rows = one.union(two).join(dealt, ["cell", "part"]).select("group", "root", "side", "x")
+    tasks = max(4, blocks.count() // 16)
+
+    def link(t: pa.Table) -> pa.Table:
+        group, root, side, m, out = _ids(t["group"]), _ids(t["root"]), _ids(t["side"]), _matrix(t["x"], np.float64), set()
+        for at in _groups(group):
+            a, b = at[side[at] == 0], at[side[at] == 1]
+            if len(a) and len(b) and (m[a] @ m[b].T >= THRESHOLD).any():
+                out.add((int(root[a[0]]), int(root[b[0]])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.withColumn("task", F.pmod("group", F.lit(tasks))).groupBy("task").applyInArrow(link, "a long, b long")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with the components joined that ``links`` (a, b) name by their roots."""
+    over = components(links, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("over"))
+    return roots.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+
+
+def _bridged(x: DataFrame, graph: DataFrame, roots: DataFrame, n: int, seed: int) -> DataFrame:
+    """``roots`` with the dense components joined that hold a link between them.
+
+    A comparison keeps ``NEIGHBOURS`` entries for a node, so a node with as many
+    links may have lost others. A node with fewer has room for all it meets.
+    """
+
+    def rich(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["id"]).filter(pa.array([bool((np.frombuffer(s, np.float32) >= THRESHOLD - SLACK).sum() >= NEIGHBOURS) for s in batch["sims"].to_pylist()], pa.bool_()))
+
+    dense = graph.select("id", "sims").mapInArrow(rich, "id long")
+    dense = materialize(roots.join(dense, roots["node"] == dense["id"]).select("root").distinct(), "dense")
+    if dense.count() < 2:
+        return roots
+    own = roots.join(dense, "root", "left_semi").join(x.select(F.col("id").alias("node"), "x"), "node").select("root", F.col("node").alias("id"), "x")
+    own = materialize(own, "dense")
+    placed = materialize(_cells(own, n, seed), "placed")
+    cells = placed.groupBy("cell", "root").agg(F.max("angle").alias("radius"), F.count("*").alias("size"))
+    cells = materialize(cells.join(own.select(F.col("id").alias("cell"), "x"), "cell"), "cells")
+    pairs = materialize(_near_cells(cells), "pairs")
+    if pairs.isEmpty():
+        return roots
+    # most components that link do so in a few nodes of a cell; what is still apart is compared in full
+    few = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(TRIED_NODES) / F.col("size") * (1 << 30)
+    links = materialize(_tried(pairs, placed.join(cells.select("cell", "size"), "cell").where(few).select("cell", "id", "x")), "bridges")
+    over = components(links, "a", "b")
+    side = lambda r, o: over.select(F.col("node").alias(r), F.col("root").alias(o))
+    apart = pairs.join(side("ra", "oa"), "ra", "left").join(side("rb", "ob"), "rb", "left").where(F.coalesce("oa", "ra") != F.coalesce("ob", "rb"))
+    links = links.union(materialize(_tried(apart.select("ca", "cb", "ra", "rb"), placed.select("cell", "id", "x")), "bridges"))
+    return _joined(roots, links)
+
+
 def _counts(x: DataFrame, roots: DataFrame, n: int) -> DataFrame:
     """(id, linked): rows that each node links with directly, counted inside its component."""
     own = roots.join(x.select("id", "n", "x"), roots["node"] == x["id"]).select("root", "id", "n", "x")
@@ -289,6 +403,7 @@ def near_duplicates(vectors: DataFrame, seed: int = 5) -> DataFrame:
         for r in range(ROUNDS_LATER if again else ROUNDS):
             graph = _round(x, graph, n, seed + 10 * again + r)
         roots = materialize(components(_links(x, graph), "a", "b"), "roots")
+        roots = materialize(_bridged(x, graph, roots, n, seed + again), "roots")
         if audit(x, roots, n, seed + again) >= WANTED_RECALL:
             break
     counts = _counts(x, roots, n)

@@ -55,3 +55,21 @@ def test_links_between_dense_groups(spark):
     assert label[300] == 0 and label[600] == 600
     assert found.component_id.tolist() == label.tolist()
     assert found.n_links.tolist() == n_links.tolist()
+
+
+def test_audit_sees_small_groups_beside_a_hot_one(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    hot = unit(rng.standard_normal(64)) + 0.01 * rng.standard_normal((1500, 64))
+    pairs = np.repeat(rng.standard_normal((300, 64)), 2, 0) + 0.01 * rng.standard_normal((600, 64))
+    x = unit(np.concatenate([hot, pairs]))
+    nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, x binary")
+    lists = [(i, 10, np.arange(i + 1, i + 11).tobytes(), np.full(10, 0.99, np.float32).tobytes(), bytes(10)) for i in range(1490)]
+    graph = spark.createDataFrame(lists, "id long, k int, ids binary, sims binary, news binary")
+    roots = spark.createDataFrame([(i, 0) for i in range(1500)], "node long, root long")  # no pair is found
+    small, dense = embedding_dedup.audit(nodes, graph, roots, 5)
+    assert dense == 1 and small < 0.2  # ten nodes of the hot group have no list
+    alone = nodes.where("id >= 1500 and id % 2 = 0")
+    assert embedding_dedup.audit(alone, graph.limit(0), roots.limit(0), 5) == (None, None)
+    exact = {r["node"]: r["root"] for r in embedding_dedup._in_full(nodes, 2100).collect()}
+    assert exact == {i: 0 if i < 1500 else i // 2 * 2 for i in range(2100)}

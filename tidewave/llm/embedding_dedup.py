@@ -6,8 +6,12 @@
    neighbour of with each other, and lists keep the nearest. Only pairs with a
    new edge are compared. A list whose last entry still reaches the threshold
    is saturated and doubles, up to ``MOST_NEIGHBOURS``.
-3. A bounded sample of nodes is compared with all rows to audit the recall;
-   while it is below ``WANTED_RECALL`` more codes and rounds follow.
+3. Rounds go on until few nodes gain a link. Then come fresh codes: how many
+   nodes they give a link that was not known tells what is still lost, also
+   among pairs too rare for a sample. A bounded sample of nodes, drawn by how
+   many links they are known to have, is compared with all rows besides. While
+   either falls short of ``WANTED_RECALL`` more codes and rounds follow; a
+   recall that stays below ``LEAST_RECALL`` makes all blocks meet each other.
 4. Edges that reach the threshold in double precision give the components.
    A list of a dense group may hold none of the links to another dense group:
    components with a node of ``NEIGHBOURS`` links are cut into cells around
@@ -36,13 +40,15 @@ THRESHOLD = 0.95
 #: Float similarities this close below the threshold are still verified.
 SLACK = 1e-4
 NEIGHBOURS, MOST_NEIGHBOURS = 10, 40
-CODES, CODE_NODES, BLOCK_NODES = 6, 96, 256
+CODES, CODE_NODES, BLOCK_NODES = 3, 96, 256
 GROUP_NODES, TASK_NODES = 64, 8000
-ROUNDS, ROUNDS_LATER, PASSES = 3, 1, 3
+ROUNDS, ROUNDS_LATER, MOST_ROUNDS, PASSES = 3, 1, 8, 6
+#: Rounds end when a smaller share of the linked nodes gains a link.
+CHANGED = 0.01
 #: Cells of a dense component at most; cells and nodes of a block; nodes of a cell that are tried before all.
 MOST_CELLS, BLOCK_CELLS, TRIED_NODES = 512, 2048, 64
-#: Nodes that the audit compares with all rows; a documented bound.
-AUDITED, WANTED_RECALL = 256, 0.97
+#: Nodes of each kind (no, few, many known links) that the audit compares with all rows; a documented bound.
+AUDITED, WANTED_RECALL, LEAST_RECALL = 256, 0.97, 0.9
 
 _LISTS = "id long, ids binary, sims binary"
 
@@ -103,22 +109,29 @@ def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, known.select(F.col("node").alias("id"), "least_id", "n", "x")
 
 
+def _codes(bits: int) -> int:
+    """Codes of a pass, so that two passes bring a pair at the threshold together with probability ``WANTED_RECALL``."""
+    alike = (1 - np.arccos(THRESHOLD) / np.pi) ** bits
+    return CODES if alike == 1 else max(CODES, int(np.ceil(np.log(1 - WANTED_RECALL) / np.log(1 - alike) / 2)))
+
+
 def _by_codes(x: DataFrame, n: int, seed: int) -> DataFrame:
     """Lists of near nodes among those of equal random-hyperplane code."""
     bits = max(0, int(np.ceil(np.log2(max(1, n) / CODE_NODES))))
+    number = _codes(bits)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _matrix(batch["x"], np.float32)
-            for t in range(CODES):
+            for t in range(number):
                 planes = np.random.default_rng([seed, t]).standard_normal((m.shape[1], bits)).astype(np.float32)
                 codes = ((m @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64) if bits else np.zeros(len(m), np.int64)
-                yield pa.record_batch([pa.array(codes * CODES + t), batch["id"]], ["code", "id"])
+                yield pa.record_batch([pa.array(codes * number + t), batch["id"]], ["code", "id"])
 
     codes = materialize(x.mapInArrow(code, "code long, id long"), "codes")
     sizes = codes.groupBy("code").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
     placed = codes.join(sizes, "code").select("id", F.xxhash64("code", F.pmod(F.xxhash64("id", F.lit(seed)), "parts")).alias("group"))
-    tasks = max(4, CODES * n // TASK_NODES)
+    tasks = max(4, number * n // TASK_NODES)
 
     def compare(t: pa.Table) -> pa.Table:
         group, ids, m, found = _ids(t["group"]), _ids(t["id"]), _matrix(t["x"], np.float32), []
@@ -369,27 +382,94 @@ def _counts(x: DataFrame, roots: DataFrame, n: int) -> DataFrame:
     return dealt.groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
-def audit(x: DataFrame, roots: DataFrame, n: int, seed: int) -> float:
-    """Share of the links of ``AUDITED`` nodes, found by brute force, that the components hold."""
-    rate = min(1.0, AUDITED / max(1, n))
-    sample = x.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < rate * (1 << 20)).select("id", "x").limit(2 * AUDITED).toPandas()
+def _gained(graph: DataFrame) -> float:
+    """Share of the nodes with few links that have a new one; nodes of dense groups always gain some and don't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        linked = gained = 0
+        for batch in batches:
+            for sims, news in zip(batch["sims"].to_pylist(), batch["news"].to_pylist()):
+                near = np.frombuffer(sims, np.float32) >= THRESHOLD - SLACK
+                if 0 < near.sum() < NEIGHBOURS:
+                    linked += 1
+                    gained += bool(np.frombuffer(news, np.uint8)[near].any())
+        yield pa.record_batch([pa.array([linked], pa.int64()), pa.array([gained], pa.int64())], ["linked", "gained"])
+
+    row = graph.select("sims", "news").mapInArrow(run, "linked long, gained long").agg(F.sum("linked").alias("linked"), F.sum("gained").alias("gained")).first()
+    return row["gained"] / row["linked"] if row["linked"] else 0.0
+
+
+def audit(x: DataFrame, graph: DataFrame, roots: DataFrame, seed: int) -> tuple[float | None, float | None]:
+    """Share of the linked nodes whose component holds all their links: of those with few known links, and with many.
+
+    Up to ``AUDITED`` nodes with no, few and many known links each are compared
+    with all; None where no node of the sample has a link.
+    """
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = np.array([(np.frombuffer(s, np.float32) >= THRESHOLD - SLACK).sum() for s in batch["sims"].to_pylist()], np.int64)
+            yield pa.record_batch([batch["id"], pa.array((links > 0).astype(np.int32) + (links >= NEIGHBOURS))], ["node", "kind"])
+
+    kinds = graph.select("id", "sims").mapInArrow(known, "node long, kind int")
+    own = x.select("id").join(kinds, F.col("id") == F.col("node"), "left").select("id", F.coalesce("kind", F.lit(0)).alias("kind"))
+    own = own.join(roots, F.col("id") == F.col("node"), "left").select("id", "kind", F.coalesce("root", "id").alias("root"))
+    own = materialize(own, "kinds")
+    sizes = {r["kind"]: r["count"] for r in own.groupBy("kind").count().collect()}
+    if not sizes:
+        return None, None
+    rooted = own.select(F.col("id").alias("node"), "kind", "root").join(x.select("id", "x"), F.col("node") == F.col("id")).select("id", "kind", "root", "x")
+    place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
+    parts = [rooted.where((F.col("kind") == k) & (place < min(1.0, AUDITED / size) * (1 << 30))).limit(2 * AUDITED) for k, size in sorted(sizes.items())]
+    sample = parts[0]
+    for part in parts[1:]:
+        sample = sample.union(part)
+    sample = sample.toPandas()
     if sample.empty:
-        return 1.0
-    shared = x.sparkSession.sparkContext.broadcast((sample["id"].to_numpy(np.int64), np.stack([np.frombuffer(v, np.float64) for v in sample["x"]])))
+        return None, None
+    shared = x.sparkSession.sparkContext.broadcast((sample["id"].to_numpy(np.int64), sample["root"].to_numpy(np.int64), np.stack([np.frombuffer(v, np.float64) for v in sample["x"]])))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m = shared.value
+        ids, root, m = shared.value
+        linked, held = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for batch in batches:
-            own = _ids(batch["id"])
-            if len(own):
-                i, j = np.nonzero(_matrix(batch["x"], np.float64) @ m.T >= THRESHOLD)
-                keep = own[i] != ids[j]
-                yield pa.record_batch([pa.array(own[i][keep]), pa.array(ids[j][keep])], ["a", "b"])
+            if len(batch):
+                near = (_matrix(batch["x"], np.float64) @ m.T >= THRESHOLD) & (_ids(batch["id"])[:, None] != ids[None])
+                linked += near.sum(0)
+                held += (near & (_ids(batch["root"])[:, None] == root[None])).sum(0)
+        at = np.flatnonzero(linked)
+        yield pa.record_batch([pa.array(ids[at]), pa.array(linked[at]), pa.array(held[at])], ["id", "linked", "held"])
+
+    true = rooted.select("id", "root", "x").mapInArrow(brute, "id long, linked long, held long").groupBy("id").agg((F.sum("linked") == F.sum("held")).alias("whole")).toPandas()
+    kind = dict(zip(sample["id"], sample["kind"]))
+    weight = {k: size / max(1, (sample["kind"] == k).sum()) for k, size in sizes.items()}
+    out = []
+    for which in ((0, 1), (2,)):
+        found = [(weight[kind[i]], whole) for i, whole in zip(true["id"], true["whole"]) if kind[i] in which]
+        out.append(sum(w for w, whole in found if whole) / sum(w for w, _ in found) if found else None)
+    return out[0], out[1]
+
+
+def _in_full(x: DataFrame, n: int) -> DataFrame:
+    """(node, root) by comparing every two blocks of nodes: the exact components, at a cost that grows with the square of ``n``."""
+    parts = max(1, -(-n // BLOCK_CELLS))
+    dealt = x.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    mates = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+
+    def span(t: pa.Table) -> pa.Table:
+        ids, m = _ids(t["id"]), _matrix(t["x"], np.float64)
+        linked, label = m @ m.T >= THRESHOLD, np.arange(len(t))
+        np.fill_diagonal(linked, True)
+        while True:  # the least row that links reach inside the block
+            new = np.where(linked, label[None, :], len(t)).min(1)
+            if (new == label).all():
+                break
+            label = new
+        at = label != np.arange(len(t))
+        return pa.table({"a": pa.array(ids[at]), "b": pa.array(ids[label[at]])})
 
-    true = x.select("id", "x").mapInArrow(brute, "a long, b long")
-    held = true.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    row = held.agg(F.count("*").alias("all"), F.coalesce(F.sum((F.col("ra") == F.col("rb")).cast("long")), F.lit(0)).alias("held")).first()
-    return row["held"] / row["all"] if row["all"] else 1.0
+    links = dealt.select("id", "x", F.explode(mates).alias("pair")).groupBy("pair").applyInArrow(span, "a long, b long")
+    return components(links, "a", "b")
 
 
 def near_duplicates(vectors: DataFrame, seed: int = 5) -> DataFrame:
@@ -397,15 +477,24 @@ def near_duplicates(vectors: DataFrame, seed: int = 5) -> DataFrame:
     ids = vectors.select("vec_id")
     members, x = nodes(vectors)
     n = x.count()
-    graph, roots = None, None
+    graph, roots, least = None, None, 0.0
     for again in range(PASSES):
         graph = materialize(_merge(_by_codes(x, n, seed + again), graph), "graph")
-        for r in range(ROUNDS_LATER if again else ROUNDS):
+        lost = _gained(graph) if again else 1.0
+        for r in range(MOST_ROUNDS):
             graph = _round(x, graph, n, seed + 10 * again + r)
+            if r + 1 >= (ROUNDS_LATER if again else ROUNDS) and _gained(graph) < CHANGED:
+                break
+        if not again:  # what the first codes have lost only others can tell
+            continue
         roots = materialize(components(_links(x, graph), "a", "b"), "roots")
         roots = materialize(_bridged(x, graph, roots, n, seed + again), "roots")
-        if audit(x, roots, n, seed + again) >= WANTED_RECALL:
+        # a sample without links is no evidence; what fresh codes find is
+        least = min([1 - lost, *(share for share in audit(x, graph, roots, seed + again) if share is not None)])
+        if least >= WANTED_RECALL:
             break
+    if least < LEAST_RECALL:
+        roots = materialize(_in_full(x, n), "roots")
     counts = _counts(x, roots, n)
     grouped = x.select("id", "least_id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
     grouped = materialize(grouped, "grouped")

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewave.functions import kernels
 from tidewave.operators import models, signals
+from tidewave.plans import catalog
 from tidewave.sources import tables, xdf
 from tidewave.streaming import online
 
@@ -94,3 +96,22 @@ def test_classifiers(spark):
     f = spark.createDataFrame(rows, "row_id long, class string, x array<double>")
     for found in (models.predict(models.fit("logreg", f), f), models.Discriminant.fit(f).predict(f)):
         assert models.metrics(found).first()["accuracy"] > 0.95
+
+
+def test_online_forms_take_files_in_any_order(spark, sf, tmp_path):
+    events = tables.table(spark, sf, "events")
+    events.repartition(5, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    s = events.select(F.col("user_id").alias("signal_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel"), "value")
+    plain = lambda df: sorted((str(tuple(v if not isinstance(v, float) else round(v, 9) for v in r)) for r in df.select(sorted(df.columns)).collect()))
+    for name, batch in (("window_online", online.tumbling(s, "2 days")), ("session_online", online.sessions(s, "6 hours"))):
+        found = catalog.QUERIES[name](spark, str(tmp_path))
+        assert plain(found) == plain(batch)
+        assert found.agg(F.sum("n")).first()[0] == events.count()
+    assert plain(catalog.QUERIES["segment_online"](spark, str(tmp_path))) == plain(catalog.QUERIES["segment_online"](spark, sf))
+    # signals whose span is longer than any watermark that was fitted to the data
+    far = events.withColumn("ts", F.when(F.col("event_id") % 2 == 0, F.expr("ts + interval 400 days")).otherwise(F.col("ts")))
+    far.repartition(5, F.col("event_id") % 2).write.parquet(f"{tmp_path}/far/events.parquet")
+    m = far.where("event_type = 'purchase'").select(F.col("user_id").alias("u"), F.col("ts").alias("marker_ts"))
+    near = F.expr("ts >= marker_ts - interval 6 hours and ts < marker_ts + interval 6 hours")
+    expected = far.join(m, (F.col("user_id") == F.col("u")) & near).count()
+    assert catalog.QUERIES["segment_online"](spark, f"{tmp_path}/far").count() == expected

@@ -612,18 +612,18 @@ def cv_mean(spark: SparkSession, sf: str) -> DataFrame:
 def segment_online(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{sf}/events.parquet*"
     m = online.stream(spark, path).where("channel = 'purchase'").select("signal_id", F.col("ts").alias("marker_ts"))
-    out = online.drained(online.segment(online.stream(spark, path), m, -_DAY / 4, _DAY / 4, "40 days").drop("seq"), "segments")
+    out = online.drained(online.segment(online.stream(spark, path), m, -_DAY / 4, _DAY / 4).drop("seq"), "segments")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "marker_ts")})
 
 
 @query("window_online")
 def window_online(spark: SparkSession, sf: str) -> DataFrame:
-    return online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "2 days"), "windows")
+    return online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "2 days"), "windows", "complete")
 
 
 @query("session_online")
 def session_online(spark: SparkSession, sf: str) -> DataFrame:
-    return online.drained(online.sessions(online.stream(spark, f"{sf}/events.parquet*"), "6 hours"), "sessions")
+    return online.drained(online.sessions(online.stream(spark, f"{sf}/events.parquet*"), "6 hours"), "sessions", "complete")
 
 
 @query("fir_online")

@@ -13,9 +13,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SAMPLES = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of event files as a stream of samples."""
-    df = spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A folder of event files as a stream of samples.
+
+    All files that are there come in one trigger, as they need not follow the
+    order of time: of files taken in turn, rows older than the watermark of the
+    earlier ones would be dropped. ``files_per_trigger`` is for files in order.
+    """
+    reader = spark.readStream.schema(SAMPLES)
+    df = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
     return df.select(F.col("user_id").alias("signal_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel"), "value")
 
 
@@ -72,13 +78,22 @@ def ring(samples: DataFrame, size: int) -> DataFrame:
 
 
 def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and gives what it has written, as a table in the shared folder."""
+    """Runs a stream over all that is there and gives what it has written, as a table in the shared folder.
+
+    ``complete`` gives every group of an aggregation, also those that the
+    watermark has not closed at the end; the last trigger's result counts.
+    """
     import tempfile
     import uuid
 
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    started = df.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
+    else:
+        writer = writer.format("parquet").option("path", f"{path}/out")
+    started = writer.start()
     started.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out")

@@ -115,3 +115,14 @@ def test_online_forms_take_files_in_any_order(spark, sf, tmp_path):
     near = F.expr("ts >= marker_ts - interval 6 hours and ts < marker_ts + interval 6 hours")
     expected = far.join(m, (F.col("user_id") == F.col("u")) & near).count()
     assert catalog.QUERIES["segment_online"](spark, f"{tmp_path}/far").count() == expected
+
+
+def test_bands_hold_their_frequencies(spark, sf):
+    for n in (1024, 256, 100):  # a short signal is filled up
+        bands = catalog.band_power(SINE[:n])
+        assert bands.argmax() == 2 and bands[2] > 0.9 * bands.sum()
+    assert len(kernels.welch(SINE[:100], FS)[1]) == 129
+    noise = np.random.default_rng(1).standard_normal(100)
+    assert (catalog.band_power(noise) > 0).all()
+    rows = catalog.QUERIES["psd_welch"](spark, sf).groupBy("signal_id", "channel").count().select("count").distinct().collect()
+    assert [r[0] for r in rows] == [129]

@@ -395,7 +395,8 @@ def _feature(name: str, kernel: Callable[[np.ndarray], np.ndarray]) -> None:
 
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return signals.spread(signals.transform(signals.frames(tables.samples(spark, sf)), kernel), seq="item")
+        out = signals.spread(signals.transform(signals.frames(tables.samples(spark, sf)), kernel), seq="item")
+        return out.withColumn("value", F.when(~F.isnan("value"), F.col("value"))) if name == "band_power" else out
 
 
 _BANDS = ((0.5, 4), (4, 8), (8, 13), (13, 30), (30, 100))
@@ -403,7 +404,8 @@ _BANDS = ((0.5, 4), (4, 8), (8, 13), (13, 30), (30, 100))
 
 def band_power(x: np.ndarray) -> np.ndarray:
     f, p = kernels.welch(x, 256.0)
-    return np.array([p[(f >= a) & (f < b)].sum() for a, b in _BANDS])
+    inside = [(f >= a) & (f < b) for a, b in _BANDS]
+    return np.array([p[at].sum() if at.any() else np.nan for at in inside])
 
 
 _FREQS = np.array([16.0, 32.0, 64.0])

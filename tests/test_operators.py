@@ -126,3 +126,11 @@ def test_bands_hold_their_frequencies(spark, sf):
     assert (catalog.band_power(noise) > 0).all()
     rows = catalog.QUERIES["psd_welch"](spark, sf).groupBy("signal_id", "channel").count().select("count").distinct().collect()
     assert [r[0] for r in rows] == [129]
+
+
+def test_whole_tables_are_counted_and_written(spark, sf):
+    lines, events = tables.table(spark, sf, "lineitem").count(), tables.table(spark, sf, "events")
+    assert catalog.QUERIES["class_count_all"](spark, sf).agg(F.sum("n")).first()[0] == lines
+    found = catalog.QUERIES["xdf_roundtrip_all"](spark, sf)
+    assert found.count() == events.count()
+    assert found.select("channel").distinct().count() == events.select("event_type").distinct().count() > 1

@@ -56,6 +56,14 @@ def xdf_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: (x for b in it for c in b["content"] for x in xdf.decode(c)), xdf.SCHEMA)
 
 
+@query("xdf_roundtrip_all", f"WITH {_SAMPLES} SELECT CAST(signal_id AS VARCHAR) AS stream, seq, epoch_us(ts) / 1000000.0::DOUBLE AS ts, channel, value FROM samples")
+def xdf_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All channels; as each has times of its own, each is a stream."""
+    rows = tables.samples(spark, sf).select(F.concat_ws("/", "signal_id", "channel").alias("stream"), "seq", (signals.micros("ts") / 1e6).alias("ts"), "channel", "value")
+    found = xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: (x for b in it for c in b["content"] for x in xdf.decode(c)), xdf.SCHEMA)
+    return found.withColumn("stream", F.substring_index("stream", "/", 1))
+
+
 @query("xdf_footer", f"WITH {_SAMPLES} SELECT signal_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS sample_count FROM samples GROUP BY signal_id")
 def xdf_footer(spark: SparkSession, sf: str) -> DataFrame:
     return tables.samples(spark, sf).groupBy("signal_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("sample_count"))
@@ -162,6 +170,11 @@ def class_count(spark: SparkSession, sf: str) -> DataFrame:
     return tables.wide(spark, sf).where("seq % 20 = 0").groupBy("class").agg(F.count("*").alias("n"))
 
 
+@query("class_count_all", f"WITH {_WIDE} SELECT class, count(*) AS n FROM wide GROUP BY class")
+def class_count_all(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.wide(spark, sf).groupBy("class").agg(F.count("*").alias("n"))
+
+
 @query("conf_filter", f"WITH {_SAMPLES} SELECT * FROM samples WHERE value >= 0.9")
 def conf_filter(spark: SparkSession, sf: str) -> DataFrame:
     return tables.samples(spark, sf).where("value >= 0.9")

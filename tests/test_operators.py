@@ -134,3 +134,32 @@ def test_whole_tables_are_counted_and_written(spark, sf):
     found = catalog.QUERIES["xdf_roundtrip_all"](spark, sf)
     assert found.count() == events.count()
     assert found.select("channel").distinct().count() == events.select("event_type").distinct().count() > 1
+
+
+def test_filters_in_blocks_equal_the_whole(spark, sf, monkeypatch):
+    monkeypatch.setattr(catalog, "_BLOCK", 6)
+    monkeypatch.setattr(catalog, "_WINDOW", 4)
+    whole = {}
+    for r in tables.samples(spark, sf).orderBy("seq").collect():
+        whole.setdefault((r["signal_id"], r["channel"]), []).append(r["value"])
+    assert max(map(len, whole.values())) > 6
+    kernel = {"fir_zero": lambda x: kernels.fir(x, catalog._BAND, "zero"), "detrend_highpass": lambda x: kernels.fir(x, catalog._HIGH, "zero_shift"), "detrend_local": lambda x: kernels.detrend_local(x, 8, 2)}
+    for name, f in kernel.items():
+        found = {(r["signal_id"], r["channel"], r["seq"]): r["value"] for r in catalog.QUERIES[name](spark, sf).collect()}
+        expected = {(*key, i): v for key, x in whole.items() for i, v in enumerate(f(np.array(x)))}
+        assert found.keys() == expected.keys()
+        assert np.allclose([found[k] for k in expected], list(expected.values()))
+    entropies = catalog.QUERIES["ent_sample"](spark, sf)
+    assert entropies.count() == sum(-(-len(x) // 4) for x in whole.values())
+
+
+def test_fbcsp_selects_on_bounded_trials(spark, monkeypatch):
+    monkeypatch.setattr(models, "MOST_TRIALS", 30)
+    seen = []
+    score = models._mutual_information
+    monkeypatch.setattr(models, "_mutual_information", lambda x, label: seen.append(len(x)) or score(x, label))
+    rng = np.random.default_rng(6)
+    rows = [(i, "ab"[i % 2], 0, s, (rng.standard_normal(4) * (1 + 2 * (i % 2 == np.arange(4) % 2))).tolist()) for i in range(60) for s in range(10)]
+    trials = spark.createDataFrame(rows, "trial_id long, class string, band int, seq long, x array<double>")
+    model = models.FBCSP.fit(trials)
+    assert set(seen) == {30} and model.transform(trials).count() == 60

@@ -148,6 +148,19 @@ def frames(samples: DataFrame, keys: Sequence[str] = SIGNAL) -> DataFrame:
     return samples.groupBy(*keys).agg(F.transform(ordered, lambda r: r["value"]).alias("x"))
 
 
+def blocks(samples: DataFrame, size: int, overlap: int = 0) -> DataFrame:
+    """``samples`` with the ``block`` of ``size`` samples of its channel that each is in, and again where it is within ``overlap`` of another."""
+    at = lambda shift: F.floor((F.col("seq") + shift) / size)
+    return samples.withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), at(-overlap)), at(overlap))))
+
+
+def core(framed: DataFrame, size: int, overlap: int, column: str = "y") -> DataFrame:
+    """The arrays of ``blocks`` without what overlaps, as rows again."""
+    skip = F.least(F.col("block") * size, F.lit(overlap)).cast("int")
+    rows = spread(framed.withColumn(column, F.slice(column, skip + 1, size)), column)
+    return rows.withColumn("seq", F.col("seq") + F.col("block") * size).drop("block")
+
+
 def transform(framed: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], out: str = "y") -> DataFrame:
     """``framed`` with the array that ``kernel`` makes of each ``x``, in Arrow batches."""
 
@@ -164,11 +177,11 @@ def spread(framed: DataFrame, column: str = "y", value: str = "value", seq: str
     return framed.select(*keep, F.posexplode(column).alias(seq, value)).withColumn(seq, F.col(seq).cast("long"))
 
 
-def pairs(framed: DataFrame, diagonal: bool = False, by: str = "signal_id") -> DataFrame:
+def pairs(framed: DataFrame, diagonal: bool = False, by: Sequence[str] = ("signal_id",)) -> DataFrame:
     """Each two channels of a signal with their arrays ``xa``, ``xb``; the channels of a signal are few."""
-    a = framed.select(by, F.col("channel").alias("a"), F.col("x").alias("xa"))
-    b = framed.select(by, F.col("channel").alias("b"), F.col("x").alias("xb"))
-    return a.join(b, by).where(F.col("a") <= F.col("b") if diagonal else F.col("a") < F.col("b"))
+    a = framed.select(*by, F.col("channel").alias("a"), F.col("x").alias("xa"))
+    b = framed.select(*by, F.col("channel").alias("b"), F.col("x").alias("xb"))
+    return a.join(b, list(by)).where(F.col("a") <= F.col("b") if diagonal else F.col("a") < F.col("b"))
 
 
 def couple(paired: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], float], out: str) -> DataFrame:

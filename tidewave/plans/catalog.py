@@ -382,16 +382,34 @@ def _transformed(name: str, kernel: Callable[[np.ndarray], np.ndarray]) -> None:
         return signals.spread(signals.transform(signals.frames(tables.samples(spark, sf)), kernel))
 
 
+#: Samples of a block of a filtered channel, and of a window whose kernel's space or time grows faster than its length.
+_BLOCK, _WINDOW = 16_384, 1024
+
+
+def _blockwise(name: str, kernel: Callable[[np.ndarray], np.ndarray], overlap: int) -> None:
+    """A filter that reaches ``overlap`` samples to each side, in blocks: the same result as over the whole channel."""
+
+    @query(name)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        framed = signals.frames(signals.blocks(tables.samples(spark, sf), _BLOCK, overlap), (*signals.SIGNAL, "block"))
+        return signals.core(signals.transform(framed, kernel), _BLOCK, overlap)
+
+
+def _windowed(samples: DataFrame) -> DataFrame:
+    """One row for each channel and window of up to ``_WINDOW`` samples."""
+    return signals.frames(signals.blocks(samples, _WINDOW).withColumnRenamed("block", "window_id"), (*signals.SIGNAL, "window_id"))
+
+
 _HIGH = kernels.windowed_sinc(256, (1.0,), 101, stop=True)
 _SINC = kernels.windowed_sinc(256, (1.0,), 101, stop=True, window="blackman")
 _BAND = kernels.windowed_sinc(256, (8.0, 30.0), 41)
-_transformed("fir_zero", lambda x: kernels.fir(x, _BAND, "zero"))
+_blockwise("fir_zero", lambda x: kernels.fir(x, _BAND, "zero"), 40)
 _transformed("notch", lambda x: kernels.notch(x, 256.0, 50.0))
 _transformed("line_noise", lambda x: kernels.notch(x - kernels.fir(x, _HIGH, "zero_shift"), 256.0, 50.0) + kernels.fir(x, _HIGH, "zero_shift"))
 _transformed("resample", lambda x: kernels.resample(x, 3, 2))
-_transformed("detrend_highpass", lambda x: kernels.fir(x, _HIGH, "zero_shift"))
-_transformed("detrend_sinc", lambda x: kernels.fir(x, _SINC, "zero_shift"))
-_transformed("detrend_local", lambda x: kernels.detrend_local(x, 8, 2))
+_blockwise("detrend_highpass", lambda x: kernels.fir(x, _HIGH, "zero_shift"), 50)
+_blockwise("detrend_sinc", lambda x: kernels.fir(x, _SINC, "zero_shift"), 50)
+_blockwise("detrend_local", lambda x: kernels.detrend_local(x, 8, 2), 8)
 
 
 @query("fir_design")
@@ -403,12 +421,13 @@ def fir_design(spark: SparkSession, sf: str) -> DataFrame:
 # ---- spectra, entropies, connectivity ----------------------------------------------------
 
 
-def _feature(name: str, kernel: Callable[[np.ndarray], np.ndarray]) -> None:
-    """A query with one row for each number that the kernel makes of a channel."""
+def _feature(name: str, kernel: Callable[[np.ndarray], np.ndarray], windowed: bool = False) -> None:
+    """A query with one row for each number that the kernel makes of a channel, or of each window of it."""
 
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        out = signals.spread(signals.transform(signals.frames(tables.samples(spark, sf)), kernel), seq="item")
+        framed = (_windowed if windowed else signals.frames)(tables.samples(spark, sf))
+        out = signals.spread(signals.transform(framed, kernel), seq="item")
         return out.withColumn("value", F.when(~F.isnan("value"), F.col("value"))) if name == "band_power" else out
 
 
@@ -422,23 +441,24 @@ def band_power(x: np.ndarray) -> np.ndarray:
 
 
 _FREQS = np.array([16.0, 32.0, 64.0])
-_feature("ent_app", kernels.approximate_entropy)
-_feature("ent_sample", kernels.sample_entropy)
+_feature("ent_app", kernels.approximate_entropy, windowed=True)
+_feature("ent_sample", kernels.sample_entropy, windowed=True)
 _feature("ent_svd", kernels.svd_entropy)
 _feature("wavelet_energy", kernels.haar_energy)
 _feature("psd_welch", lambda x: kernels.welch(x, 256.0)[1])
-_feature("psd_multitaper", lambda x: kernels.multitaper(x, 256.0)[1])
+_feature("psd_multitaper", lambda x: kernels.multitaper(x, 256.0)[1], windowed=True)
 _feature("band_power", band_power)
 _feature("tfr_morlet", lambda x: (np.abs(kernels.morlet(x, 256.0, _FREQS)) ** 2).mean(1))
-_feature("tfr_multitaper", lambda x: np.mean([(np.abs(kernels.morlet(x * t, 256.0, _FREQS)) ** 2).mean(1) for t in kernels.slepians(len(x), 4.0 / 2, 3)], 0))
-_feature("tfr_stockwell", lambda x: (np.abs(kernels.stockwell(x)) ** 2).mean(1))
+_feature("tfr_multitaper", lambda x: np.mean([(np.abs(kernels.morlet(x * t, 256.0, _FREQS)) ** 2).mean(1) for t in kernels.slepians(len(x), 4.0 / 2, 3)], 0), windowed=True)
+_feature("tfr_stockwell", lambda x: (np.abs(kernels.stockwell(x)) ** 2).mean(1), windowed=True)
 _feature("stft", lambda x: (np.abs(kernels.stft(x)) ** 2).mean(1) if len(x) >= 4 else np.zeros(3))
 
 
-def _coupled(name: str, kernel: Callable[[np.ndarray, np.ndarray], float]) -> None:
+def _coupled(name: str, kernel: Callable[[np.ndarray, np.ndarray], float], windowed: bool = True) -> None:
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return signals.couple(signals.pairs(signals.frames(tables.samples(spark, sf))), kernel, "value")
+        framed = _windowed(tables.samples(spark, sf)) if windowed else signals.frames(tables.samples(spark, sf))
+        return signals.couple(signals.pairs(framed, by=("signal_id", "window_id") if windowed else ("signal_id",)), kernel, "value")
 
 
 def _cross(a: np.ndarray, b: np.ndarray) -> float:
@@ -455,7 +475,7 @@ def _correlation(a: np.ndarray, b: np.ndarray) -> float:
 
 
 _coupled("conn_plv", lambda a, b: float(np.abs(np.exp(1j * (kernels.phase(a) - kernels.phase(b))).mean())))
-_coupled("conn_spec_corr", lambda a, b: _correlation(kernels.welch(a, 256.0)[1], kernels.welch(b, 256.0)[1]))
+_coupled("conn_spec_corr", lambda a, b: _correlation(kernels.welch(a, 256.0)[1], kernels.welch(b, 256.0)[1]), windowed=False)
 _coupled("csd_fourier", _cross)
 _coupled("csd_multitaper", _cross_tapered)
 _coupled("csd_morlet", lambda a, b: float(np.abs((kernels.morlet(a, 256.0, _FREQS) * np.conj(kernels.morlet(b, 256.0, _FREQS))).mean())))

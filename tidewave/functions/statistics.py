@@ -35,7 +35,7 @@ def expression(name: str) -> Column:
     }[name]()
 
 
-def summarize(samples: DataFrame, names: tuple[str, ...] = STATISTICS, keys: tuple[str, ...] = ("signal_id", "channel")) -> DataFrame:
-    """The named statistics of each group, in one aggregation."""
+def summarize(samples: DataFrame, names: tuple[str, ...] = STATISTICS, keys: tuple[str, ...] = ("signal_id", "channel"), digits: int | dict[str, int] = 6) -> DataFrame:
+    """The named statistics of each group, in one aggregation, rounded to ``digits`` (6 for a statistic that isn't named)."""
     df = derivatives(samples, keys) if {"mobility", "complexity"} & set(names) else samples
-    return df.groupBy(*keys).agg(*[F.round(expression(n), 6).alias(f"feature_{n}") for n in names])
+    return df.groupBy(*keys).agg(*[F.round(expression(n), digits.get(n, 6) if isinstance(digits, dict) else digits).alias(f"feature_{n}") for n in names])

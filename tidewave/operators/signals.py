@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.functions import kernels
+
 SIGNAL = ("signal_id", "channel")
 
 
@@ -44,10 +46,9 @@ def select_rows(df: DataFrame, start: int, stop: int, step: int = 1) -> DataFram
 
 
 def mask_hull(long: DataFrame, mask: Column) -> DataFrame:
-    """The rows and columns of each signal that hold any masked cell."""
-    rows, columns = Window.partitionBy("signal_id", "seq"), Window.partitionBy("signal_id", "channel")
-    hit = F.max(F.coalesce(mask, F.lit(False)))
-    return long.withColumn("r", hit.over(rows)).withColumn("c", hit.over(columns)).where("r and c").drop("r", "c")
+    """The rows and columns of each signal that hold any masked cell: two semi-joins on the keys of the hits."""
+    hit = long.where(mask)
+    return long.join(hit.select("signal_id", "seq").distinct(), ["signal_id", "seq"], "left_semi").join(hit.select("signal_id", "channel").distinct(), ["signal_id", "channel"], "left_semi")
 
 
 def bounds(samples: DataFrame) -> DataFrame:
@@ -71,11 +72,26 @@ def segment(samples: DataFrame, markers: DataFrame, before: float, after: float)
     return s.join(m, ["signal_id", "bucket"]).where((d >= x) & (d < y)).drop("bucket")
 
 
+def last_rows(samples: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last ``n`` rows of each key, in the given order."""
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    return samples.withColumn("__back", back).where(F.col("__back") <= n).drop("__back")
+
+
+def segment_at(samples: DataFrame, pivots: DataFrame, before: float, after: float) -> DataFrame:
+    """Samples of each signal within [pivot_ts + before, pivot_ts + after) of its ``pivot`` (signal_id, pivot_ts); none where an edge lies outside the signal."""
+    x, y = int(before * 1e6), int(after * 1e6)
+    inside = pivots.join(bounds(samples), "signal_id").where((micros("pivot_ts") + x >= micros("first_ts")) & (micros("pivot_ts") + y <= micros("last_ts"))).select("signal_id", "pivot_ts")
+    gap = micros("ts") - micros("pivot_ts")
+    return samples.join(inside, "signal_id").where((gap >= x) & (gap < y))
+
+
 def nearest(samples: DataFrame, targets: DataFrame, tolerance: float) -> DataFrame:
     """For each target (signal_id, target_ts) the nearest sample within ``tolerance`` seconds, the earlier of equals."""
     size = max(1, int(tolerance * 1e6))
-    s = samples.select("signal_id", F.explode(F.sequence(F.floor(micros("ts") / size) - 1, F.floor(micros("ts") / size) + 1)).alias("bucket"), "ts", "channel", "value", "seq")
-    t = targets.withColumn("bucket", F.floor(micros("target_ts") / size))
+    s = samples.select("signal_id", F.floor(micros("ts") / size).alias("bucket"), "ts", "channel", "value", "seq")
+    own = F.floor(micros("target_ts") / size)
+    t = targets.withColumn("bucket", F.explode(F.sequence(own - 1, own + 1)))  # the targets are fewer
     gap = F.abs(micros("ts") - micros("target_ts"))
     found = t.join(s, ["signal_id", "bucket"]).where(gap <= size)
     best = F.min_by(F.struct("ts", "channel", "seq", "value"), F.struct(gap, F.col("ts"), F.col("channel"), F.col("seq")))
@@ -196,3 +212,61 @@ def couple(paired: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], float],
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
     return paired.withColumn(out, run("xa", "xb")).drop("xa", "xb")
+
+
+def spectrum(samples: DataFrame, fs: float, size: int = 256, segments: int = 64) -> DataFrame:
+    """(signal_id, channel, bin, freq, power): Welch's density of each channel, a mean over segments of ``size`` samples.
+
+    A task holds blocks of ``segments`` segments; a channel shorter than one is
+    one segment, filled up with zeros, and what a longer one has beyond its last
+    whole segment is left out.
+    """
+    block = F.floor(F.col("seq") / (size * segments)).alias("block")
+    framed = frames(samples.select(*SIGNAL, block, "seq", "value"), (*SIGNAL, "block"))
+
+    @F.pandas_udf("array<double>")
+    def sums(x: pd.Series, block: pd.Series) -> pd.Series:
+        def one(v, b):  # noqa: ANN001, ANN202
+            whole = len(v) // size
+            if not whole and b:
+                return None
+            return (kernels.welch(np.asarray(v, float)[: whole * size] if whole else np.asarray(v, float), fs, size)[1] * max(1, whole)).tolist()
+
+        return pd.Series([one(v, b) for v, b in zip(x, block)], dtype=object)
+
+    parts = F.greatest(F.lit(1), F.floor(F.size("x") / size)).alias("n")
+    each = framed.select(*SIGNAL, parts, sums("x", "block").alias("p")).where("p is not null").select(*SIGNAL, "n", F.posexplode("p").alias("bin", "p"))
+    mean = each.groupBy(*SIGNAL, "bin").agg((F.sum("p") / F.sum("n")).alias("power"))
+    return mean.select(*SIGNAL, F.col("bin").cast("long").alias("bin"), (F.col("bin") * fs / size).alias("freq"), "power")
+
+
+def without_lines(samples: DataFrame, fitted: DataFrame, fs: float, freq: float) -> DataFrame:
+    """``samples`` without the sines of ``freq`` and its harmonics that fit ``fitted`` (the same keys) by least squares.
+
+    The normal equations are sums over each channel, so no channel is gathered.
+    A channel of no more samples than unknowns stays as it is.
+    """
+    waves = [w(F.lit(2 * np.pi * f / fs) * F.col("seq")) for f in np.arange(freq, fs / 2, freq) for w in (F.sin, F.cos)]
+    k = len(waves)
+    products = [F.sum(waves[i] * waves[j]) for i in range(k) for j in range(k)]
+    sums = fitted.groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.array(*products).alias("gram"), F.array(*[F.sum(w * F.col("value")) for w in waves]).alias("right"))
+
+    @F.pandas_udf("array<double>")
+    def solve(gram: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.lstsq(np.reshape(g, (k, k)), np.asarray(r, float), rcond=None)[0].tolist() for g, r in zip(gram, right)], dtype=object)
+
+    found = sums.select(*SIGNAL, F.when(F.col("n") > k, solve("gram", "right")).otherwise(F.array_repeat(F.lit(0.0), k)).alias("h"))
+    fit = sum((F.col("h")[i] * w for i, w in enumerate(waves)), F.lit(0.0))
+    return samples.join(found, list(SIGNAL)).select(*SIGNAL, "seq", F.round(F.col("value") - fit, 6).alias("value"))
+
+
+def polyphase(samples: DataFrame, taps: Sequence[float], up: int, down: int) -> DataFrame:
+    """Rate change by ``up / down``: each sample is dealt out to the few outputs that its taps reach, and these are summed."""
+    h, delay = [float(x) for x in taps], (len(taps) - 1) // 2
+    n = samples.groupBy(*SIGNAL).agg(F.max("seq").alias("last"))
+    reach = samples.join(n, list(SIGNAL))
+    first = F.greatest(F.lit(0), F.ceil((F.col("seq") * up - delay) / down))
+    last = F.least(F.floor((F.col("seq") * up + len(h) - 1 - delay) / down), F.floor((F.col("last") + 1) * up / down) - 1)
+    out = reach.where(last >= first).select(*SIGNAL, "seq", "value", F.explode(F.sequence(first, last)).alias("m"))
+    weight = F.element_at(F.array(*map(F.lit, h)), (F.col("m") * down + delay - F.col("seq") * up + 1).cast("int")) * up
+    return out.groupBy(*SIGNAL, F.col("m").alias("seq")).agg(F.sum(F.col("value") * weight).alias("value"))

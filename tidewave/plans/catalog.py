@@ -10,14 +10,10 @@ from pyspark.sql import functions as F
 
 from tidewave.functions import kernels, statistics
 from tidewave.operators import models, signals
-from tidewave.sources import tables, xdf
+from tidewave.plans.registry import ORACLES, QUERIES, query
+from tidewave.sources import generators, tables, xdf
 from tidewave.streaming import online
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 _SAMPLES = "samples AS (SELECT user_id AS signal_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS seq, ts, event_type AS channel, value FROM events)"
 _MARKERS = "markers AS (SELECT user_id AS signal_id, event_type AS marker, ts AS marker_ts FROM events WHERE event_type = 'purchase')"
 _BOUNDS = "bounds AS (SELECT signal_id, min(ts) AS first_ts, max(ts) AS last_ts FROM samples GROUP BY signal_id)"
@@ -26,25 +22,12 @@ _LONG = "long AS (" + " UNION ALL ".join(f"SELECT signal_id, seq, class, '{c}' A
 _DAY = 86_400.0
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 # ---- sources -----------------------------------------------------------------------------
 
 
 @query("scan_csv", "SELECT event_id, user_id, event_type, value FROM events")
 def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
-
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidewave-csv").rstrip("/")
-    path = f"{top}/csv-{uuid.uuid4().hex}"
+    path = tables.scratch(spark, "csv")
     tables.table(spark, sf, "events", "event_id", "user_id", "event_type", "value").write.option("header", True).csv(path)
     return spark.read.option("header", True).schema("event_id long, user_id long, event_type string, value double").csv(path)
 
@@ -53,14 +36,14 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
 def xdf_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     s = tables.samples(spark, sf).where("channel = 'purchase'")
     rows = s.select(F.col("signal_id").cast("string").alias("stream"), "seq", (signals.micros("ts") / 1e6).alias("ts"), "channel", "value")
-    return xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: (x for b in it for c in b["content"] for x in xdf.decode(c)), xdf.SCHEMA)
+    return xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: (x for b in it for c in b["content"] for x in xdf.decode(c)), xdf.SCHEMA).drop("text")
 
 
 @query("xdf_roundtrip_all", f"WITH {_SAMPLES} SELECT CAST(signal_id AS VARCHAR) AS stream, seq, epoch_us(ts) / 1000000.0::DOUBLE AS ts, channel, value FROM samples")
 def xdf_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
     """All channels; as each has times of its own, each is a stream."""
     rows = tables.samples(spark, sf).select(F.concat_ws("/", "signal_id", "channel").alias("stream"), "seq", (signals.micros("ts") / 1e6).alias("ts"), "channel", "value")
-    found = xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: (x for b in it for c in b["content"] for x in xdf.decode(c)), xdf.SCHEMA)
+    found = xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: (x for b in it for c in b["content"] for x in xdf.decode(c)), xdf.SCHEMA).drop("text")
     return found.withColumn("stream", F.substring_index("stream", "/", 1))
 
 
@@ -79,14 +62,14 @@ def select_stream(spark: SparkSession, sf: str) -> DataFrame:
     return tables.samples(spark, sf).where("channel = 'click'")
 
 
-@query("gen_signal")
+@query("gen_signal", f"SELECT range % 100 AS seq, 'channel_' || range // 100 AS channel, 1 + 4 * (range % 100) / 99 AS ts, {generators.uniform_sql('range', 42)} AS value FROM range(3200)")
 def gen_signal(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(3200).select((F.col("id") % 100).alias("seq"), F.concat(F.lit("channel_"), F.floor(F.col("id") / 100)).alias("channel"), (1 + 4 * (F.col("id") % 100) / 99).alias("ts"), F.rand(42).alias("value"))
+    return spark.range(3200).select((F.col("id") % 100).alias("seq"), F.concat(F.lit("channel_"), F.floor(F.col("id") / 100)).alias("channel"), (1 + 4 * (F.col("id") % 100) / 99).alias("ts"), generators.uniform("id", 42).alias("value"))
 
 
-@query("gen_features")
+@query("gen_features", f"SELECT range // 40 AS row_id, CAST(range // 40 % 2 AS VARCHAR) AS class, range % 40 AS j, {generators.uniform_sql('range', 7)} + 0.5 * (range // 40 % 2) AS value FROM range(4000)")
 def gen_features(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(100).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("string").alias("class"), F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.pmod(F.hash(F.col("id"), i), 1000) / 1000).alias("x"))
+    return generators.class_features(spark, 100, 40, 2, 0.5, 7)
 
 
 # ---- projections and filters -------------------------------------------------------------
@@ -246,16 +229,22 @@ def _stat(name: str) -> None:
 
     @query(f"stat_{name}", sql)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        out = statistics.summarize(tables.samples(spark, sf), (name,))
-        return out.withColumn(f"feature_{name}", F.round(f"feature_{name}", digits)) if digits < 6 else out
+        return statistics.summarize(tables.samples(spark, sf), (name,), digits=digits)
 
 
 for _name in statistics.STATISTICS:
     _stat(_name)
 
+_DIGITS = {"skew": 4, "kurt": 4}
 _ALL = tuple(n for n in statistics.STATISTICS if n not in ("skew", "kurt"))
 
 
+@query("stats_all_11", f"WITH {_DERIVED} SELECT signal_id, channel, {', '.join(f'round({_SQL[n]}, {_DIGITS.get(n, 6)}) AS feature_{n}' for n in statistics.STATISTICS)} FROM d GROUP BY signal_id, channel")
+def stats_all_11(spark: SparkSession, sf: str) -> DataFrame:
+    """All eleven statistics in one aggregation."""
+    return statistics.summarize(tables.samples(spark, sf), digits=_DIGITS)
+
+
 @query("stats_all", f"WITH {_DERIVED} SELECT signal_id, channel, {', '.join(f'round({_SQL[n]}, 6) AS feature_{n}' for n in _ALL)} FROM d GROUP BY signal_id, channel")
 def stats_all(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.summarize(tables.samples(spark, sf), _ALL)
@@ -376,12 +365,6 @@ def to_mne(spark: SparkSession, sf: str) -> DataFrame:
     return tables.samples(spark, sf).select("signal_id", "channel", "seq", (F.col("seq") / 256).alias("ts"), "value")
 
 
-def _transformed(name: str, kernel: Callable[[np.ndarray], np.ndarray]) -> None:
-    @query(name)
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return signals.spread(signals.transform(signals.frames(tables.samples(spark, sf)), kernel))
-
-
 #: Samples of a block of a filtered channel, and of a window whose kernel's space or time grows faster than its length.
 _BLOCK, _WINDOW = 16_384, 1024
 
@@ -392,7 +375,7 @@ def _blockwise(name: str, kernel: Callable[[np.ndarray], np.ndarray], overlap: i
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         framed = signals.frames(signals.blocks(tables.samples(spark, sf), _BLOCK, overlap), (*signals.SIGNAL, "block"))
-        return signals.core(signals.transform(framed, kernel), _BLOCK, overlap)
+        return signals.core(signals.transform(framed, kernel), _BLOCK, overlap).withColumn("value", F.round("value", 6))
 
 
 def _windowed(samples: DataFrame) -> DataFrame:
@@ -404,20 +387,74 @@ _HIGH = kernels.windowed_sinc(256, (1.0,), 101, stop=True)
 _SINC = kernels.windowed_sinc(256, (1.0,), 101, stop=True, window="blackman")
 _BAND = kernels.windowed_sinc(256, (8.0, 30.0), 41)
 _blockwise("fir_zero", lambda x: kernels.fir(x, _BAND, "zero"), 40)
-_transformed("notch", lambda x: kernels.notch(x, 256.0, 50.0))
-_transformed("line_noise", lambda x: kernels.notch(x - kernels.fir(x, _HIGH, "zero_shift"), 256.0, 50.0) + kernels.fir(x, _HIGH, "zero_shift"))
-_transformed("resample", lambda x: kernels.resample(x, 3, 2))
 _blockwise("detrend_highpass", lambda x: kernels.fir(x, _HIGH, "zero_shift"), 50)
 _blockwise("detrend_sinc", lambda x: kernels.fir(x, _SINC, "zero_shift"), 50)
 _blockwise("detrend_local", lambda x: kernels.detrend_local(x, 8, 2), 8)
 
 
+@query("notch")
+def notch(spark: SparkSession, sf: str) -> DataFrame:
+    s = tables.samples(spark, sf)
+    return signals.without_lines(s, s, 256.0, 50.0)
+
+
+@query("line_noise")
+def line_noise(spark: SparkSession, sf: str) -> DataFrame:
+    """Mains lines are fitted to the detrended signal and taken from the signal itself, so its trend stays."""
+    s = tables.samples(spark, sf)
+    return signals.without_lines(s, QUERIES["detrend_highpass"](spark, sf), 256.0, 50.0)
+
+
+@query("resample")
+def resample(spark: SparkSession, sf: str) -> DataFrame:
+    """In the frequency domain, which takes a whole channel at once; ``resample_polyphase`` has no such bound."""
+    return signals.spread(signals.transform(signals.frames(tables.samples(spark, sf)), lambda x: kernels.resample(x, 3, 2))).withColumn("value", F.round("value", 9))
+
+
 @query("fir_design")
 def fir_design(spark: SparkSession, sf: str) -> DataFrame:
     taps = kernels.windowed_sinc(256, (8.0, 30.0), 100)
     return spark.createDataFrame([(i, float(h)) for i, h in enumerate(taps)], "tap long, h double")
 
 
+@query("fir_design_auto")
+def fir_design_auto(spark: SparkSession, sf: str) -> DataFrame:
+    """All four filter types, with the length that the transition width needs."""
+    kinds = {"low": ((30.0,), False), "high": ((1.0,), True), "band": ((8.0, 30.0), False), "stop": ((48.0, 52.0), True)}
+    rows = [(name, i, float(h)) for name, (cut, stop) in kinds.items() for i, h in enumerate(kernels.designed(256.0, cut, stop))]
+    return spark.createDataFrame(rows, "kind string, tap long, h double")
+
+
+@query("min_phase")
+def min_phase(spark: SparkSession, sf: str) -> DataFrame:
+    taps = kernels.minimum_phase(kernels.windowed_sinc(256, (30.0,), 101))
+    return spark.createDataFrame([(i, float(h)) for i, h in enumerate(taps)], "tap long, h double")
+
+
+@query("fir_overlap_add")
+def fir_overlap_add(spark: SparkSession, sf: str) -> DataFrame:
+    """The causal filter of ``fir_forward`` by FFT and overlapping blocks."""
+    framed = signals.frames(signals.blocks(tables.samples(spark, sf), _BLOCK, len(_TAPS)), (*signals.SIGNAL, "block"))
+    out = signals.core(signals.transform(framed, lambda x: kernels.fir(x, np.array(_TAPS), "forward", "overlap_add")), _BLOCK, len(_TAPS))
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("resample_polyphase")
+def resample_polyphase(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.polyphase(tables.samples(spark, sf), kernels.windowed_sinc(3, (0.45,), 31), 3, 2).withColumn("value", F.round("value", 6))
+
+
+@query("notch_fir")
+def notch_fir(spark: SparkSession, sf: str) -> DataFrame:
+    """Band-stops at the mains frequency and its harmonics, one after another."""
+    taps = np.array([1.0])
+    for f in (50.0, 100.0):
+        taps = np.convolve(taps, kernels.windowed_sinc(256, (f - 1, f + 1), 51, stop=True))
+    reach = len(taps)
+    framed = signals.frames(signals.blocks(tables.samples(spark, sf), _BLOCK, reach), (*signals.SIGNAL, "block"))
+    return signals.core(signals.transform(framed, lambda x: kernels.fir(x, taps, "zero_shift")), _BLOCK, reach).withColumn("value", F.round("value", 6))
+
+
 # ---- spectra, entropies, connectivity ----------------------------------------------------
 
 
@@ -428,37 +465,55 @@ def _feature(name: str, kernel: Callable[[np.ndarray], np.ndarray], windowed: bo
     def run(spark: SparkSession, sf: str) -> DataFrame:
         framed = (_windowed if windowed else signals.frames)(tables.samples(spark, sf))
         out = signals.spread(signals.transform(framed, kernel), seq="item")
-        return out.withColumn("value", F.when(~F.isnan("value"), F.col("value"))) if name == "band_power" else out
+        return out.withColumn("value", F.when(~F.isnan("value"), F.round("value", 6)))
 
 
 _BANDS = ((0.5, 4), (4, 8), (8, 13), (13, 30), (30, 100))
 
 
-def band_power(x: np.ndarray) -> np.ndarray:
-    f, p = kernels.welch(x, 256.0)
-    inside = [(f >= a) & (f < b) for a, b in _BANDS]
-    return np.array([p[at].sum() if at.any() else np.nan for at in inside])
+@query("band_power")
+def band_power(spark: SparkSession, sf: str) -> DataFrame:
+    p = signals.spectrum(tables.samples(spark, sf), 256.0)
+    band = F.coalesce(*[F.when((F.col("freq") >= a) & (F.col("freq") < b), i) for i, (a, b) in enumerate(_BANDS)])
+    return p.withColumn("item", band.cast("long")).where("item is not null").groupBy(*signals.SIGNAL, "item").agg(F.round(F.sum("power"), 6).alias("value"))
+
+
+@query("psd_welch")
+def psd_welch(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.spectrum(tables.samples(spark, sf), 256.0).select(*signals.SIGNAL, F.col("bin").alias("item"), F.round("power", 6).alias("value"))
+
+
+@query("wavelet_energy")
+def wavelet_energy(spark: SparkSession, sf: str) -> DataFrame:
+    """Haar, three levels; blocks of a power of two add up to the whole channel."""
+    framed = signals.frames(signals.blocks(tables.samples(spark, sf), _BLOCK), (*signals.SIGNAL, "block"))
+    each = signals.spread(signals.transform(framed, kernels.haar_energy), seq="item")
+    return each.groupBy(*signals.SIGNAL, "item").agg(F.round(F.sum("value"), 6).alias("value"))
+
+
+@query("wavelet_energy_db4")
+def wavelet_energy_db4(spark: SparkSession, sf: str) -> DataFrame:
+    """Daubechies wavelets of four vanishing moments, three levels, for each window."""
+    framed = _windowed(tables.samples(spark, sf))
+    return signals.spread(signals.transform(framed, lambda x: kernels.wavelet_energy(x, kernels.daubechies(4), 3)), seq="item")
 
 
 _FREQS = np.array([16.0, 32.0, 64.0])
 _feature("ent_app", kernels.approximate_entropy, windowed=True)
 _feature("ent_sample", kernels.sample_entropy, windowed=True)
-_feature("ent_svd", kernels.svd_entropy)
-_feature("wavelet_energy", kernels.haar_energy)
-_feature("psd_welch", lambda x: kernels.welch(x, 256.0)[1])
+_feature("ent_svd", lambda x: np.round(kernels.svd_entropy(x), 4), windowed=True)
 _feature("psd_multitaper", lambda x: kernels.multitaper(x, 256.0)[1], windowed=True)
-_feature("band_power", band_power)
-_feature("tfr_morlet", lambda x: (np.abs(kernels.morlet(x, 256.0, _FREQS)) ** 2).mean(1))
+_feature("tfr_morlet", lambda x: (np.abs(kernels.morlet(x, 256.0, _FREQS)) ** 2).mean(1), windowed=True)
 _feature("tfr_multitaper", lambda x: np.mean([(np.abs(kernels.morlet(x * t, 256.0, _FREQS)) ** 2).mean(1) for t in kernels.slepians(len(x), 4.0 / 2, 3)], 0), windowed=True)
 _feature("tfr_stockwell", lambda x: (np.abs(kernels.stockwell(x)) ** 2).mean(1), windowed=True)
-_feature("stft", lambda x: (np.abs(kernels.stft(x)) ** 2).mean(1) if len(x) >= 4 else np.zeros(3))
+_feature("stft", lambda x: (np.abs(kernels.stft(x)) ** 2).mean(1) if len(x) >= 4 else np.zeros(3), windowed=True)
 
 
-def _coupled(name: str, kernel: Callable[[np.ndarray, np.ndarray], float], windowed: bool = True) -> None:
+def _coupled(name: str, kernel: Callable[[np.ndarray, np.ndarray], float]) -> None:
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        framed = _windowed(tables.samples(spark, sf)) if windowed else signals.frames(tables.samples(spark, sf))
-        return signals.couple(signals.pairs(framed, by=("signal_id", "window_id") if windowed else ("signal_id",)), kernel, "value")
+        out = signals.couple(signals.pairs(_windowed(tables.samples(spark, sf)), by=("signal_id", "window_id")), kernel, "value")
+        return out.withColumn("value", F.when(~F.isnan("value"), F.round("value", 6)))
 
 
 def _cross(a: np.ndarray, b: np.ndarray) -> float:
@@ -470,17 +525,20 @@ def _cross_tapered(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.abs((np.fft.rfft(t * (a - a.mean()), axis=1) * np.conj(np.fft.rfft(t * (b - b.mean()), axis=1))).mean()))
 
 
-def _correlation(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.corrcoef(a, b)[0, 1]) if a.std() > 0 and b.std() > 0 else float("nan")
-
-
 _coupled("conn_plv", lambda a, b: float(np.abs(np.exp(1j * (kernels.phase(a) - kernels.phase(b))).mean())))
-_coupled("conn_spec_corr", lambda a, b: _correlation(kernels.welch(a, 256.0)[1], kernels.welch(b, 256.0)[1]), windowed=False)
 _coupled("csd_fourier", _cross)
 _coupled("csd_multitaper", _cross_tapered)
 _coupled("csd_morlet", lambda a, b: float(np.abs((kernels.morlet(a, 256.0, _FREQS) * np.conj(kernels.morlet(b, 256.0, _FREQS))).mean())))
 
 
+@query("conn_spec_corr")
+def conn_spec_corr(spark: SparkSession, sf: str) -> DataFrame:
+    p = signals.spectrum(tables.samples(spark, sf), 256.0)
+    a, b = (p.select("signal_id", "bin", F.col("channel").alias(c), F.col("power").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    r = a.join(b, ["signal_id", "bin"]).where("a < b").groupBy("signal_id", "a", "b").agg(F.corr("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    return r.select("signal_id", "a", "b", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.round("r", 6)).alias("value"))
+
+
 @query("ica_repair")
 def ica_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Drops the component of the largest kurtosis from each supplier's channels; a rule in place of learned labels."""
@@ -558,6 +616,12 @@ def _trials(spark: SparkSession, sf: str) -> DataFrame:
     return raw.unionByName(slow).join(long_enough, "trial_id", "left_semi")
 
 
+@query("csp_cov_cells")
+def csp_cov_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean covariances by cell."""
+    return models.mean_covariances(_trials(spark, sf)).select("class", "band", F.posexplode("cov").alias("cell", "v")).select("class", "band", F.col("cell").cast("long").alias("cell"), F.round("v", 6).alias("cov"))
+
+
 @query("csp_cov")
 def csp_cov(spark: SparkSession, sf: str) -> DataFrame:
     return models.mean_covariances(_trials(spark, sf))
@@ -651,16 +715,54 @@ def segment_online(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "marker_ts")})
 
 
-@query("window_online")
+_STREAM = "e AS (SELECT user_id AS signal_id, event_id AS seq, ts, event_type AS channel, value FROM events)"
+
+
+@query("window_online", f"WITH {_STREAM} SELECT time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 2 DAY AS stop, signal_id, channel, count(*) AS n, round(avg(value), 6) AS feature_mean FROM e GROUP BY ALL")
 def window_online(spark: SparkSession, sf: str) -> DataFrame:
-    return online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "2 days"), "windows", "complete")
+    out = online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "2 days"), "windows", "complete")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("window.end").cast("timestamp_ntz").alias("stop"), "signal_id", "channel", "n", F.round("feature_mean", 6).alias("feature_mean"))
+
 
+@query("window_step_online", f"WITH {_STREAM}, w AS (SELECT *, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - to_days(k::INT) AS start FROM e, (SELECT unnest(range(3)) AS k)) SELECT start, signal_id, channel, count(*) AS n, round(avg(value), 6) AS feature_mean FROM w GROUP BY ALL")
+def window_step_online(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of three days, a new one each day."""
+    out = online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "3 days", "1 day"), "windows", "complete")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "signal_id", "channel", "n", F.round("feature_mean", 6).alias("feature_mean"))
 
-@query("session_online")
+
+@query("session_online", f"WITH {_STREAM}, g AS (SELECT *, sum(new) OVER (PARTITION BY signal_id ORDER BY ts, seq) AS k FROM (SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY signal_id ORDER BY ts, seq) > INTERVAL 6 HOUR, true))::INT AS new FROM e)) SELECT signal_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM g GROUP BY signal_id, k")
 def session_online(spark: SparkSession, sf: str) -> DataFrame:
-    return online.drained(online.sessions(online.stream(spark, f"{sf}/events.parquet*"), "6 hours"), "sessions", "complete")
+    out = online.drained(online.sessions(online.stream(spark, f"{sf}/events.parquet*"), "6 hours"), "sessions", "complete")
+    return out.select("signal_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("stop"), "n")
+
+
+_ONLINE_FIR = " + ".join(f"{h} * coalesce(lag(value, {k}) OVER (PARTITION BY signal_id, channel ORDER BY seq), 0)" for k, h in enumerate(_TAPS))
 
 
-@query("fir_online")
+@query("fir_online", f"WITH {_STREAM} SELECT signal_id, channel, seq, round({_ONLINE_FIR}, 6) AS value FROM e")
 def fir_online(spark: SparkSession, sf: str) -> DataFrame:
-    return online.drained(online.fir(online.stream(spark, f"{sf}/events.parquet*"), _TAPS), "fir")
+    """All samples: what waits in the state for a whole block when the stream has ended is read from there."""
+    path = tables.scratch(spark, "fir")
+    out = online.drained(online.fir(online.stream(spark, f"{sf}/events.parquet*"), _TAPS), "fir", path=path)
+    return out.unionByName(online.fir_rest(spark, path, _TAPS)).withColumn("value", F.round("value", 6))
+
+
+@query("ring_buffer", f"WITH {_STREAM}, r AS (SELECT *, row_number() OVER (PARTITION BY signal_id, channel ORDER BY seq DESC) AS back FROM e) SELECT signal_id, channel, count(*)::INT AS n, min(seq) AS first_seq, max(seq) AS last_seq, round(avg(value), 6) AS mean FROM r WHERE back <= 8 GROUP BY ALL")
+def ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
+    """The last eight samples of each channel, kept in the state of a stream."""
+    out = online.drained(online.ring(online.stream(spark, f"{sf}/events.parquet*"), 8), "ring", "update")
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@query("segment_at", f"WITH {_STREAM}, r AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY ts DESC, seq DESC) AS back FROM e), b AS (SELECT signal_id, min(ts) AS low, max(ts) AS high, make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS pivot_ts FROM r WHERE back <= 40 GROUP BY signal_id) SELECT signal_id, pivot_ts, ts, channel, seq, value FROM r JOIN b USING (signal_id) WHERE back <= 40 AND pivot_ts - INTERVAL 1 DAY >= low AND pivot_ts + INTERVAL 1 DAY <= high AND ts >= pivot_ts - INTERVAL 1 DAY AND ts < pivot_ts + INTERVAL 1 DAY")
+def segment_at(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the last 40 samples of each signal those a day around their middle; none where an edge lies outside."""
+    e = tables.table(spark, sf, "events").select(F.col("user_id").alias("signal_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("channel"), "value")
+    last = signals.last_rows(e, 40, ("signal_id",), ("ts", "seq"))
+    pivots = signals.bounds(last).select("signal_id", F.timestamp_micros(F.floor((signals.micros("first_ts") + signals.micros("last_ts")) / 2)).cast("timestamp_ntz").alias("pivot_ts"))
+    return signals.segment_at(last, pivots, -_DAY, _DAY)
+
+
+
+from tidewave.plans import prediction, recordings, spectra  # noqa: E402, F401  (they add their queries and SQL)

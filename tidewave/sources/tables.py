@@ -6,9 +6,27 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only a session on one machine may lack the setting; it gets a temporary folder.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-tidewave-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 CHANNELS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 

@@ -1,25 +1,33 @@
-"""XDF files: chunked streams of samples, written one file per stream and read as samples.
+"""XDF files: chunked streams of samples, one file per stream, written to and read from the shared folder.
 
 A chunk is a length of variable width, a tag and its content. Tags: 1 file
 header, 2 stream header, 3 samples, 4 clock offset, 5 boundary, 6 stream footer.
+Streams hold numbers, or text (markers). Where a stream has clock offsets, its
+time stamps are corrected by what lies between them.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values of the format.
 MAGIC = b"XDF:"
 FILE_HEADER, STREAM_HEADER, SAMPLES, CLOCK_OFFSET, BOUNDARY, STREAM_FOOTER = range(1, 7)
 DTYPES = {"float32": "<f4", "double64": "<f8", "int8": "<i1", "int16": "<i2", "int32": "<i4", "int64": "<i8"}
+BOUNDARY_MARK = bytes.fromhex("43a546dccbf5410fb30ed546738 3cbe4".replace(" ", ""))
 
-SCHEMA = "stream string, seq long, ts double, channel string, value double"
+#: Of what ``read`` gives; ``text`` is for streams of markers, ``value`` for the others.
+SCHEMA = "stream string, seq long, ts double, channel string, value double, text string"
+#: Samples in a chunk, between two boundaries.
+CHUNK_ROWS = 4096
 
 
 def _sized(n: int) -> bytes:
@@ -33,24 +41,39 @@ def _chunk(tag: int, content: bytes) -> bytes:
     return _sized(len(content) + 2) + struct.pack("<H", tag) + content
 
 
-def encode(name: str, kind: str, rate: float, labels: list[str], ts: np.ndarray, x: np.ndarray, fmt: str = "double64") -> bytes:
-    """One stream (samples by channels) as a file."""
+def _header(name: str, kind: str, rate: float, labels: list[str], fmt: str, unit: str) -> bytes:
     info = ET.Element("info")
     for k, v in (("name", name), ("type", kind), ("channel_count", len(labels)), ("nominal_srate", rate), ("channel_format", fmt)):
         ET.SubElement(info, k).text = str(v)
     channels = ET.SubElement(ET.SubElement(info, "desc"), "channels")
     for label in labels:
-        ET.SubElement(ET.SubElement(channels, "channel"), "label").text = label
+        channel = ET.SubElement(channels, "channel")
+        for k, v in (("label", label), ("unit", unit), ("type", kind)):
+            ET.SubElement(channel, k).text = v
+    return ET.tostring(info)
+
+
+def encode(name: str, kind: str, rate: float, labels: list[str], ts: np.ndarray, x: np.ndarray, fmt: str = "double64", offsets: list[tuple[float, float]] = (), unit: str = "") -> bytes:
+    """One stream (samples by channels; text where ``fmt`` is string) as a file, with its clock offsets (time, offset)."""
+    if fmt == "string" and rate:
+        raise ValueError("a stream of markers has no regular rate")
     footer = ET.Element("info")
     for k, v in (("first_timestamp", ts[0] if len(ts) else 0), ("last_timestamp", ts[-1] if len(ts) else 0), ("sample_count", len(ts))):
         ET.SubElement(footer, k).text = repr(float(v)) if k != "sample_count" else str(v)
-    rows = np.zeros(len(ts), np.dtype([("has", "u1"), ("ts", "<f8"), ("x", DTYPES[fmt], (len(labels),))]))
-    rows["has"], rows["ts"], rows["x"] = 8, ts, x
     one = struct.pack("<I", 1)
-    return b"".join([
-        MAGIC, _chunk(FILE_HEADER, b"<?xml version='1.0'?><info><version>1.0</version></info>"),
-        _chunk(STREAM_HEADER, one + ET.tostring(info)), _chunk(SAMPLES, one + _sized(len(ts)) + rows.tobytes()), _chunk(STREAM_FOOTER, one + ET.tostring(footer)),
-    ])
+    out = [MAGIC, _chunk(FILE_HEADER, b"<?xml version='1.0'?><info><version>1.0</version></info>"), _chunk(STREAM_HEADER, one + _header(name, kind, rate, labels, fmt, unit))]
+    for at in range(0, max(1, len(ts)), CHUNK_ROWS):
+        t, part = ts[at : at + CHUNK_ROWS], x[at : at + CHUNK_ROWS]
+        if fmt == "string":
+            texts = ([str(v).encode() for v in row] for row in part)
+            body = b"".join(b"\x08" + struct.pack("<d", when) + b"".join(_sized(len(v)) + v for v in row) for when, row in zip(t, texts))
+        else:
+            rows = np.zeros(len(t), np.dtype([("has", "u1"), ("ts", "<f8"), ("x", DTYPES[fmt], (len(labels),))]))
+            rows["has"], rows["ts"], rows["x"] = 8, t, part
+            body = rows.tobytes()
+        out += [_chunk(SAMPLES, one + _sized(len(t)) + body), _chunk(BOUNDARY, BOUNDARY_MARK)]
+    out += [_chunk(CLOCK_OFFSET, one + struct.pack("<dd", when, by)) for when, by in offsets]
+    return b"".join([*out, _chunk(STREAM_FOOTER, one + ET.tostring(footer))])
 
 
 def _length(data: bytes, at: int) -> tuple[int, int]:
@@ -58,56 +81,136 @@ def _length(data: bytes, at: int) -> tuple[int, int]:
     return int.from_bytes(data[at + 1 : at + 1 + width], "little"), at + 1 + width
 
 
-def decode(data: bytes) -> Iterator[pd.DataFrame]:
-    """The samples of each stream of a file, with time stamps filled in from the rate where they lack."""
+def _chunks(data: bytes) -> Iterator[tuple[int, bytes]]:
     if data[:4] != MAGIC:
         raise ValueError("not an XDF file")
-    at, heads, last = 4, {}, {}
+    at = 4
     while at < len(data):
         size, at = _length(data, at)
-        tag, body = struct.unpack_from("<H", data, at)[0], data[at + 2 : at + size]
+        yield struct.unpack_from("<H", data, at)[0], data[at + 2 : at + size]
         at += size
+
+
+def _samples(body: bytes, labels: list[str], fmt: str, rate: float, before: float) -> tuple[np.ndarray, np.ndarray]:
+    """Time stamps and values of a chunk; a stamp that lacks follows from the rate."""
+    n, p = _length(body, 4)
+    if fmt != "string":
+        row = np.dtype([("has", "u1"), ("ts", "<f8"), ("x", DTYPES[fmt], (len(labels),))])
+        if len(body) - p == n * row.itemsize:
+            rows = np.frombuffer(body, row, n, p)
+            if (rows["has"] == 8).all():
+                return rows["ts"].astype(float), rows["x"].astype(float)
+    ts, x = np.zeros(n), []
+    for i in range(n):
+        has, p = body[p], p + 1
+        ts[i] = before = struct.unpack_from("<d", body, p)[0] if has else before + (1 / rate if rate else 0)
+        p += has
+        if fmt == "string":
+            row = []
+            for _ in labels:
+                size, p = _length(body, p)
+                row.append(body[p : p + size].decode())
+                p += size
+            x.append(row)
+        else:
+            kind = np.dtype(DTYPES[fmt])
+            x.append(np.frombuffer(body, kind, len(labels), p).astype(float))
+            p += kind.itemsize * len(labels)
+    return ts, np.array(x, object if fmt == "string" else float).reshape(n, len(labels))
+
+
+def decode(data: bytes, lower: bool = False) -> Iterator[pd.DataFrame]:
+    """The samples of each stream of a file, chunk by chunk; ``lower``: labels in lower case."""
+    heads, last, clocks = {}, {}, {}
+    for tag, body in _chunks(data):
+        if tag == CLOCK_OFFSET:
+            clocks.setdefault(body[:4], []).append(struct.unpack_from("<dd", body, 4))
+    for tag, body in _chunks(data):
         if tag == STREAM_HEADER:
             info = ET.fromstring(body[4:].decode())
-            labels = [c.text for c in info.iterfind("desc/channels/channel/label")] or [f"channel_{i}" for i in range(int(info.findtext("channel_count")))]
-            heads[body[:4]] = (info.findtext("name"), labels, np.dtype(DTYPES[info.findtext("channel_format")]), float(info.findtext("nominal_srate")))
+            labels = [c.text or "" for c in info.iterfind("desc/channels/channel/label")] or [f"channel_{i}" for i in range(int(info.findtext("channel_count")))]
+            heads[body[:4]] = (info.findtext("name"), [x.lower() for x in labels] if lower else labels, info.findtext("channel_format"), float(info.findtext("nominal_srate")))
             last[body[:4]] = (0, 0.0)
         elif tag == SAMPLES:
-            name, labels, kind, rate = heads[body[:4]]
+            name, labels, fmt, rate = heads[body[:4]]
             seq, before = last[body[:4]]
-            n, p = _length(body, 4)
-            ts, x = np.zeros(n), np.zeros((n, len(labels)))
-            for i in range(n):
-                has, p = body[p], p + 1
-                ts[i] = before = struct.unpack_from("<d", body, p)[0] if has else before + (1 / rate if rate else 0)
-                p += has
-                x[i] = np.frombuffer(body, kind, len(labels), p)
-                p += kind.itemsize * len(labels)
-            last[body[:4]] = (seq + n, before)
-            rows = np.arange(seq, seq + n)
-            yield pd.DataFrame({"stream": name, "seq": np.repeat(rows, len(labels)), "ts": np.repeat(ts, len(labels)), "channel": np.tile(labels, n), "value": x.ravel()})
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of all streams of all files; a task reads whole files."""
+            ts, x = _samples(body, labels, fmt, rate, before)
+            last[body[:4]] = (seq + len(ts), ts[-1] if len(ts) else before)
+            if offsets := clocks.get(body[:4]):
+                when, by = np.array(sorted(offsets)).T
+                ts = ts + np.interp(ts, when, by)
+            rows = np.arange(seq, seq + len(ts))
+            text = x.ravel() if fmt == "string" else None
+            yield pd.DataFrame({"stream": name, "seq": np.repeat(rows, len(labels)), "ts": np.repeat(ts, len(labels)), "channel": np.tile(labels, len(ts)), "value": np.nan if fmt == "string" else x.ravel(), "text": text}).astype({"text": object})
+
+
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("content")
+
+
+def read(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
+    """Samples of all streams of all files, cells without a value left out; a task reads whole files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                yield from decode(content)
+                yield from decode(content, lower)
+
+    found = _contents(spark, path).mapInPandas(run, SCHEMA)
+    return found.withColumn("value", F.when(~F.isnan("value"), F.col("value"))).where("value is not null or text is not null")
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
 
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, first_timestamp, last_timestamp, sample_count) from the footer of each stream."""
 
-def files(samples: DataFrame, rate: float) -> DataFrame:
-    """(stream, content): each stream of ``samples`` (``SCHEMA``) as the content of a file.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                names, rows = {}, []
+                for tag, body in _chunks(content):
+                    if tag == STREAM_HEADER:
+                        names[body[:4]] = ET.fromstring(body[4:].decode()).findtext("name")
+                    elif tag == STREAM_FOOTER:
+                        info = ET.fromstring(body[4:].decode())
+                        rows.append((names[body[:4]], float(info.findtext("first_timestamp")), float(info.findtext("last_timestamp")), int(info.findtext("sample_count"))))
+                yield pd.DataFrame(rows, columns=["stream", "first_timestamp", "last_timestamp", "sample_count"])
 
-    A stream is one file, so one task holds it; recordings are bounded.
+    return _contents(spark, path).mapInPandas(run, "stream string, first_timestamp double, last_timestamp double, sample_count long")
+
+
+def files(samples: DataFrame, rate: float, kind: str = "signal") -> DataFrame:
+    """(stream, content): each stream of ``samples`` (stream, seq, ts, channel, and value or text) as the content of a file.
+
+    A stream is one file, so one task holds it; recordings are bounded. Cells
+    that a sample of several channels lacks are NaN.
     """
+    column, fmt = ("text", "string") if "text" in samples.columns else ("value", "double64")
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
-        wide = t.pivot(index="seq", columns="channel", values="value").sort_index()
+        wide = t.pivot(index="seq", columns="channel", values=column).sort_index()
         ts = t.groupby("seq")["ts"].min().sort_index()
-        return pd.DataFrame({"stream": [t["stream"].iloc[0]], "content": [encode(t["stream"].iloc[0], "signal", rate, list(wide.columns), ts.to_numpy(), wide.to_numpy())]})
+        x = wide.to_numpy() if fmt != "string" else wide.fillna("").to_numpy()
+        return pd.DataFrame({"stream": [t["stream"].iloc[0]], "content": [encode(t["stream"].iloc[0], kind, rate, list(wide.columns), ts.to_numpy(), x, fmt)]})
 
     return samples.groupBy("stream").applyInPandas(one, "stream string, content binary")
+
+
+def write(samples: DataFrame, path: str, rate: float, kind: str = "signal") -> DataFrame:
+    """Write a file for each stream below ``path``, a URI that all executors reach; gives (stream, file, size).
+
+    A file is named by its stream, so a task that runs again writes the same one.
+    """
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(path)
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            names = [f"{uuid.uuid5(uuid.NAMESPACE_URL, name)}.xdf" for name in batch["stream"]]
+            for name, content in zip(names, batch["content"]):
+                with store.open_output_stream(f"{top}/{name}") as out:
+                    out.write(content)
+            yield pd.DataFrame({"stream": batch["stream"], "file": names, "size": batch["content"].map(len)})
+
+    return files(samples, rate, kind).mapInPandas(put, "stream string, file string, size long")

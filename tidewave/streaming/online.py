@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewave.sources.tables import scratch
+
 SAMPLES = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -64,6 +66,20 @@ def fir(samples: DataFrame, taps: Sequence[float], block: int = 8) -> DataFrame:
     return samples.groupBy("signal_id", "channel").applyInPandasWithState(run, "signal_id long, channel string, seq long, value double", "past array<double>, seqs array<long>, waiting array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def fir_rest(spark: SparkSession, path: str, taps: Sequence[float]) -> DataFrame:
+    """What ``fir`` would have given for the samples that wait in its state under ``path`` when the stream has ended."""
+    h = np.asarray(taps, float)
+    state = spark.read.format("statestore").load(f"{path}/state")
+    kept = state.select("key.signal_id", "key.channel", F.col("value.groupState.past").alias("past"), F.col("value.groupState.seqs").alias("seqs"), F.col("value.groupState.waiting").alias("waiting"))
+
+    @F.pandas_udf("array<double>")
+    def last(past: pd.Series, waiting: pd.Series) -> pd.Series:
+        return pd.Series([np.convolve(np.concatenate([p, w]), h, "valid").tolist() if len(w) else [] for p, w in zip(past, waiting)], dtype=object)
+
+    out = kept.withColumn("y", last("past", "waiting")).select("signal_id", "channel", F.explode(F.arrays_zip("seqs", "y")).alias("r"))
+    return out.select("signal_id", "channel", F.col("r.seqs").alias("seq"), F.col("r.y").alias("value"))
+
+
 def ring(samples: DataFrame, size: int) -> DataFrame:
     """The last ``size`` samples of each channel after every batch, in bounded state."""
 
@@ -77,23 +93,21 @@ def ring(samples: DataFrame, size: int) -> DataFrame:
     return samples.groupBy("signal_id", "channel").applyInPandasWithState(run, "signal_id long, channel string, n int, first_seq long, last_seq long, mean double", "seqs array<long>, xs array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drained(df: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and gives what it has written, as a table in the shared folder.
 
     ``complete`` gives every group of an aggregation, also those that the
-    watermark has not closed at the end; the last trigger's result counts.
+    watermark has not closed at the end, and ``update`` every group as the one
+    trigger leaves it; the last trigger's result counts. The state stays under
+    ``path`` / state.
     """
-    import tempfile
-    import uuid
-
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = path or scratch(spark, name)
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    if mode == "complete":
-        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
-    else:
+    if mode == "append":
         writer = writer.format("parquet").option("path", f"{path}/out")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
     started = writer.start()
     started.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out")

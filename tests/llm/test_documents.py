@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -243,3 +244,190 @@ def test_mixing(docs, rows, none):
     kept = mixing.take(docs)
     assert kept.columns == [*docs.columns, "copies"] and kept.where("text is null").count() == 0
     assert mixing.mix(none).count() == 0 and mixing.take(none).count() == 0
+
+
+def test_mixing_fills_by_weight(spark):
+    """The budget flows down the tree like water; the same fill, in plain loops."""
+    rng = random.Random(9)
+    sources = [f"s{i}" for i in range(7)] + [None]
+    rows = [(i, " ".join("w" * 3 for _ in range(rng.randint(1, 40))), rng.choice(["en", "en", "de", "xx", None]), rng.choice(sources), "c") for i in range(600)]
+    rows += [rows[3], rows[3], (None, "a b c", "en", "s1", "c"), (None, "a b c d", "en", "s1", "c"), (700, "", "en", "s1", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copies string")
+    plan = mixing.Plan(rows_per_slice=7)
+    leaf = lambda r: (f"domain{int(r[3][1:]) % 4 if r[3] else 0}", r[2] or "(none)", r[3] or "(none)")
+    size = lambda r: len(r[1].split())
+    held = Counter()
+    for r in rows:
+        held[leaf(r)] += size(r)
+    weights = (plan.domain_weights, plan.language_weights, {})
+
+    def fill(given, prefix):
+        depth = len(prefix)
+        if depth == 3:
+            return {prefix: given}
+        children = sorted({k[: depth + 1] for k in held if k[:depth] == prefix})
+        cap = {c: 2 * sum(v for k, v in held.items() if k[: depth + 1] == c) for c in children}
+        weight = {c: weights[depth].get(c[depth], 1) for c in children}
+        open_, left, share = set(children), given, {}
+        while open_:  # who can't hold its share keeps what it can
+            level = left / sum(weight[c] for c in open_)
+            full = {c for c in open_ if level * weight[c] > cap[c]}
+            if not full:
+                share |= {c: int(level * weight[c] + 1e-9) for c in open_}
+                break
+            share |= {c: cap[c] for c in full}
+            left -= sum(cap[c] for c in full)
+            open_ -= full
+        return {k: v for c in children for k, v in fill(share[c], c).items()}
+
+    budget = fill(sum(held.values()) * 60 // 100, ())
+    expected = Counter()
+    for key, given in budget.items():
+        own = [r for r in rows if leaf(r) == key and size(r)]
+        epoch, rest = divmod(given, held[key])
+        own.sort(key=lambda r: (hashlib.md5(f"11-{epoch}-{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or -1, size(r)))
+        run = 0
+        for r in own:
+            run += size(r)
+            n = epoch + (run <= rest)
+            if n:
+                expected[(r[0], *key, size(r), n)] += 1
+    found = Counter(map(tuple, mixing.mix(docs, plan).collect()))
+    assert found == expected
+    kept = mixing.take(docs, plan)
+    assert kept.columns == [*docs.columns, "_copies"]
+    assert Counter((r[0], *leaf(r), size(r), r["_copies"]) for r in kept.collect()) == expected
+
+
+def test_ngram_join_hot_tokens_and_orders(spark, monkeypatch):
+    """Near copies of one text, dealt out in groups; the further orders remove candidates, and no link."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 8, 12])):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), "x"))
+    rows += [(1000 + i, " ".join([*base[:40], *[f"u{i}_{j}" for j in range(rng.randint(5, 30))]]), "x") for i in range(100)]
+    rows += [(2000 + i, " ".join([*[f"v{i % 9}_{j}" for j in range(9)], *[f"w{i}_{j}" for j in range(6)]]), "x") for i in range(90)]  # short, alike in part
+    rows += [rows[0], (0, rows[0][1].upper(), "y")]
+    sets = [shingles(r[1]) for r in rows]
+    similar = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if similar(a, sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), 1 << 60), r[0])
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 16)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(4)
+    found = ngram_join.join(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, found)) == Counter((r[0], len(s), least[find(i)]) for i, (r, s) in enumerate(zip(rows, sets)))
+    kept = ngram_join.keep_one(docs.withColumnRenamed("row", "class"))
+    assert kept.columns == ["doc_id", "text", "class"] and {r[0] for r in kept.collect()} == set(least.values()) and kept.count() == len(least)
+    # every candidate of the first order, and what the others leave of them
+    members, owners = ngram_join._owners(docs.select("doc_id", "text"))
+    shared = ngram_join._shared(docs.select("doc_id", "text"), 80).withColumn("root", F.col("class"))
+    pairs = ngram_join._open(shared.select("token", "class", "n", "at", "root"), 80)
+    roomy = {tuple(r) for r in ngram_join._roomy(docs.select("doc_id", "text"), pairs, owners, 80).collect()}
+    met = {tuple(r) for r in ngram_join.meeting(docs.select("doc_id", "text"), pairs, owners, 80).collect()}
+    of = {r["class"]: set_ for r in members.collect() for i, set_ in enumerate(sets) if rows[i][0] == r["doc_id"] and len(set_) == r["n"]}
+    assert len(met) < pairs.count()
+    linked = {(min(a, b), max(a, b)) for a in of for b in of if a != b and similar(of[a], of[b])}
+    assert linked and linked <= met and linked <= roomy and len(roomy) < pairs.count()
+
+
+def test_langid_by_brute_force(spark, docs, rows):
+    found = {(r["doc_id"], r["lang_pred"]): r["score"] for r in langid.identify(docs).collect()}
+    own = spark.createDataFrame([(5000, "\u00bd \u00b2 \u2167 \u2460 12", None), (5001, "\u00bd a", None), (5002, "\u4e2d", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    marks = {r["doc_id"]: r["lang_pred"] for r in langid.predict(own.select("doc_id", "text"), model).collect()}
+    assert marks[5000] == "und" and marks[5001] != "und" and marks[5002] != "und"
+
+    def grams(text):
+        c = [ord(x) for x in text.lower()]
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                h = n
+                for x in c[i : i + n]:
+                    h = (h ^ x) * 0x9E3779B97F4A7C15 % 2**64
+                yield (h >> 40) % 2**15
+
+    learned = [r for r in rows if r[0] is not None and r[1] is not None and r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    counts = {k: Counter() for k in {r[2] for r in learned}}
+    for r in learned:
+        counts[r[2]].update(grams(r[1]))
+    total = {k: sum(c.values()) + 0.5 * 2**15 for k, c in counts.items()}
+    prior = Counter(r[2] for r in learned)
+    for r in rows:
+        if not any(x.isalpha() for x in r[1] or ""):
+            assert found[(r[0], "und")] == 0
+            continue
+        own = Counter(grams(r[1]))
+        sums = {k: math.log(prior[k] / len(learned)) + sum(n * math.log((counts[k][g] + 0.5) / total[k]) for g, n in own.items()) for k in counts}
+        best = max(sums, key=lambda k: (sums[k], -ord(k[0])))
+        share = 1 / sum(math.exp(v - sums[best]) for v in sums.values())
+        got = [(p, s) for (i, p), s in found.items() if i == r[0]]
+        assert (best, pytest.approx(share, abs=0.02)) in got or abs(share - 0.5) < 0.02, (r[0], best, share, got)
+    long = "word and another " * 100_000
+    pieces = list(langid.buckets(long))
+    assert len(pieces) > 6 and sum(map(len, pieces)) == 3 * len(long) - 3
+    assert Counter(int(x) for p in langid.buckets(long[:3000]) for x in p) == Counter(grams(long[:3000]))
+
+
+def test_quality_adds_terms(docs, rows):
+    """Scores are sums of one table entry for each feature and each pair."""
+    rng = random.Random(2)
+    x = [[rng.random() for _ in quality.FEATURES] for _ in range(400)]
+    y = [float(v[0] + v[1] * v[2] > 0.8) for v in x]
+    import numpy as np
+
+    model = quality.train(np.array(x), np.array(y))
+    where = lambda edges, v: sum(v >= e for e in edges)
+    for v, got in zip(x[:50], model.score(np.array(x[:50]))):
+        total = model.base + sum(t[where(e, v[j])] for j, (e, t) in enumerate(zip(model.edges, model.tables)))
+        total += sum(t[where(model.pair_edges[a], v[a]), where(model.pair_edges[b], v[b])] for a, b, t in model.pairs)
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+    assert len(model.pairs) == quality.PAIRS and ((model.score(np.array(x)) > 0.5) == np.array(y)).mean() > 0.95
+    for r in rows[:8]:
+        f, text = dict(zip(quality.FEATURES, quality.features(r[1]))), r[1] or ""
+        w = text.encode().split()
+        assert f["log_chars"] == pytest.approx(math.log1p(len(text))) and f["distinct_words"] == pytest.approx(len(set(w)) / max(1, len(w)))
+        assert f["digits"] == pytest.approx(sum(c.isdigit() for c in text) / max(1, len(text))) and f["upper"] <= 1
+
+
+def test_secret_runs_measured():
+    """Random strings are found; identifiers, digests, UUIDs and words aren't."""
+    import uuid
+
+    rng = random.Random(4)
+    word = ["user", "account", "session", "handler", "config", "service", "manager", "request", "token", "index", "buffer", "report", "http", "client", "default", "value", "parse", "error", "module", "stream", "update", "list"]
+    some = lambda: [rng.choice(word) for _ in range(rng.randint(3, 5))]
+    names = ["_".join(some()) for _ in range(100)] + ["".join(map(str.title, some())) for _ in range(100)] + ["-".join(some()) + f"-{rng.randrange(2030)}" for _ in range(100)]
+    names += ["/" + "/".join(some()) + "/v2" for _ in range(50)] + ["_".join(some()).upper() for _ in range(100)]
+    names += [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(50)] + [hashlib.sha1(str(i).encode()).hexdigest() for i in range(50)] + [str(rng.randrange(10**20)) for _ in range(50)]
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + x) for _ in range(rng.randint(20, 44))) for x in ("", "+/") for _ in range(250)]
+    keys.append("zQ8xJ2kP9vB4nM7w")
+
+    def random_in(run):
+        return any(rank == 3 for _, rank, _ in secrets.spans_of(f"see {run} here", secrets.VOCABULARY))
+
+    recall, false = sum(map(random_in, keys)) / len(keys), sum(map(random_in, names))
+    assert recall > 0.97 and false <= 0.02 * len(names), (recall, false, [n for n in names if random_in(n)][:5])
+
+
+def test_pii_context(spark):
+    rows = [(1, "the social number 123-45-6789"), (2, "antisocial 123-45-6789"), (3, "123-45-6789 is my SSN"), (4, "syntax 123-45-6789"), (5, "taxes: 123-45-6789"), (6, None)]
+    found = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, s in found.items() if s} == {1, 3} | ({5} if found[5] else set())
+    clash = spark.createDataFrame([(1, "a@b.cd", "x", "y")], "doc_id long, text string, __pii_m0 string, __pii_found string")
+    assert pii.redact(clash).first().asDict() == {"doc_id": 1, "text": "<EMAIL>", "__pii_m0": "x", "__pii_found": "y"}

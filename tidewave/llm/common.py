@@ -45,6 +45,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``frames``, once all that reads them has been written itself."""
+    for df in frames:
+        spark = df.sparkSession
+        own = shared_dir(spark).partition(":")[2].lstrip("/")
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if own in folder:  # nothing but spent tables
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text (null: none), cut at ASCII white space only."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

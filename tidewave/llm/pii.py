@@ -1,13 +1,16 @@
 """Operator 6: personal data, found with DataFrame expressions only.
 
 Regular expressions propose spans; checksum validators (Luhn for cards, mod-97
-for IBANs) and range checks confirm them; words near a span adjust its score.
+for IBANs) and range checks confirm them; whole words near a span, before or behind
+it, adjust its score.
 Kinds ``email ip card phone`` are kept whenever they validate. Two kinds are
 added by the method: ``iban`` (mod-97 must hold) and ``ssn`` (no checksum, so
 it needs a context word to reach the score threshold).
 
-Null text counts as empty. Offsets are code points, end exclusive. Rows are
-independent, so repeated rows give repeated results; an empty table gives none.
+Null text counts as empty; texts of any length are searched whole. Offsets are
+code points, end exclusive. Rows are independent, so repeated rows give repeated
+results; an empty table gives none. Further columns pass through whatever their
+names.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.llm.common import unused
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -32,7 +37,7 @@ class Kind:
 
 #: The base kinds in the order in which they are listed in results.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "mail|contact|write", 0.9),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "e-?mail|mail|contact|write", 0.9),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "ip|address|host|server", 0.6),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "card|visa|credit|payment", 0.8),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "phone|call|tel|mobile|fax", 0.7),
@@ -98,7 +103,8 @@ def _spans(text: Column, found: Column, gaps: Column, rank: int, kind: Kind) ->
 
     def scored(x: Column) -> Column:
         before = F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT_CHARS)))
-        near = F.lower(before).rlike(f"(?:{kind.context})")
+        behind = F.substring(text, x["start"] + F.length(x["found"]) + 1, F.lit(CONTEXT_CHARS))
+        near = F.lower(F.concat(before, F.lit("\n"), behind)).rlike(rf"(?<!\p{{L}})(?:{kind.context})s?(?!\p{{L}})")
         score = F.round(F.lit(kind.score) + F.when(near, CONTEXT_BONUS).otherwise(0.0), 2)
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + F.length(x["found"])).alias("end"), F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score")).cast(_SPAN)
 
@@ -111,16 +117,17 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     Every whole text is searched. Base kinds stay whatever their score; the
     added kinds need ``KEEP_SCORE``.
     """
-    own = "__pii_text"
+    own = unused("__pii_text", docs.columns)
+    match, gap = ([unused(f"__pii_{c}{i}", docs.columns) for i in range(len(KINDS))] for c in "mg")
     df = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns({f"__pii_m{i}": F.regexp_extract_all(own, F.lit(k.pattern), F.lit(0)) for i, k in enumerate(KINDS)})
-    df = df.withColumns({f"__pii_g{i}": F.when(F.size(f"__pii_m{i}") > 0, F.split(own, k.pattern, -1)) for i, k in enumerate(KINDS)})
+    df = df.withColumns({match[i]: F.regexp_extract_all(own, F.lit(k.pattern), F.lit(0)) for i, k in enumerate(KINDS)})
+    df = df.withColumns({gap[i]: F.when(F.size(match[i]) > 0, F.split(own, k.pattern, -1)) for i, k in enumerate(KINDS)})
     each = []
     for i, k in enumerate(KINDS):
-        spans = _spans(F.col(own), F.col(f"__pii_m{i}"), F.col(f"__pii_g{i}"), i, k)
+        spans = _spans(F.col(own), F.col(match[i]), F.col(gap[i]), i, k)
         each.append(spans if k.base else F.filter(spans, lambda x: x["score"] >= KEEP_SCORE))
     df = df.withColumn(out, F.array_sort(F.concat(*each)))
-    return df.drop(own, *[f"__pii_{c}{i}" for c in "mg" for i in range(len(KINDS))])
+    return df.drop(own, *match, *gap)
 
 
 def written(spans: Column) -> Column:
@@ -133,7 +140,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Texts without findings, and null texts, stay as they are.
     """
-    df = find(docs, text, "__pii_found")
+    own = unused("__pii_found", docs.columns)
+    df = find(docs, text, own)
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -144,8 +152,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     def join(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
 
-    clean = F.aggregate("__pii_found", first, step, join)
-    return df.withColumn(text, F.when(F.size("__pii_found") > 0, clean).otherwise(F.col(text))).drop("__pii_found")
+    clean = F.aggregate(own, first, step, join)
+    return df.withColumn(text, F.when(F.size(own) > 0, clean).otherwise(F.col(text))).drop(own)
 
 
 def report(docs: DataFrame) -> DataFrame:

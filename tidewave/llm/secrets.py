@@ -5,8 +5,11 @@ adds spans of kind ``random``: a long run of key-like characters which a public
 byte-pair vocabulary needs many tokens for (few characters per token) is a
 random string, unless it is a known digest or an identifier.
 
-Null text counts as empty; offsets are code points, end exclusive; rows are
-independent of each other, so repeated rows give repeated results.
+Null text counts as empty; texts of any length are searched whole; offsets are
+code points, end exclusive; rows are independent of each other, so repeated rows
+give repeated results; an empty table gives none. Columns beyond doc_id and text
+aren't read and may have any name. The vocabulary is read on each executor, from
+a path that all have or from a file sent along with ``SparkContext.addFile``.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -39,24 +43,38 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RANDOM_CHARS},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.IGNORECASE)
 _NUMBER = re.compile(r"[0-9+/_=-]+\Z")
-_NAME = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[_/=+-]*\Z")
+#: A piece of a name between separators: words (in any usual case), then perhaps a number; or a number.
+_PIECE = re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+(?![a-z]))+[0-9]{0,4}|[0-9]{1,8})\Z")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_VOWEL = re.compile("[aeiouy]", re.IGNORECASE)
+LEAST_WORD_CHARS = 3
 
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str):
     import tiktoken
+    from pyspark import SparkFiles
 
+    if not os.path.exists(path):  # sent along with the job
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("vocabulary", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
 
 
+def _is_name(run: str) -> bool:
+    """An identifier: pieces between separators are words that can be spoken, of some length on average, and numbers."""
+    pieces = [p for p in re.split("[+/_=-]+", run) if p]
+    if not all(map(_PIECE.match, pieces)):
+        return False
+    found = [w for p in pieces for w in _WORD.findall(p)]
+    spoken = sum(bool(_VOWEL.search(w)) or len(w) < LEAST_WORD_CHARS for w in found)
+    return bool(found) and sum(map(len, found)) >= LEAST_WORD_CHARS * len(found) and 4 * spoken >= 3 * len(found)
+
+
 def _is_known(run: str) -> bool:
-    """A digest, a UUID, a number, or a name made of a few plain words."""
-    if _DIGEST.match(run) or _UUID.match(run) or _NUMBER.match(run):
-        return True
-    parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)
-    return len(parts) <= max(1, len(run) // 5) and bool(_NAME.match(run))
+    """A digest, a UUID, a number or an identifier."""
+    return bool(_DIGEST.match(run) or _UUID.match(run) or _NUMBER.match(run)) or _is_name(run)
 
 
 def spans_of(text: str, vocabulary: str) -> list[tuple[int, int, int]]:

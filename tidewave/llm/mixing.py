@@ -12,9 +12,11 @@ count stays within what is left. Running counts are found in two steps (sums
 per slice of the seeded order, then inside the one slice where the prefix
 ends), so no leaf is ever gathered in one task.
 
-Null text has no words and takes part in nothing; a null language or source is
-its own leaf, called ``(none)``. Repeated rows of an id are separate rows with
-the same place in the order. A weight that is not given is 1.
+Null, empty and blank texts have no words and take part in nothing; a text of any
+length counts whole. A null language or source is its own leaf, called
+``(none)``. Repeated rows of an id are separate rows with the same place in the
+order, the shorter first; so are rows without an id. A weight that is not given
+is 1. An empty table gives none; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import materialize, words
+from tidewave.llm.common import materialize, unused, words
 
 NONE = "(none)"
 LEVELS = ("domain", "language", "leaf_source")
@@ -119,7 +121,7 @@ def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     before = materialize(before, "mixing-slices")
     df = placed.join(before, [*LEVELS, "slice"])
     whole, cut = F.col("before") + F.col("sum") <= F.col("left"), F.col("before") < F.col("left")
-    inside = Window.partitionBy(*LEVELS).orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*LEVELS).orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     split = df.where(~whole & cut).withColumn("last", (F.col("before") + F.sum("tokens").over(inside) <= F.col("left")).cast("long"))
     rest = df.where(whole | ~cut).withColumn("last", whole.cast("long"))
     out = split.unionByName(rest).withColumn("copies", F.col("epoch") + F.col("last"))
@@ -127,10 +129,22 @@ def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
 
 
 def take(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
-    """``docs`` reduced to what ``mix`` takes, with ``copies``; rows of one id are taken together."""
-    taken = mix(docs, plan).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    kept = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    return kept.withColumn("copies", F.col("__copies")).drop("__copies")
+    """``docs`` reduced to what ``mix`` takes, with ``copies`` (``_copies`` if there is such a column).
+
+    Of rows that agree in id, leaf and length as many are taken, and as often,
+    as ``mix`` says, in order of the hash of their text.
+    """
+    copies, key, most, many, all_, row = (unused(c, docs.columns) for c in ("copies", "key", "most", "many", "all", "row"))
+    taken = mix(docs, plan).groupBy(F.xxhash64("doc_id", "language", "source", "tokens").alias(key))
+    taken = taken.agg(F.count("*").alias(all_), F.max("copies").alias("hi"), F.min("copies").alias("lo"), F.sum("copies").alias("sum"))
+    # the copies of equal rows differ by one at most
+    many_ = F.when(F.col("hi") > F.col("lo"), F.col("sum") - F.col(all_) * F.col("lo")).otherwise(F.col(all_))
+    taken = taken.select(key, F.col("hi").alias(most), many_.alias(many), all_)
+    tokens = F.size(words(F.col("text"))).cast("long")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("lang", F.lit(NONE)), F.coalesce("source", F.lit(NONE)), tokens))
+    found = keyed.join(taken, key).withColumn(row, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text"))))
+    found = found.where(F.col(row) <= F.col(all_)).withColumn(copies, F.when(F.col(row) <= F.col(many), F.col(most)).otherwise(F.col(most) - 1))
+    return found.select(*docs.columns, copies)
 
 
 def oracle(plan: Plan = Plan()) -> str:  # noqa: B008

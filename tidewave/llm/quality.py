@@ -6,9 +6,12 @@ bins, shallow trees are boosted on one feature at a time in turn, then on the
 strongest feature pairs; what they learn is kept as one lookup table per
 feature and per pair. Scoring adds up table entries by bin, in numpy batches.
 
-Null and empty texts have features of zero and are scored like others. Without
-labelled rows of both classes the score is the share of good rows, or 0.5.
-Repeated label rows count as one with the greatest quality.
+Null and empty texts have features of zero and are scored like others; very long
+ones are taken whole. Without labelled rows of both classes the score is the
+share of good rows, or 0.5. Repeated label rows count as one with the greatest
+quality, and of repeated rows of a document the text with the smallest hash is
+learned from. An empty table gives none; columns beyond doc_id, text and
+quality aren't read and may have any name.
 """
 
 from __future__ import annotations
@@ -190,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["quality"].astype(float), "x": x})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # the sample is bounded by ``rows``
+    joined = joined.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # also where ids repeat
     found = joined.mapInPandas(run, "doc_id long, y double, x array<double>").toPandas()
     found = found.assign(key=found["x"].map(tuple)).sort_values(["doc_id", "y", "key"])
     x = np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES))

@@ -11,14 +11,15 @@ def test_near_duplicates(spark):
     near = base[:40] + 0.05 * rng.standard_normal((40, 16))
     dense = base[100] + 0.03 * rng.standard_normal((700, 16))  # larger than any list or block
     vectors = [list(map(float, v)) for v in np.concatenate([base, near, dense, base[:5], 3 * base[5:8]])]
-    vectors += [None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [1.0, 2.0]]
+    vectors += [None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [1.0, 2.0], [2.0, 4.0], [2.0, -4.0], [1e-170] * 16, [3e-170] * 16, [5e-324] * 3, [1e-323] * 3]
     rows = [(i, v, 0, "x", 1) for i, v in enumerate(vectors)] + [(0, vectors[0], 0, "x", 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, x string, n int")
     found = embedding_dedup.near_duplicates(df).toPandas()
-    sound = [(i, v) for i, v, *_ in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
-    ids, x = np.array([i for i, _ in sound]), np.array([v for _, v in sound])
+    sound = [(i, v) for i, v, *_ in rows if v and None not in v and np.isfinite(v).all() and any(v)]
+    length = np.array([len(v) for _, v in sound])
+    ids, x = np.array([i for i, _ in sound]), np.array([np.pad(np.array(v) / np.abs(v).max(), (0, 16 - len(v))) for _, v in sound])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    linked = x @ x.T >= 0.95
+    linked = (x @ x.T >= 0.95) & (length[:, None] == length[None, :])  # lengths don't link with each other
     np.fill_diagonal(linked, False)
     label = ids.copy()
     for _ in range(50):

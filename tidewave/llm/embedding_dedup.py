@@ -12,6 +12,7 @@
    many links they are known to have, is compared with all rows besides. While
    either falls short of ``WANTED_RECALL`` more codes and rounds follow; a
    recall that stays below ``LEAST_RECALL`` makes all blocks meet each other.
+   The figures are logged.
 4. Edges that reach the threshold in double precision give the components.
    A list of a dense group may hold none of the links to another dense group:
    components with a node of ``NEIGHBOURS`` links are cut into cells around
@@ -20,17 +21,22 @@
    inside each component, in blocks; no pair is ever written.
 
 Large code blocks, hubs and components are split by hash, so no task gathers an
-unbounded group. Vectors that are null, zero, of another length than most, or
-hold null or non-finite components link with nothing. Repeated ids are rows of
-their own; rows of equal vectors link with each other.
+unbounded group. Vectors of different lengths don't link: each length is
+searched by itself, one other than the most frequent of up to ``FULL_NODES``
+distinct vectors by comparing all. Vectors that are null, empty, zero, or hold
+null or non-finite components link with nothing. Repeated ids are rows of their
+own; rows of equal vectors link with each other. An empty table gives none;
+columns beyond vec_id and embedding aren't read and may have any name.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +56,10 @@ MOST_CELLS, BLOCK_CELLS, TRIED_NODES = 512, 2048, 64
 #: Nodes of each kind (no, few, many known links) that the audit compares with all rows; a documented bound.
 AUDITED, WANTED_RECALL, LEAST_RECALL = 256, 0.97, 0.9
 
+#: Distinct vectors of a less frequent length that one task compares with each other.
+FULL_NODES = 2048
+
+_LOG = logging.getLogger(__name__)
 _LISTS = "id long, ids binary, sims binary"
 
 
@@ -84,29 +94,31 @@ def _rows(found: list[tuple[int, bytes, bytes]]) -> pa.Table:
 
 
 def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: vec_id, id; nodes: id, n, x): the rows of each node, and its unit vector as bytes."""
+    """(members: vec_id, node; nodes: id, least_id, n, d, x): the rows of each node; its length and its unit vector as bytes."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", v.alias("v"))
-    number = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    sound = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (number > 0)
+    finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    sound = (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0)
     good = materialize(rows.where(F.coalesce(sound, F.lit(False))).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))), "vectors")
-    length = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    good = good.where(F.size("v") == (length["d"] if length else 0)).withColumn("key", F.xxhash64("v"))
+    good = good.withColumn("key", F.xxhash64("v"))
     classes = good.groupBy("key", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch["v"].flatten().to_numpy().reshape(len(batch), -1) if len(batch) else np.zeros((0, 1))
-            x = x / np.abs(x).max(1, initial=1e-300)[:, None]  # so that squares stay finite
-            x = x / np.sqrt((x * x).sum(1))[:, None]
-            yield pa.record_batch([batch["key"], batch["id"], batch["n"], pa.array([r.tobytes() for r in x], pa.binary())], ["key", "id", "n", "x"])
-
-    known = materialize(classes.mapInArrow(unit, "key long, id long, n long, x binary"), "nodes")
+        for whole in batches:
+            lengths = pc.list_value_length(whole["v"]).to_numpy()
+            for d in np.unique(lengths):
+                batch = whole.filter(pa.array(lengths == d))
+                x = batch["v"].flatten().to_numpy().reshape(len(batch), -1)
+                x = x / np.abs(x).max(1, initial=1e-300)[:, None]  # so that squares stay finite, and above zero
+                x = x / np.sqrt((x * x).sum(1))[:, None]
+                yield pa.record_batch([batch["key"], batch["id"], batch["n"], pa.array(np.full(len(x), d, np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "id", "n", "d", "x"])
+
+    known = materialize(classes.mapInArrow(unit, "key long, id long, n long, d int, x binary"), "nodes")
     # an id may repeat with another vector: nodes get numbers of their own
     known = known.withColumn("node", F.xxhash64("key", "id"))
-    known = materialize(known.select("key", "node", F.col("id").alias("least_id"), "n", "x"), "numbered")
+    known = materialize(known.select("key", "node", F.col("id").alias("least_id"), "n", "d", "x"), "numbered")
     members = good.select("vec_id", "key").join(known.select("key", "node"), "key").select("vec_id", "node")
-    return members, known.select(F.col("node").alias("id"), "least_id", "n", "x")
+    return members, known.select(F.col("node").alias("id"), "least_id", "n", "d", "x")
 
 
 def _codes(bits: int) -> int:
@@ -355,15 +367,16 @@ def _bridged(x: DataFrame, graph: DataFrame, roots: DataFrame, n: int, seed: int
     return _joined(roots, links)
 
 
-def _counts(x: DataFrame, roots: DataFrame, n: int) -> DataFrame:
-    """(id, linked): rows that each node links with directly, counted inside its component."""
+def _counts(x: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, linked): rows that each node links with directly, counted inside its component, by tasks of about ``TASK_NODES`` rows."""
     own = roots.join(x.select("id", "n", "x"), roots["node"] == x["id"]).select("root", "id", "n", "x")
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / (2 * BLOCK_NODES)).cast("int").alias("parts"))
-    own = own.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sizes = materialize(roots.groupBy("root").agg(F.count("*").alias("size"), F.ceil(F.count("*") / (2 * BLOCK_NODES)).cast("int").alias("parts")), "sizes")
+    rows = sizes.agg(F.coalesce(F.sum(F.col("size") * F.col("parts")), F.lit(0))).first()[0]
+    own = own.join(sizes.drop("size"), "root").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # every part meets every part once; a row says on which side it stands
     mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     dealt = own.select("root", "id", "n", "x", "part", F.explode(mates).alias("pair")).withColumn("group", F.xxhash64("root", "pair"))
-    tasks = max(4, n // TASK_NODES)
+    tasks = max(4, rows // TASK_NODES)
 
     def count(t: pa.Table) -> pa.Table:
         group, ids, weight, part, m = _ids(t["group"]), _ids(t["id"]), _ids(t["n"]), _ids(t["part"]), _matrix(t["x"], np.float64)
@@ -472,12 +485,27 @@ def _in_full(x: DataFrame, n: int) -> DataFrame:
     return components(links, "a", "b")
 
 
-def near_duplicates(vectors: DataFrame, seed: int = 5) -> DataFrame:
-    """Per vector: vec_id, n_links, component_id, kept."""
-    ids = vectors.select("vec_id")
-    members, x = nodes(vectors)
+def _few(x: DataFrame) -> DataFrame:
+    """(id, root, linked) of nodes of lengths that have up to ``FULL_NODES`` nodes each, all of a length compared."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, m, weight = _ids(t["id"]), _matrix(t["x"], np.float64), _ids(t["n"])
+        linked, label = m @ m.T >= THRESHOLD, np.arange(len(t))
+        np.fill_diagonal(linked, False)
+        while True:
+            new = np.minimum(label, np.where(linked, label[None, :], len(t)).min(1))
+            if (new == label).all():
+                break
+            label = new
+        return pa.table({"id": pa.array(ids), "root": pa.array(ids[label]), "linked": pa.array((linked @ weight).astype(np.int64))})
+
+    return x.groupBy("d").applyInArrow(compare, "id long, root long, linked long")
+
+
+def _searched(x: DataFrame, seed: int) -> DataFrame:
+    """(id, root, linked) of nodes (id, n, x) of one length, by NN-descent."""
     n = x.count()
-    graph, roots, least = None, None, 0.0
+    graph, roots, recall = None, None, 0.0
     for again in range(PASSES):
         graph = materialize(_merge(_by_codes(x, n, seed + again), graph), "graph")
         lost = _gained(graph) if again else 1.0
@@ -490,16 +518,31 @@ def near_duplicates(vectors: DataFrame, seed: int = 5) -> DataFrame:
         roots = materialize(components(_links(x, graph), "a", "b"), "roots")
         roots = materialize(_bridged(x, graph, roots, n, seed + again), "roots")
         # a sample without links is no evidence; what fresh codes find is
-        least = min([1 - lost, *(share for share in audit(x, graph, roots, seed + again) if share is not None)])
-        if least >= WANTED_RECALL:
+        small, dense = audit(x, graph, roots, seed + again)
+        recall = min([1 - lost, *(share for share in (small, dense) if share is not None)])
+        _LOG.info("pass %d over %d nodes: new links for %.4f of those with few; whole by audit: %s with few, %s with many", again, n, lost, small, dense)
+        if recall >= WANTED_RECALL:
             break
-    if least < LEAST_RECALL:
+    if recall < LEAST_RECALL:
+        _LOG.warning("recall %.3f stays below %.3f: all blocks are compared", recall, LEAST_RECALL)
         roots = materialize(_in_full(x, n), "roots")
-    counts = _counts(x, roots, n)
-    grouped = x.select("id", "least_id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    grouped = materialize(grouped, "grouped")
-    least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    per_node = grouped.join(least, "root").select(F.col("id").alias("node"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    found = x.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").join(_counts(x, roots), "id", "left")
+    return found.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked"))
+
+
+def near_duplicates(vectors: DataFrame, seed: int = 5) -> DataFrame:
+    """Per vector: vec_id, n_links, component_id, kept."""
+    ids = vectors.select("vec_id")
+    members, x = nodes(vectors)
+    lengths = materialize(x.groupBy("d").agg(F.count("*").alias("nodes")), "lengths")
+    most = lengths.orderBy(F.desc("nodes"), "d").first()
+    large = sorted({most["d"], *(r["d"] for r in lengths.where(F.col("nodes") > FULL_NODES).collect())}) if most else []
+    found = _few(x.where(~F.col("d").isin(large)))
+    for d in large:
+        found = found.unionByName(_searched(x.where(F.col("d") == d).select("id", "n", "x"), seed))
+    grouped = materialize(x.select("id", "least_id", "n").join(found, "id"), "grouped")
+    least = materialize(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    per_node = grouped.join(least, "root").select(F.col("id").alias("node"), (F.col("linked") + F.col("n") - 1).alias("n_links"), "component_id")
     linked = members.join(per_node, "node").select("vec_id", "n_links", "component_id")
     sound = linked.groupBy(F.col("vec_id").alias("id")).agg(F.count("*").alias("sound"))
     total = ids.groupBy("vec_id").agg(F.count("*").alias("all"))

@@ -70,15 +70,31 @@ def random_fourier(features: DataFrame, size: int = 100, gamma: float | None = N
     return features.withColumn("x", run("x"))
 
 
+def kernel_map(features: DataFrame, kernel: str = "poly", landmarks: int = 50, gamma: float | None = None, degree: int = 3, coef0: float = 1.0) -> DataFrame:
+    """``x`` as its kernel values with ``landmarks`` rows drawn by hash, so that a linear machine has the kernel's shapes (an approximation)."""
+    some = features.select("row_id", "x").orderBy(F.xxhash64("row_id"), "row_id").limit(landmarks).toPandas()
+    centres = np.stack(some["x"].tolist())
+    g = gamma or 1 / centres.shape[1]
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        inner = g * (np.stack(x.tolist()) @ centres.T) + coef0
+        return pd.Series(((inner**degree) if kernel == "poly" else np.tanh(inner)).tolist())
+
+    return features.withColumn("x", run("x"))
+
+
 def fit(kind: str, features: DataFrame, **options: object) -> PipelineModel:
     return classifier(kind, **options).fit(_prepared(features))
 
 
-def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """(row_id, class, prediction): the predicted class by name."""
+def predict(model: PipelineModel, features: DataFrame, *more: str) -> DataFrame:
+    """(row_id, class, ``more``, prediction): the predicted class by name."""
     labels = model.stages[0].labels
     out = model.transform(_prepared(features))
-    return out.select("row_id", "class", F.element_at(F.array(*map(F.lit, labels)), F.col("prediction").cast("int") + 1).alias("prediction"))
+    return out.select("row_id", "class", *more, F.element_at(F.array(*map(F.lit, labels)), F.col("prediction").cast("int") + 1).alias("prediction"))
 
 
 @dataclass
@@ -140,13 +156,22 @@ def cross_validate(kind: str, features: DataFrame, folds: int = 3, **options: ob
     out, keyed = None, features.withColumn("fold", held_out(folds))
     for k in range(folds):
         model = fit(kind, keyed.where(F.col("fold") != k), **options)
-        scored = predict(model, keyed).join(keyed.select("row_id", "fold"), "row_id")
+        scored = predict(model, keyed, "fold")
         right = (F.col("class") == F.col("prediction")).cast("double")
         row = scored.agg(F.lit(k).alias("fold"), F.avg(F.when(F.col("fold") != k, right)).alias("train_score"), F.avg(F.when(F.col("fold") == k, right)).alias("test_score"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def compare_models(kinds: Sequence[str], features: DataFrame, folds: int = 3, **options: object) -> DataFrame:
+    """(model, mean_train, mean_test) of several classifiers over the same folds."""
+    out = None
+    for kind in kinds:
+        row = cross_validate(kind, features, folds, **options).agg(F.lit(kind).alias("model"), F.avg("train_score").alias("mean_train"), F.avg("test_score").alias("mean_test"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # ---- filter-bank common spatial patterns -------------------------------------------------
 
 

@@ -152,6 +152,36 @@ def reference_robust(samples: DataFrame, rounds: int = 4, limit: float = 3.0) ->
     return out, bad
 
 
+def interpolate(samples: DataFrame, weights: DataFrame) -> DataFrame:
+    """``samples`` with the channels ``bad`` of ``weights`` (bad, channel, w: a few rows) replaced by weighted sums of others, wherever all of these have a sample."""
+    need = F.broadcast(weights.groupBy("bad").agg(F.count("*").alias("need")))  # a row for each bad channel
+    parts = samples.join(F.broadcast(weights), "channel").groupBy("signal_id", "seq", "bad").agg(F.sum(F.col("value") * F.col("w")).alias("value"), F.count("*").alias("n"))
+    made = parts.join(need, "bad").where("n = need").select("signal_id", "seq", F.col("bad").alias("channel"), "value")
+    kept = samples.join(F.broadcast(weights.select(F.col("bad").alias("channel")).distinct()), "channel", "left_anti")
+    return kept.select("signal_id", "seq", "channel", "value").unionByName(made)
+
+
+def monotonic(samples: DataFrame) -> DataFrame:
+    """Time stamps of each channel that never go back: the greatest so far."""
+    return samples.withColumn("ts", F.max("ts").over(Window.partitionBy(*SIGNAL).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def dejittered(samples: DataFrame) -> DataFrame:
+    """Time stamps (microseconds ``us``) of each channel on the straight line that fits them."""
+    start = samples.groupBy(*SIGNAL).agg(F.min(micros("ts")).alias("origin"))
+    at = samples.join(start, list(SIGNAL)).withColumn("late", (micros("ts") - F.col("origin")).cast("double"))
+    line = at.groupBy(*SIGNAL).agg(F.regr_slope("late", "seq").alias("slope"), F.regr_intercept("late", "seq").alias("base"))
+    fit = F.col("origin") + F.coalesce(F.col("base") + F.col("slope") * F.col("seq"), F.col("late"))
+    return at.join(line, list(SIGNAL)).select(*SIGNAL, "seq", F.round(fit).cast("long").alias("us"), "value")
+
+
+def latest(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
+    """``left`` (signal_id, ts, ...) with the last ``value`` of ``right`` at or before each time stamp: one sort of both, no join of ranges."""
+    order = Window.partitionBy("signal_id").orderBy("ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = right.select("signal_id", "ts", F.lit(0).alias("__side"), F.col(value)).unionByName(left.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    return both.withColumn(value, F.last(value, ignorenulls=True).over(order)).where("__side = 1").drop("__side")
+
+
 def noisy_channels(samples: DataFrame, flat: float = 1e-9) -> DataFrame:
     """Whether each channel holds NaN or null, or is flat."""
     v = F.col("value")

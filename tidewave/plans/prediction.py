@@ -146,3 +146,19 @@ def merge_features(spark: SparkSession, sf: str) -> DataFrame:
     """Feature sets of several inputs, each class together."""
     f = tables.features(spark, sf)
     return models.concat_classes(f.where("class < '3'"), f.where("class between '2' and '5'"), f.where("class > '4'")).select("part", "row_id", "class")
+
+
+def _kernelled(kernel: str) -> None:
+    @query(f"clf_svm_{kernel}")
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        f = models.kernel_map(tables.features(spark, sf), kernel)
+        return models.predict(models.fit("svm", f.where(models.held_out() > 0), max_iter=10), f)
+
+
+_kernelled("poly")
+_kernelled("sigmoid")
+
+
+@query("validate_models")
+def validate_models(spark: SparkSession, sf: str) -> DataFrame:
+    return models.compare_models(("logreg", "rf"), tables.features(spark, sf), 2, max_iter=10, trees=5)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewave.functions import kernels
 from tidewave.operators import signals
 from tidewave.plans.registry import query
 from tidewave.sources import generators, tables, xdf
+from tidewave.streaming import online
 
 _SAMPLES = "samples AS (SELECT user_id AS signal_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS seq, ts, event_type AS channel, value FROM events)"
 _SECONDS = "epoch_us(ts) / 1000000.0::DOUBLE"
@@ -106,3 +109,72 @@ def gen_trials(spark: SparkSession, sf: str) -> DataFrame:
 @query("gen_iris")
 def gen_iris(spark: SparkSession, sf: str) -> DataFrame:
     return generators.flowers(spark)
+
+
+#: Made-up positions of the five channels on a unit sphere, and the channel taken as bad.
+_PLACES = {"click": (0.0, 0.0, 1.0), "error": (0.6, 0.0, 0.8), "purchase": (-0.6, 0.0, 0.8), "signup": (0.0, 0.6, 0.8), "view": (0.0, -0.6, 0.8)}
+_BAD = "click"
+_GOOD = {c: float(w) for c, w in zip([c for c in _PLACES if c != _BAD], kernels.spherical_weights(np.array([p for c, p in _PLACES.items() if c != _BAD]), np.array([_PLACES[_BAD]]))[0])}
+
+
+@query("interp_bads", f"WITH {_SAMPLES}, w AS (SELECT unnest({list(_GOOD)}) AS channel, unnest({list(_GOOD.values())}) AS w), m AS (SELECT signal_id, seq, sum(value * w) AS value FROM samples JOIN w USING (channel) GROUP BY ALL HAVING count(*) = {len(_GOOD)}) SELECT signal_id, seq, channel, round(value, 6) AS value FROM samples WHERE channel <> '{_BAD}' UNION ALL SELECT signal_id, seq, '{_BAD}', round(value, 6) FROM m")
+def interp_bads(spark: SparkSession, sf: str) -> DataFrame:
+    weights = spark.createDataFrame([(_BAD, c, w) for c, w in _GOOD.items()], "bad string, channel string, w double")
+    return signals.interpolate(tables.samples(spark, sf), weights).withColumn("value", F.round("value", 6))
+
+
+# Arrival times: every third sample comes a day early, so that they go back.
+_JITTER = f"{_SAMPLES}, j AS (SELECT signal_id, channel, seq, CASE WHEN seq % 3 = 2 THEN ts - INTERVAL 1 DAY ELSE ts END AS ts, value FROM samples)"
+
+
+def _jittered(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.samples(spark, sf).withColumn("ts", F.when(F.col("seq") % 3 == 2, F.expr("ts - interval 1 day")).otherwise(F.col("ts")))
+
+
+@query("monotonize", f"WITH {_JITTER} SELECT signal_id, channel, seq, max(ts) OVER (PARTITION BY signal_id, channel ORDER BY seq) AS ts, value FROM j")
+def monotonize(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.monotonic(_jittered(spark, sf)).select("signal_id", "channel", "seq", "ts", "value")
+
+
+@query("dejitter", f"WITH {_JITTER}, o AS (SELECT *, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY signal_id, channel) AS late, min(epoch_us(ts)) OVER (PARTITION BY signal_id, channel) AS origin FROM j), l AS (SELECT signal_id, channel, regr_slope(late, seq) AS slope, regr_intercept(late, seq) AS base FROM o GROUP BY ALL) SELECT signal_id, channel, seq, (round((origin + coalesce(base + slope * seq, late)) / 1000000))::BIGINT AS second FROM o JOIN l USING (signal_id, channel)")
+def dejitter(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.dejittered(_jittered(spark, sf)).select("signal_id", "channel", "seq", F.round(F.col("us") / 1e6).cast("long").alias("second"))
+
+
+@query("multi_input_sync", f"WITH {_SAMPLES}, v AS (SELECT signal_id, ts, value AS last_view FROM samples WHERE channel = 'view') SELECT s.signal_id, s.ts, s.seq, s.value, v.last_view FROM (SELECT * FROM samples WHERE channel = 'click') s ASOF LEFT JOIN v ON s.signal_id = v.signal_id AND s.ts >= v.ts")
+def multi_input_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """Each sample of one input with the latest of the other."""
+    s = tables.samples(spark, sf)
+    return signals.latest(s.where("channel = 'click'").select("signal_id", "ts", "seq", "value"), s.where("channel = 'view'").select("signal_id", "ts", F.col("value").alias("last_view")), "last_view")
+
+
+@query("sink_xdf_stream", f"SELECT CAST(user_id AS VARCHAR) AS stream, {_SECONDS} AS ts, event_type AS channel, value FROM events")
+def sink_xdf_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of samples written as XDF files, one for each signal and trigger."""
+    path = tables.scratch(spark, "xdf")
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.select(F.col("signal_id").cast("string").alias("stream"), "seq", (F.unix_micros("ts") / 1e6).alias("ts"), "channel", "value")
+        xdf.write(rows, f"{path}/{number}", 0.0).write.format("noop").mode("overwrite").save()
+
+    s = online.stream(spark, f"{sf}/events.parquet*")
+    s.writeStream.option("checkpointLocation", tables.scratch(spark, "state")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return xdf.read(spark, f"{path}/*").select("stream", "ts", "channel", "value")
+
+
+@query("sink_live", "SELECT user_id AS signal_id, event_id AS seq, event_type AS channel, value FROM events")
+def sink_live(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream passed on as lines of JSON, and what arrives."""
+    path = tables.scratch(spark, "live")
+    s = online.stream(spark, f"{sf}/events.parquet*").select(F.to_json(F.struct("signal_id", "seq", "channel", "value")).alias("value"))
+    s.writeStream.format("text").option("path", path).option("checkpointLocation", tables.scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.text(path).select(F.from_json("value", "signal_id long, seq long, channel string, value double").alias("r")).select("r.*")
+
+
+@query("session_variable", "SELECT event_id, value FROM events WHERE value > 99")
+def session_variable(spark: SparkSession, sf: str) -> DataFrame:
+    """A value set in one place and read in another."""
+    spark.sql("DECLARE OR REPLACE VARIABLE tidewave_least DOUBLE DEFAULT 0")
+    spark.sql("SET VAR tidewave_least = 99")
+    least = spark.sql("SELECT tidewave_least AS least").first()["least"]
+    return tables.table(spark, sf, "events", "event_id", "value").where(F.col("value") > least)

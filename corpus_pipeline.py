@@ -1,4 +1,9 @@
-"""The training-data pipeline: each stage works on all that the one before kept."""
+"""The training-data pipeline: each stage works on all that the one before kept.
+
+Every stage takes an empty table, null, empty and very long texts, repeated rows
+and further columns of any name. All but the last return the columns of
+``docs``.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +18,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told; null texts and texts without a letter go. A null lang is filled in, others stay."""
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One row of each group of near copies, that of the smallest id; rows without words are in no group and stay."""
     return ngram_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
+    """Documents into which no benchmark item leaks; null and empty texts stay, and all rows if there are no items."""
     return decontamination.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null texts and texts without findings stay as they are."""
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, with the number of copies."""
+    """The documents that the mixture takes, with ``copies`` (``_copies`` if there is such a column); rows without words go, equal rows are taken one by one."""
     return mixing.take(docs)
 
 

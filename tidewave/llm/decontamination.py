@@ -11,7 +11,9 @@ items that are hit are then verified against all shingles of the document.
 
 Words are lower-cased and cut at ASCII white space. A text of fewer than five
 words is one shingle; without words, or null, it has none and matches nothing.
-Repeated rows of a document or an item count as one; ids may be null.
+Texts of any length are taken whole. Repeated rows of a document or an item count
+as one; ids may be null. An empty table on either side gives no leaks; columns
+beyond ids and texts may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import NGRAM, SIMILAR_PERCENT, SPACE, materialize
+from tidewave.llm.common import NGRAM, SIMILAR_PERCENT, SPACE, materialize, unused
 
 #: Sketches and items are broadcast up to so many hashes (16 bytes each); more are joined by shuffling.
 BROADCAST_HASHES = 2_000_000
@@ -74,8 +76,9 @@ def search(docs: DataFrame, items: DataFrame, percent: int = SIMILAR_PERCENT) ->
 
 def remove(docs: DataFrame, items: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """``docs`` without the documents into which an item leaks."""
-    leaks = search(docs, items, percent).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    leak = unused("leak", docs.columns)
+    leaks = search(docs, items, percent).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti")
 
 
 ORACLE = rf"""

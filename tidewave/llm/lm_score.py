@@ -16,7 +16,9 @@ hashes. If ids don't follow the order of storage, only more bytes travel.
 Each logarithm is rounded to a millionth, so sums don't depend on their order.
 Null texts and texts without words have 0 words, score 0 and a null mean.
 Rows are independent, so repeated rows give repeated results (and count twice).
-N-grams are known by hashes of 56 bits.
+Texts of any length are taken whole. An empty table gives none; columns beyond
+doc_id and text aren't read and may have any name. N-grams are known by hashes
+of 56 bits.
 """
 
 from __future__ import annotations

@@ -123,7 +123,7 @@ def _scores(texts: pa.Table, told: pa.Table, total: int, order: int, least: int,
         rows = sorted((p, c.as_py()) for m, p, c in zip(told["n"].to_pylist(), told["part"].to_pylist(), told["counts"]) if m == n)
         count_of[n] = keys, np.concatenate([_unpack_counts(c) for _, c in rows] or [np.zeros(0, np.int64)])
         assert len(keys) == len(count_of[n][1]), "a block must get the counts of all its n-grams"
-    words, sums = [], []
+    words, sums, offs = [], [], []
     for _, run in parts:
         size = len(run.hashes)
         place = np.arange(size) - np.repeat(np.concatenate([[0], run.ends[:-1]]), np.diff(run.ends, prepend=0))
@@ -136,24 +136,28 @@ def _scores(texts: pa.Table, told: pa.Table, total: int, order: int, least: int,
             if len(keys) and len(h):
                 ending[n][n - 1 :] = counts[at]
             ending[n][place < n - 1] = 0  # begins in another text
-        value = ending[1] / max(1, total)
+        value, off = ending[1] / max(1, total), np.zeros(size, bool)
         for n in range(2, order + 1):
             context = np.concatenate([[1], ending[n - 1][:-1]])[:size]
             seen = ending[n] >= least
+            off = np.where(place >= n - 1, ~seen, off)
             value = np.where(seen, ending[n] / np.maximum(context, 1), np.where(place >= n - 1, backoff * value, value))
         micro = np.rint(np.log(value) * MICRO).astype(np.int64) if size else np.zeros(0, np.int64)
         run_sums = np.concatenate([[0], np.cumsum(micro)])
         ends = np.concatenate([[0], run.ends])
         words.append(np.diff(ends))
         sums.append(run_sums[ends[1:]] - run_sums[ends[:-1]])
+        run_offs = np.concatenate([[0], np.cumsum(off)])
+        offs.append(run_offs[ends[1:]] - run_offs[ends[:-1]])
     n_words = np.concatenate(words) if words else np.zeros(0, np.int64)
     log_score = (np.concatenate(sums) if sums else np.zeros(0, np.int64)) / MICRO
-    mean = pa.array(np.divide(log_score, n_words, out=np.zeros(len(log_score)), where=n_words > 0), mask=n_words == 0)
-    return pa.table({"doc_id": batch["doc_id"], "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(log_score, pa.float64()), "mean_log_score": mean.cast(pa.float64())})
+    backoff = np.concatenate(offs) if offs else np.zeros(0, np.int64)
+    per_word = lambda x: pa.array(np.divide(x, n_words, out=np.zeros(len(x)), where=n_words > 0), mask=n_words == 0).cast(pa.float64())
+    return pa.table({"doc_id": batch["doc_id"], "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(log_score, pa.float64()), "mean_log_score": per_word(log_score), "backoff_share": per_word(backoff)})
 
 
 def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
-    """Per document: doc_id, n_words, log_score, mean_log_score."""
+    """Per document: doc_id, n_words, log_score, mean_log_score, and ``backoff_share``: of the words, those not seen often enough after their whole context."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +206,7 @@ def score(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: floa
         return _scores(_unpacked_texts(texts), counts, total, order, least, backoff)
 
     packed = keyed.mapInArrow(_packed_texts, "block long, data binary")
-    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scores, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scores, "doc_id long, n_words long, log_score double, mean_log_score double, backoff_share double")
 
 
 ORACLE = rf"""
@@ -213,6 +217,6 @@ c1 AS (SELECT c AS k, count(*) AS n FROM grams GROUP BY ALL), c2 AS (SELECT bc A
 found AS (SELECT r, i, x.n / (SELECT count(*) FROM grams) AS s1, y.n AS n2, z.n AS n3, u.n AS u1, v.n AS u2 FROM grams g JOIN c1 x ON x.k = g.c LEFT JOIN c2 y ON y.k = g.bc LEFT JOIN c3 z ON z.k = g.abc LEFT JOIN c1 u ON u.k = g.b LEFT JOIN c2 v ON v.k = g.ab),
 two AS (SELECT *, CASE WHEN i < 2 THEN s1 WHEN n2 >= {LEAST} THEN n2 / u1 ELSE {BACKOFF} * s1 END AS s2 FROM found),
 three AS (SELECT *, CASE WHEN i < 3 THEN s2 WHEN n3 >= {LEAST} THEN n3 / u2 ELSE {BACKOFF} * s2 END AS s3 FROM two),
-sums AS (SELECT r, sum(round(ln(s3) * {MICRO})::BIGINT)::BIGINT AS s FROM three GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(s, 0) / {MICRO} AS log_score, CASE WHEN len(w) > 0 THEN coalesce(s, 0) / {MICRO} / len(w) END AS mean_log_score FROM texts LEFT JOIN sums USING (r)
+sums AS (SELECT r, sum(round(ln(s3) * {MICRO})::BIGINT)::BIGINT AS s, sum(CASE WHEN i < 2 THEN 0 WHEN i < 3 THEN (n2 < {LEAST})::INT ELSE (n3 < {LEAST})::INT END) AS b FROM three GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(s, 0) / {MICRO} AS log_score, CASE WHEN len(w) > 0 THEN coalesce(s, 0) / {MICRO} / len(w) END AS mean_log_score, CASE WHEN len(w) > 0 THEN b / len(w) END AS backoff_share FROM texts LEFT JOIN sums USING (r)
 """

@@ -128,6 +128,11 @@ def test_lm_score(docs, rows, none):
     found = lm_score.score(docs)
     assert Counter((x[0], x[1], x[2]) for x in found.collect()) == expected
     assert found.where("n_words = 0 and mean_log_score is not null").count() == 0
+    off = Counter()
+    for r, w in zip(rows, lists):
+        unseen = sum(count[min(i, 2) + 1][tuple(w[i - min(i, 2) : i + 1])] < 2 for i in range(1, len(w)))
+        off[(r[0], unseen / len(w) if w else None)] += 1
+    assert Counter((x["doc_id"], x["backoff_share"]) for x in found.collect()) == off
     assert lm_score.score(none).count() == 0
 
 

@@ -170,5 +170,6 @@ def report(docs: DataFrame) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in base],
         F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
         F.array_join(F.transform("pii", lambda x: F.format_string("%.2f", x["score"])), ",").alias("scores"),
     )

@@ -414,7 +414,7 @@ def resample(spark: SparkSession, sf: str) -> DataFrame:
 @query("fir_design")
 def fir_design(spark: SparkSession, sf: str) -> DataFrame:
     taps = kernels.windowed_sinc(256, (8.0, 30.0), 100)
-    return spark.createDataFrame([(i, float(h)) for i, h in enumerate(taps)], "tap long, h double")
+    return spark.createDataFrame([(i, round(float(h), 9)) for i, h in enumerate(taps)], "tap long, h double")
 
 
 @query("fir_design_auto")

@@ -131,7 +131,7 @@ ORACLES["fir_overlap_add"] = ORACLES["fir_forward"]
 _taps = kernels.np.convolve(kernels.windowed_sinc(256, (49.0, 51.0), 51, stop=True), kernels.windowed_sinc(256, (99.0, 101.0), 51, stop=True))
 ORACLES["notch_fir"] = f"WITH {_S} SELECT signal_id, channel, seq, round({_fir(list(_taps), 50)}, 6) AS value FROM samples"
 ORACLES["fir_design"] = (
-    "WITH t AS (SELECT range AS tap, range - 49.5 AS n FROM range(100)) SELECT tap, (sin(2 * pi() * 30 / 256 * n) - sin(2 * pi() * 8 / 256 * n)) / (pi() * n) * (0.54 - 0.46 * cos(2 * pi() * tap / 99)) AS h FROM t"
+    "WITH t AS (SELECT range AS tap, range - 49.5 AS n FROM range(100)) SELECT tap, round((sin(2 * pi() * 30 / 256 * n) - sin(2 * pi() * 8 / 256 * n)) / (pi() * n) * (0.54 - 0.46 * cos(2 * pi() * tap / 99)), 9) AS h FROM t"
 )
 ORACLES["detrend_local"] = (
     f"WITH {_S}, c AS (SELECT signal_id, channel, count(*) AS n, least(count(*), 8) AS size, avg(value) AS mean FROM samples GROUP BY ALL), s AS (SELECT DISTINCT signal_id, channel, n, size, unnest(list_append(range(0, n - size + 1, 2), n - size)) AS start FROM c WHERE n >= 3), "

@@ -488,7 +488,7 @@ def wavelet_energy(spark: SparkSession, sf: str) -> DataFrame:
     """Haar, three levels; blocks of a power of two add up to the whole channel."""
     framed = signals.frames(signals.blocks(tables.samples(spark, sf), _BLOCK), (*signals.SIGNAL, "block"))
     each = signals.spread(signals.transform(framed, kernels.haar_energy), seq="item")
-    return each.groupBy(*signals.SIGNAL, "item").agg(F.round(F.sum("value"), 6).alias("value"))
+    return each.groupBy(*signals.SIGNAL, "item").agg(F.round(F.sum("value"), 9).alias("value"))
 
 
 @query("wavelet_energy_db4")

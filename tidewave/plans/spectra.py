@@ -44,7 +44,7 @@ for _k in (1, 2, 3):
     _levels.append(f"a{_k} AS (SELECT signal_id, channel, seq, (x + y) / sqrt(2) AS value FROM p{_k})")
 ORACLES["wavelet_energy"] = (
     f"WITH {_S}, {', '.join(_levels)}, d AS ({' UNION ALL '.join(f'SELECT signal_id, channel, {k - 1} AS item, sum((x - y) ** 2 / 2) AS value FROM p{k} GROUP BY ALL' for k in (1, 2, 3))}) "
-    "SELECT signal_id, channel, item, round(coalesce(value, 0), 6) AS value FROM (SELECT DISTINCT signal_id, channel, k AS item FROM samples, (SELECT unnest(range(3)) AS k)) LEFT JOIN d USING (signal_id, channel, item)"
+    "SELECT signal_id, channel, item, round(coalesce(value, 0), 9) AS value FROM (SELECT DISTINCT signal_id, channel, k AS item FROM samples, (SELECT unnest(range(3)) AS k)) LEFT JOIN d USING (signal_id, channel, item)"
 )
 _sine = [math.sin(math.pi * (j + 0.5) / 4) for j in range(4)]
 ORACLES["stft"] = (

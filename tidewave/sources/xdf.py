@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MAGIC = b"XDF:"
 FILE_HEADER, STREAM_HEADER, SAMPLES, CLOCK_OFFSET, BOUNDARY, STREAM_FOOTER = range(1, 7)
 DTYPES = {"float32": "<f4", "double64": "<f8", "int8": "<i1", "int16": "<i2", "int32": "<i4", "int64": "<i8"}
-BOUNDARY_MARK = bytes.fromhex("43a546dccbf5410fb30ed546738 3cbe4".replace(" ", ""))
+BOUNDARY_MARK = bytes.fromhex("43a546dccbf5410fb30ed5467383cbe4")
 
 #: Of what ``read`` gives; ``text`` is for streams of markers, ``value`` for the others.
 SCHEMA = "stream string, seq long, ts double, channel string, value double, text string"

@@ -339,7 +339,8 @@ def test_ngram_join_hot_tokens_and_orders(spark, monkeypatch):
     assert Counter(map(tuple, found)) == Counter((r[0], len(s), least[find(i)]) for i, (r, s) in enumerate(zip(rows, sets)))
     kept = ngram_join.keep_one(docs.withColumnRenamed("row", "class"))
     assert kept.columns == ["doc_id", "text", "class"] and {r[0] for r in kept.collect()} == set(least.values()) and kept.count() == len(least)
-    # every candidate of the first order, and what the others leave of them
+    # every candidate of the first order, and what the others leave of them; here it knows no frequent tokens
+    monkeypatch.setattr(ngram_join, "LOCAL_FREQUENT", 1000)
     members, owners = ngram_join._owners(docs.select("doc_id", "text"))
     shared = ngram_join._shared(docs.select("doc_id", "text"), 80).withColumn("root", F.col("class"))
     pairs = ngram_join._open(shared.select("token", "class", "n", "at", "root"), 80)

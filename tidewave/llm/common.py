@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewave.sources.tables import scratch
+
 #: ASCII white space: what separates words (space, tab, LF, VT, FF, CR).
 SPACE = r"[\x20\x09-\x0D]+"
 NGRAM = 5
@@ -26,27 +28,35 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests on one machine) is one made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-tidewave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    return scratch(spark, "any").rpartition("/")[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within the block, Python workers get batches of so many rows, so that texts take little memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*frames: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for ``frames``, once all that reads them has been written itself."""
+    """Delete what ``materialize`` wrote for ``frames``, once all that reads them has been written itself.
+
+    Spark's cleaner then also frees the shuffle files of plans that nothing refers to any more.
+    """
     for df in frames:
         spark = df.sparkSession
         own = shared_dir(spark).partition(":")[2].lstrip("/")
@@ -54,6 +64,8 @@ def discard(*frames: DataFrame) -> None:
             if own in folder:  # nothing but spent tables
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    frames[0].sparkSession._jvm.System.gc()
 
 
 def unused(name: str, columns: list[str]) -> str:

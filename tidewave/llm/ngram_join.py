@@ -16,10 +16,11 @@ m <= n with a Jaccard similarity of t must share a token in the first
    the common shingles are counted.
 
 Copies form one class. What is joined are classes, first with two classes of
-each prefix token (that with the fewest rare tokens, and the greatest), then, where a token still has classes
-that are not connected, with all of those: so the components come out whole
-while a large group of near copies never expands into all its pairs. A token
-of very many classes is dealt out in groups, each with two such classes.
+each prefix token (that with the fewest rare tokens, and the greatest), then,
+where a token still has classes that are not connected, with all of those: so
+the components come out whole while a large group of near copies never expands
+into all its pairs. A token of very many classes is dealt out in groups, each
+with two such classes.
 
 An empty table gives an empty result. Null texts and texts without words have
 an empty set and link with nothing. Texts of any length are taken whole. Rows
@@ -39,16 +40,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StructField, StructType
 
-from tidewave.llm.common import NGRAM, SIMILAR_PERCENT, Filter, components, discard, materialize, mix, runs, shingle_sets, unused
+from tidewave.llm.common import NGRAM, SIMILAR_PERCENT, Filter, arrow_rows, components, discard, materialize, mix, runs, shingle_sets, unused
 
 #: Further token orders, by the seed that permutes the hashes.
 ORDERS = (0x5BD1E995, 0xC2B2AE3D)
-#: A token is a candidate for the table of frequent ones from so many texts of a batch on.
-LOCAL_FREQUENT = 8
+#: A token is a candidate for the table of frequent ones from so many among the sets on, counted in runs of about so many tokens.
+LOCAL_FREQUENT, LOCAL_TOKENS = 2, 1 << 21
 #: Bound of that broadcast table (24 bytes each).
 MOST_FREQUENT = 1 << 19
 #: A token of more classes is dealt out in groups of about so many.
 GROUP_ROWS = 20_000
+#: So many classes a task remembers at most, to leave out copies early.
+SEEN_CLASSES = 1 << 17
+#: Texts of a batch in a Python worker.
+ARROW_ROWS = 2000
 #: Stands for a null id where wanted rows are looked up.
 NO_ID = -(1 << 63)
 
@@ -101,12 +106,22 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size = {}, 0
+
+        def count() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            keep = n >= LOCAL_FREQUENT
+            return pa.record_batch([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+
         for batch in batches:
-            sets = {_class_of(s): s for _, run in runs(batch["text"], lower=True) for s in shingle_sets(run) if len(s)}
-            if sets:
-                token, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                keep = n >= LOCAL_FREQUENT
-                yield pa.record_batch([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+            for _, run in runs(batch["text"], lower=True):
+                for s in shingle_sets(run):
+                    if len(s) and (c := _class_of(s)) not in sets:
+                        sets[c], size = s, size + len(s)
+                if size >= LOCAL_TOKENS:
+                    yield count()
+                    sets, size = {}, 0
+        yield count()
 
     counted = docs.select("text").mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "frequent")
@@ -140,7 +155,7 @@ def _first(s: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
-    """(token, part, parts, class, n, at, rare) for the prefix tokens of each set, once for each class of a batch.
+    """(token, part, parts, class, n, at, rare) for the prefix tokens of each set; copies that a task meets soon again are left out.
 
     ``at``: the token's place in the set's order; ``rare``: how many of the prefix are not frequent, so 0 for what others are edited copies of;
     ``part`` of ``parts``: the group of a token that many classes have.
@@ -149,21 +164,25 @@ def _postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, percent
     shared = docs.sparkSession.sparkContext.broadcast((frequent[by_value], by_value.astype(np.uint64), (counts[by_value] // GROUP_ROWS + 1).astype(np.int32)))
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranks, groups = shared.value
+        (known, ranks, groups), seen = shared.value, set()
         for batch in batches:
-            seen, tokens, sizes, rare = {}, [], [], []
+            if len(seen) > SEEN_CLASSES:
+                seen.clear()
             for _, run in runs(batch["text"], lower=True):
+                classes, tokens, sizes, rare = [], [], [], []
                 for s in shingle_sets(run):
                     if len(s) and (c := _class_of(s)) not in seen:
-                        seen[c] = len(s)
+                        seen.add(c)
                         key = _order(s, known, ranks)
+                        classes.append(c)
                         tokens.append(_first(s, key, prefix_length(len(s), percent)))
                         rare.append(min(len(tokens[-1]), int((key < np.uint64(1 << 63)).sum())))
                         sizes.append(len(s))
-            if tokens:
+                if not tokens:
+                    continue
                 n, token = np.array([len(t) for t in tokens]), np.concatenate(tokens)
                 at = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-                owner = np.repeat(np.fromiter(seen, np.int64, len(seen)), n)
+                owner = np.repeat(np.array(classes, np.int64), n)
                 parts = np.ones(len(token), np.int32)
                 if len(known):
                     where = np.minimum(np.searchsorted(known, token), len(known) - 1)
@@ -196,11 +215,17 @@ def _wanted(docs: DataFrame, pairs: DataFrame, owners: DataFrame, make, shape: s
     return docs.mapInArrow(run_all, shape)
 
 
-def _with(pairs: DataFrame, side: str, owners: DataFrame, found: DataFrame) -> DataFrame:
-    """``pairs`` with the columns of ``found`` for the owner of the class on one ``side``, named by it."""
-    own = owners.select(F.col("class").alias(side), F.col("owner").alias("__owner"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("class").alias("__class"), *[F.col(c).alias(f"{c}_{side}") for c in found.columns if c not in ("doc_id", "class")])
-    return pairs.join(own, side).join(found, (F.col(side) == F.col("__class")) & F.col("__owner").eqNullSafe(F.col("__id"))).drop("__owner", "__id", "__class")
+def _with_both(pairs: DataFrame, owners: DataFrame, found: DataFrame) -> DataFrame:
+    """``pairs`` with the columns of ``found`` for the owners of both classes, named by their side.
+
+    The owners come first, so that what is found for ``a`` travels once with the pair.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(owners.select(F.col("class").alias(side), F.col("owner").alias(f"__{side}")), side)
+    for side in ("a", "b"):
+        own = found.select(F.col("doc_id").alias("__id"), F.col("class").alias("__class"), *[F.col(c).alias(f"{c}_{side}") for c in found.columns if c not in ("doc_id", "class")])
+        pairs = pairs.join(own, (F.col(side) == F.col("__class")) & F.col(f"__{side}").eqNullSafe(F.col("__id"))).drop("__id", "__class")
+    return pairs
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -214,7 +239,7 @@ def _roomy(docs: DataFrame, pairs: DataFrame, owners: DataFrame, percent: int) -
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array([_outline(s) for s in sets], pa.binary())], ["doc_id", "class", "n", "outline"])
 
     outlines = _wanted(docs, pairs, owners, make, "doc_id long, class long, n int, outline binary")
-    both = _with(_with(pairs, "a", owners, outlines), "b", owners, outlines)
+    both = _with_both(pairs, owners, outlines)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +264,7 @@ def meeting(docs: DataFrame, pairs: DataFrame, owners: DataFrame, percent: int)
         return pa.record_batch(columns, ["doc_id", "class", "n", *[f"order{i}" for i in range(len(ORDERS))]])
 
     prefixes = _wanted(docs, pairs, owners, make, "doc_id long, class long, n int, " + ", ".join(f"order{i} array<smallint>" for i in range(len(ORDERS))))
-    both = _with(_with(pairs, "a", owners, prefixes), "b", owners, prefixes)
+    both = _with_both(pairs, owners, prefixes)
 
     def shares(order: str) -> Column:
         def part(side: str, other: str) -> Column:  # the smaller set's prefix is the shorter one
@@ -272,7 +297,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame, percent: int
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), _lists([s.view(np.int64) for s in sets], pa.int64())], ["doc_id", "class", "tokens"])
 
     sets = _wanted(docs, met, owners, make, "doc_id long, class long, tokens array<bigint>")
-    both = _with(_with(met, "a", owners, sets), "b", owners, sets)
+    both = _with_both(met, owners, sets)
     both = both.withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
     similar = 100 * F.col("common") >= percent * (F.size("tokens_a") + F.size("tokens_b") - F.col("common"))
     links = materialize(both.where(similar).select("a", "b").distinct(), "links")
@@ -330,7 +355,11 @@ def _open(labelled: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, and ``set_class``, equal for equal sets."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return _joined(docs.select(F.col("doc_id").cast("long"), "text"), percent)
+
+
+def _joined(docs: DataFrame, percent: int) -> DataFrame:
     members, owners = _owners(docs)
     shared = materialize(_shared(docs, percent), "shared")
     links = _verified(docs, _stars(shared, percent), owners, percent)

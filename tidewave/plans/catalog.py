@@ -375,7 +375,7 @@ def _blockwise(name: str, kernel: Callable[[np.ndarray], np.ndarray], overlap: i
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         framed = signals.frames(signals.blocks(tables.samples(spark, sf), _BLOCK, overlap), (*signals.SIGNAL, "block"))
-        return signals.core(signals.transform(framed, kernel), _BLOCK, overlap).withColumn("value", F.round("value", 6))
+        return signals.core(signals.transform(framed, kernel), _BLOCK, overlap).withColumn("value", F.round("value", 9))
 
 
 def _windowed(samples: DataFrame) -> DataFrame:
@@ -471,8 +471,15 @@ def _feature(name: str, kernel: Callable[[np.ndarray], np.ndarray], windowed: bo
 _BANDS = ((0.5, 4), (4, 8), (8, 13), (13, 30), (30, 100))
 
 
+def band_power(x: np.ndarray) -> np.ndarray:
+    """Power of one array in each band; NaN for a band without a bin."""
+    f, p = kernels.welch(x, 256.0)
+    inside = [(f >= a) & (f < b) for a, b in _BANDS]
+    return np.array([p[at].sum() if at.any() else np.nan for at in inside])
+
+
 @query("band_power")
-def band_power(spark: SparkSession, sf: str) -> DataFrame:
+def band_powers(spark: SparkSession, sf: str) -> DataFrame:
     p = signals.spectrum(tables.samples(spark, sf), 256.0)
     band = F.coalesce(*[F.when((F.col("freq") >= a) & (F.col("freq") < b), i) for i, (a, b) in enumerate(_BANDS)])
     return p.withColumn("item", band.cast("long")).where("item is not null").groupBy(*signals.SIGNAL, "item").agg(F.round(F.sum("power"), 6).alias("value"))
@@ -718,8 +725,19 @@ def segment_online(spark: SparkSession, sf: str) -> DataFrame:
 _STREAM = "e AS (SELECT user_id AS signal_id, event_id AS seq, ts, event_type AS channel, value FROM events)"
 
 
-@query("window_online", f"WITH {_STREAM} SELECT time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 2 DAY AS stop, signal_id, channel, count(*) AS n, round(avg(value), 6) AS feature_mean FROM e GROUP BY ALL")
+@query("window_online")
 def window_online(spark: SparkSession, sf: str) -> DataFrame:
+    return online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "2 days"), "windows", "complete")
+
+
+@query("session_online")
+def session_online(spark: SparkSession, sf: str) -> DataFrame:
+    return online.drained(online.sessions(online.stream(spark, f"{sf}/events.parquet*"), "6 hours"), "sessions", "complete")
+
+
+@query("window_spans_online", f"WITH {_STREAM} SELECT time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 2 DAY AS stop, signal_id, channel, count(*) AS n, round(avg(value), 6) AS feature_mean FROM e GROUP BY ALL")
+def window_spans_online(spark: SparkSession, sf: str) -> DataFrame:
+    """``window_online`` with start and end as columns."""
     out = online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "2 days"), "windows", "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("window.end").cast("timestamp_ntz").alias("stop"), "signal_id", "channel", "n", F.round("feature_mean", 6).alias("feature_mean"))
 
@@ -731,8 +749,9 @@ def window_step_online(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "signal_id", "channel", "n", F.round("feature_mean", 6).alias("feature_mean"))
 
 
-@query("session_online", f"WITH {_STREAM}, g AS (SELECT *, sum(new) OVER (PARTITION BY signal_id ORDER BY ts, seq) AS k FROM (SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY signal_id ORDER BY ts, seq) > INTERVAL 6 HOUR, true))::INT AS new FROM e)) SELECT signal_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM g GROUP BY signal_id, k")
-def session_online(spark: SparkSession, sf: str) -> DataFrame:
+@query("session_spans_online", f"WITH {_STREAM}, g AS (SELECT *, sum(new) OVER (PARTITION BY signal_id ORDER BY ts, seq) AS k FROM (SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY signal_id ORDER BY ts, seq) > INTERVAL 6 HOUR, true))::INT AS new FROM e)) SELECT signal_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM g GROUP BY signal_id, k")
+def session_spans_online(spark: SparkSession, sf: str) -> DataFrame:
+    """``session_online`` with start and end as columns."""
     out = online.drained(online.sessions(online.stream(spark, f"{sf}/events.parquet*"), "6 hours"), "sessions", "complete")
     return out.select("signal_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("stop"), "n")
 

@@ -124,9 +124,9 @@ def _fir(taps: list[float], centre: int, column: str = "value") -> str:
 
 
 _forward, _backward = list(catalog._BAND), list(catalog._BAND[::-1])
-ORACLES["fir_zero"] = f"WITH {_S}, o AS (SELECT signal_id, channel, seq, {_fir(_forward, 20)} AS value FROM samples) SELECT signal_id, channel, seq, round({_fir(_backward, 20)}, 6) AS value FROM o"
-ORACLES["detrend_highpass"] = f"WITH {_S} SELECT signal_id, channel, seq, round({_fir(list(catalog._HIGH), 50)}, 6) AS value FROM samples"
-ORACLES["detrend_sinc"] = f"WITH {_S} SELECT signal_id, channel, seq, round({_fir(list(catalog._SINC), 50)}, 6) AS value FROM samples"
+ORACLES["fir_zero"] = f"WITH {_S}, o AS (SELECT signal_id, channel, seq, {_fir(_forward, 20)} AS value FROM samples) SELECT signal_id, channel, seq, round({_fir(_backward, 20)}, 9) AS value FROM o"
+ORACLES["detrend_highpass"] = f"WITH {_S} SELECT signal_id, channel, seq, round({_fir(list(catalog._HIGH), 50)}, 9) AS value FROM samples"
+ORACLES["detrend_sinc"] = f"WITH {_S} SELECT signal_id, channel, seq, round({_fir(list(catalog._SINC), 50)}, 9) AS value FROM samples"
 ORACLES["fir_overlap_add"] = ORACLES["fir_forward"]
 _taps = kernels.np.convolve(kernels.windowed_sinc(256, (49.0, 51.0), 51, stop=True), kernels.windowed_sinc(256, (99.0, 101.0), 51, stop=True))
 ORACLES["notch_fir"] = f"WITH {_S} SELECT signal_id, channel, seq, round({_fir(list(_taps), 50)}, 6) AS value FROM samples"
@@ -137,7 +137,7 @@ ORACLES["detrend_local"] = (
     f"WITH {_S}, c AS (SELECT signal_id, channel, count(*) AS n, least(count(*), 8) AS size, avg(value) AS mean FROM samples GROUP BY ALL), s AS (SELECT DISTINCT signal_id, channel, n, size, unnest(list_append(range(0, n - size + 1, 2), n - size)) AS start FROM c WHERE n >= 3), "
     "l AS (SELECT s.signal_id, s.channel, start, any_value(size) AS size, regr_slope(value, seq - start) AS slope, regr_intercept(value, seq - start) AS base FROM s JOIN samples x ON x.signal_id = s.signal_id AND x.channel = s.channel AND seq >= start AND seq < start + size GROUP BY ALL), "
     "f AS (SELECT l.signal_id, l.channel, start + j AS seq, (1 - abs(2 * (j + 0.5) / size - 1) ** 3) ** 3 AS h, base + slope * j AS line FROM (SELECT *, unnest(range(size)) AS j FROM l) l), "
-    "m AS (SELECT signal_id, channel, seq, sum(h * line) / sum(h) AS line FROM f GROUP BY ALL) SELECT signal_id, channel, seq, round(value - CASE WHEN n < 3 THEN mean ELSE line END, 6) AS value FROM samples JOIN c USING (signal_id, channel) LEFT JOIN m USING (signal_id, channel, seq)"
+    "m AS (SELECT signal_id, channel, seq, sum(h * line) / sum(h) AS line FROM f GROUP BY ALL) SELECT signal_id, channel, seq, round(value - CASE WHEN n < 3 THEN mean ELSE line END, 9) AS value FROM samples JOIN c USING (signal_id, channel) LEFT JOIN m USING (signal_id, channel, seq)"
 )
 
 
@@ -154,7 +154,7 @@ def _lines(fitted: str) -> str:
 
 
 ORACLES["notch"] = f"WITH {_S}, {_lines('SELECT signal_id, channel, seq, value, value AS f FROM samples')}"
-ORACLES["line_noise"] = f"WITH {_S}, {_lines(f'SELECT signal_id, channel, seq, value, round({_fir(list(catalog._HIGH), 50)}, 6) AS f FROM samples')}"
+ORACLES["line_noise"] = f"WITH {_S}, {_lines(f'SELECT signal_id, channel, seq, value, round({_fir(list(catalog._HIGH), 50)}, 9) AS f FROM samples')}"
 ORACLES["resample"] = (
     f"WITH {_S}, c AS (SELECT signal_id, channel, count(*) AS n, round_even(count(*) * 1.5, 0)::BIGINT AS m FROM samples GROUP BY ALL), "
     "d AS MATERIALIZED (SELECT signal_id, channel, k, any_value(n) AS n, any_value(m) AS m, sum(value * cos(2 * pi() * k * seq / n)) AS re, -sum(value * sin(2 * pi() * k * seq / n)) AS im FROM samples JOIN c USING (signal_id, channel), (SELECT unnest(range(4096)) AS k) WHERE k <= n // 2 GROUP BY ALL), "

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import decontamination, embedding_dedup, langid, lm_score, mixing, ngram_join, periodic_runs, pii, quality, secrets, substring_dedup
+from tidewave.llm import decontamination, embedding_dedup, langid, lm_score, mixing, ngram_join, periodic_runs, pii, quality, secrets, substring_dedup, toxicity
 from tidewave.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.detect(table(spark, sf_dir, "documents"), modified=True)
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", substring_dedup.digest(found["text"]).alias("collapsed_sha256"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_langid": op10_langid,
+    "op12_toxicity": op12_toxicity,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewave.llm import decontamination, embedding_dedup, langid, lm_score, mixing, ngram_join, periodic_runs, pii, quality, secrets, substring_dedup, toxicity
+from tidewave.llm import collocations, decontamination, embedding_dedup, langid, lm_score, mixing, ngram_join, periodic_runs, pii, quality, secrets, substring_dedup, toxicity
 from tidewave.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_langid": op10_langid,
+    "op11_collocations": op11_collocations,
     "op12_toxicity": op12_toxicity,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -80,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op3_lm_score": lm_score.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_mixing": mixing.oracle(),
+    "op11_collocations": collocations.ORACLE,
 }

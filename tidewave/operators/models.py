@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import kernels
+from tidewave.operators import filterbank
 
 
 def concat_classes(*parts: DataFrame) -> DataFrame:
@@ -191,8 +192,12 @@ class FBCSP:
     @classmethod
     def fit(cls, trials: DataFrame, m: int = 2, n_features: int = 4) -> FBCSP:
         """``trials``: (trial_id, class, band, seq, x: array over channels); exactly two classes."""
-        cov = mean_covariances(trials)
-        rows = cov.collect()  # channels squared for each class and band
+        return cls.fit_covariances(filterbank.raw_covariances(trials), m, n_features)
+
+    @classmethod
+    def fit_covariances(cls, cov: DataFrame, m: int = 2, n_features: int = 4) -> FBCSP:
+        """``cov``: (trial_id, class, band, cov), read twice; exactly two classes."""
+        rows = averaged(cov).collect()  # channels squared for each class and band
         classes = sorted({r["class"] for r in rows})
         if len(classes) != 2:
             raise ValueError("two classes are needed")
@@ -200,8 +205,8 @@ class FBCSP:
         filters = {b: kernels.csp(by[classes[0], b], by[classes[1], b]) for b in sorted({b for _, b in by})}
         model = cls(classes, filters, [], m)
         # the windows compare every two trials: features are selected on a bounded sample of trials
-        some = trials.select("trial_id").distinct().orderBy(F.xxhash64("trial_id"), "trial_id").limit(MOST_TRIALS)
-        found = model._all_features(trials.join(some, "trial_id", "left_semi")).toPandas()
+        some = cov.select("trial_id").distinct().orderBy(F.xxhash64("trial_id"), "trial_id").limit(MOST_TRIALS)
+        found = model._all_features(cov.join(some, "trial_id", "left_semi")).toPandas()
         label = (found["class"] == classes[0]).to_numpy()
         table = np.stack(found["f"].tolist())
         score = [_mutual_information(table[:, j], label) for j in range(table.shape[1])]
@@ -211,26 +216,31 @@ class FBCSP:
         model.selected = [(bands[j // own], j % own) for j in sorted(both)]
         return model
 
-    def _all_features(self, trials: DataFrame) -> DataFrame:
-        """(trial_id, class, f): log variance shares of the first and last ``m`` components of all bands."""
-        filters, m = self.filters, self.m
+    def _all_features(self, cov: DataFrame) -> DataFrame:
+        """(trial_id, class, f): log variance shares of the first and last ``m`` components of all bands; trials that lack a band go."""
+        filters, m, bands = self.filters, self.m, sorted(self.filters)
+
+        @F.pandas_udf("array<double>")
+        def shares(band: pd.Series, cov: pd.Series) -> pd.Series:
+            def one(b, c):  # noqa: ANN001, ANN202
+                w = filters[b][np.r_[0:m, len(filters[b]) - m : len(filters[b])]]
+                var = np.einsum("ij,jk,ik->i", w, np.reshape(c, (w.shape[1], -1)), w)
+                return np.log(var / var.sum()).tolist()
 
-        def one(t: pd.DataFrame) -> pd.DataFrame:
-            parts = []
-            for b in sorted(filters):
-                x = np.stack(t.loc[t["band"] == b].sort_values("seq")["x"].tolist())
-                k = np.r_[0:m, len(filters[b]) - m : len(filters[b])]
-                var = (filters[b][k] @ x.T).var(1)
-                parts.append(np.log(var / var.sum()))
-            return pd.DataFrame({"trial_id": [t["trial_id"].iloc[0]], "class": [t["class"].iloc[0]], "f": [np.concatenate(parts).tolist()]})
+            return pd.Series([one(b, c) for b, c in zip(band, cov)], dtype=object)
 
-        return trials.groupBy("trial_id").applyInPandas(one, "trial_id long, class string, f array<double>")
+        each = cov.where(F.col("band").isin(bands)).select("trial_id", "class", "band", shares("band", "cov").alias("f"))
+        whole = each.groupBy("trial_id", "class").agg(F.array_sort(F.collect_list(F.struct("band", "f"))).alias("bands"))
+        return whole.where(F.size("bands") == len(bands)).select("trial_id", "class", F.flatten(F.transform("bands", lambda r: r["f"])).alias("f"))
 
     def transform(self, trials: DataFrame) -> DataFrame:
         """(row_id, class, x) with the selected features, named ``fcsp_band{b}_f{j}``."""
+        return self.transform_covariances(filterbank.raw_covariances(trials))
+
+    def transform_covariances(self, cov: DataFrame) -> DataFrame:
         bands = sorted(self.filters)
         at = [bands.index(b) * 2 * self.m + j for b, j in self.selected]
-        return self._all_features(trials).select(F.col("trial_id").alias("row_id"), "class", F.array(*[F.col("f")[j] for j in at]).alias("x"))
+        return self._all_features(cov).select(F.col("trial_id").alias("row_id"), "class", F.array(*[F.col("f")[j] for j in at]).alias("x"))
 
     def to_json(self) -> str:
         return json.dumps({"classes": self.classes, "m": self.m, "filters": {str(b): w.tolist() for b, w in self.filters.items()}, "selected": self.selected})
@@ -251,8 +261,12 @@ def covariances(trials: DataFrame) -> DataFrame:
 
 
 def mean_covariances(trials: DataFrame) -> DataFrame:
+    return averaged(covariances(trials))
+
+
+def averaged(cov: DataFrame) -> DataFrame:
     """(class, band, cov): mean over trials, elementwise by aggregation."""
-    cells = covariances(trials).select("class", "band", F.posexplode("cov").alias("i", "v"))
+    cells = cov.select("class", "band", F.posexplode("cov").alias("i", "v"))
     means = cells.groupBy("class", "band", "i").agg(F.avg("v").alias("v"))
     return means.groupBy("class", "band").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).select("class", "band", F.transform("c", lambda r: r["v"]).alias("cov"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import kernels, statistics
-from tidewave.operators import models, signals
+from tidewave.operators import filterbank, models, signals
 from tidewave.plans.registry import ORACLES, QUERIES, query
 from tidewave.sources import generators, tables, xdf
 from tidewave.streaming import online
@@ -613,7 +613,7 @@ def topk_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trials(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items of two flags as trials of four channels, two bands of trailing means; a trial for each supplier and flag."""
+    """Line items of two flags as trials of four channels, two bands of trailing means; a trial for each supplier and flag of more than 8 rows."""
     w = tables.wide(spark, sf).where("class in ('A', 'R')")
     over = Window.partitionBy("signal_id", "class").orderBy("seq")
     base = w.select((F.col("signal_id") * 2 + (F.col("class") == "R").cast("long")).alias("trial_id"), "class", "seq", *[(F.col(c) * s).alias(c) for c, s in zip(tables.CHANNELS, (1.0, 1e-3, 100.0, 100.0))], *[F.avg(c).over(over.rowsBetween(-3, 0)).alias(f"m_{c}") for c in tables.CHANNELS])
@@ -636,14 +636,14 @@ def csp_cov(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fbcsp_extract")
 def fbcsp_extract(spark: SparkSession, sf: str) -> DataFrame:
-    t = _trials(spark, sf)
-    return models.FBCSP.fit(t).transform(t)
+    cov = tables.stored(filterbank.raw_covariances(_trials(spark, sf)), "covariances")
+    return models.FBCSP.fit_covariances(cov).transform_covariances(cov)
 
 
 @query("fbcsp_json")
 def fbcsp_json(spark: SparkSession, sf: str) -> DataFrame:
-    t = _trials(spark, sf)
-    return models.FBCSP.from_json(models.FBCSP.fit(t).to_json()).transform(t)
+    cov = tables.stored(filterbank.raw_covariances(_trials(spark, sf)), "covariances")
+    return models.FBCSP.from_json(models.FBCSP.fit_covariances(cov).to_json()).transform_covariances(cov)
 
 
 def _classified(name: str, kind: str, rbf: bool = False) -> None:
@@ -784,4 +784,4 @@ def segment_at(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-from tidewave.plans import prediction, recordings, spectra  # noqa: E402, F401  (they add their queries and SQL)
+from tidewave.plans import banks, prediction, recordings, spectra  # noqa: E402, F401  (they add their queries and SQL)

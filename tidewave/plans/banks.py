@@ -33,11 +33,11 @@ banked AS (SELECT trial_id, t.class, band, t.seq, {", ".join(f"sum(h * s.x{i}) A
 _cells = " UNION ALL ".join(f"SELECT trial_id, class, band, {4 * a + b} AS cell, covar_samp(x{a}, x{b}) AS v FROM banked GROUP BY ALL" for a in range(4) for b in range(4))
 
 
-@query("filter_bank", f"{_BANKED} SELECT trial_id, class, band, seq, {', '.join(f'round(x{i}, 4) AS x{i}' for i in range(4))} FROM banked")
+@query("filter_bank", f"{_BANKED} SELECT trial_id, class, band, seq, {', '.join(f'round(x{i}, 4) + 0.0::DOUBLE AS x{i}' for i in range(4))} FROM banked")
 def filter_bank(spark: SparkSession, sf: str) -> DataFrame:
     """All trials through nine bands from 4 to 40 Hz."""
     out = filterbank.filtered(trials(spark, sf), BANK)
-    return out.select("trial_id", "class", "band", "seq", *[F.round(F.col("x")[i], 4).alias(f"x{i}") for i in range(4)])
+    return out.select("trial_id", "class", "band", "seq", *[(F.round(F.col("x")[i], 4) + 0.0).alias(f"x{i}") for i in range(4)])
 
 
 @query("fbcsp_bank_cov", f"{_BANKED}, c AS ({_cells}) SELECT class, band, cell, round(avg(v), 6) AS cov FROM c GROUP BY ALL")

@@ -30,6 +30,14 @@ def scan_xdf(spark: SparkSession, sf: str) -> DataFrame:
     return xdf.read(spark, path).drop("text")
 
 
+@query("scan_xdf_parts", f"SELECT CAST(user_id AS VARCHAR) AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, {_SECONDS} AS ts, event_type AS channel, value FROM events")
+def scan_xdf_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``scan_xdf``, with recordings that go on in further files after 64 samples, and files read in ranges of 1 KB."""
+    path = tables.scratch(spark, "xdf")
+    xdf.write(_streams(spark, sf), path, 0.0, file_rows=64).write.format("noop").mode("overwrite").save()
+    return xdf.read(spark, path, part_bytes=1024).drop("text")
+
+
 @query("sink_xdf", "SELECT CAST(user_id AS VARCHAR) AS stream, count(*) AS samples FROM events GROUP BY user_id")
 def sink_xdf(spark: SparkSession, sf: str) -> DataFrame:
     """The files written, with what a reader finds in each."""

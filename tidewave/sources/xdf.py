@@ -1,4 +1,7 @@
-"""XDF files: chunked streams of samples, one file per stream, written to and read from the shared folder.
+"""XDF files: chunked streams of samples, written to and read from a store that all executors reach.
+
+Files are read by a Python data source in ranges of bytes, so a recording may be
+larger than a task.
 
 A chunk is a length of variable width, a tag and its content. Tags: 1 file
 header, 2 stream header, 3 samples, 4 clock offset, 5 boundary, 6 stream footer.
@@ -12,11 +15,16 @@ import struct
 import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from tidewave.sources.tables import stored
 
 # Fixed values of the format.
 MAGIC = b"XDF:"
@@ -24,10 +32,14 @@ FILE_HEADER, STREAM_HEADER, SAMPLES, CLOCK_OFFSET, BOUNDARY, STREAM_FOOTER = ran
 DTYPES = {"float32": "<f4", "double64": "<f8", "int8": "<i1", "int16": "<i2", "int32": "<i4", "int64": "<i8"}
 BOUNDARY_MARK = bytes.fromhex("43a546dccbf5410fb30ed5467383cbe4")
 
-#: Of what ``read`` gives; ``text`` is for streams of markers, ``value`` for the others.
-SCHEMA = "stream string, seq long, ts double, channel string, value double, text string"
 #: Samples in a chunk, between two boundaries.
 CHUNK_ROWS = 4096
+#: Of what ``read`` gives; ``text`` is for streams of markers, ``value`` for the others.
+SCHEMA = "stream string, seq long, ts double, channel string, value double, text string"
+#: Samples of a file, bytes of a range that one task reads, bytes in which a boundary mark is searched at once.
+FILE_ROWS, PART_BYTES, SEARCH_BYTES = 1 << 20, 64 << 20, 1 << 20
+#: Ranges and streams up to whose number their places are broadcast.
+MOST_PLACES = 100_000
 
 
 def _sized(n: int) -> bytes:
@@ -41,11 +53,14 @@ def _chunk(tag: int, content: bytes) -> bytes:
     return _sized(len(content) + 2) + struct.pack("<H", tag) + content
 
 
-def _header(name: str, kind: str, rate: float, labels: list[str], fmt: str, unit: str) -> bytes:
+def _header(name: str, kind: str, rate: float, labels: list[str], fmt: str, unit: str, first: int = 0) -> bytes:
     info = ET.Element("info")
     for k, v in (("name", name), ("type", kind), ("channel_count", len(labels)), ("nominal_srate", rate), ("channel_format", fmt)):
         ET.SubElement(info, k).text = str(v)
-    channels = ET.SubElement(ET.SubElement(info, "desc"), "channels")
+    desc = ET.SubElement(info, "desc")
+    if first:
+        ET.SubElement(desc, "first_sample").text = str(first)
+    channels = ET.SubElement(desc, "channels")
     for label in labels:
         channel = ET.SubElement(channels, "channel")
         for k, v in (("label", label), ("unit", unit), ("type", kind)):
@@ -53,15 +68,18 @@ def _header(name: str, kind: str, rate: float, labels: list[str], fmt: str, unit
     return ET.tostring(info)
 
 
-def encode(name: str, kind: str, rate: float, labels: list[str], ts: np.ndarray, x: np.ndarray, fmt: str = "double64", offsets: list[tuple[float, float]] = (), unit: str = "") -> bytes:
-    """One stream (samples by channels; text where ``fmt`` is string) as a file, with its clock offsets (time, offset)."""
+def encode(name: str, kind: str, rate: float, labels: list[str], ts: np.ndarray, x: np.ndarray, fmt: str = "double64", offsets: list[tuple[float, float]] = (), unit: str = "", first: int = 0) -> bytes:
+    """One stream (samples by channels; text where ``fmt`` is string) as a file, with its clock offsets (time, offset).
+
+    ``first`` is the number of its first sample if the recording began in another file.
+    """
     if fmt == "string" and rate:
         raise ValueError("a stream of markers has no regular rate")
     footer = ET.Element("info")
     for k, v in (("first_timestamp", ts[0] if len(ts) else 0), ("last_timestamp", ts[-1] if len(ts) else 0), ("sample_count", len(ts))):
         ET.SubElement(footer, k).text = repr(float(v)) if k != "sample_count" else str(v)
     one = struct.pack("<I", 1)
-    out = [MAGIC, _chunk(FILE_HEADER, b"<?xml version='1.0'?><info><version>1.0</version></info>"), _chunk(STREAM_HEADER, one + _header(name, kind, rate, labels, fmt, unit))]
+    out = [MAGIC, _chunk(FILE_HEADER, b"<?xml version='1.0'?><info><version>1.0</version></info>"), _chunk(STREAM_HEADER, one + _header(name, kind, rate, labels, fmt, unit, first))]
     for at in range(0, max(1, len(ts)), CHUNK_ROWS):
         t, part = ts[at : at + CHUNK_ROWS], x[at : at + CHUNK_ROWS]
         if fmt == "string":
@@ -81,18 +99,8 @@ def _length(data: bytes, at: int) -> tuple[int, int]:
     return int.from_bytes(data[at + 1 : at + 1 + width], "little"), at + 1 + width
 
 
-def _chunks(data: bytes) -> Iterator[tuple[int, bytes]]:
-    if data[:4] != MAGIC:
-        raise ValueError("not an XDF file")
-    at = 4
-    while at < len(data):
-        size, at = _length(data, at)
-        yield struct.unpack_from("<H", data, at)[0], data[at + 2 : at + size]
-        at += size
-
-
-def _samples(body: bytes, labels: list[str], fmt: str, rate: float, before: float) -> tuple[np.ndarray, np.ndarray]:
-    """Time stamps and values of a chunk; a stamp that lacks follows from the rate."""
+def _samples(body: bytes, labels: list[str], fmt: str) -> tuple[np.ndarray, np.ndarray]:
+    """Time stamps (NaN where they lack) and values of a chunk."""
     n, p = _length(body, 4)
     if fmt != "string":
         row = np.dtype([("has", "u1"), ("ts", "<f8"), ("x", DTYPES[fmt], (len(labels),))])
@@ -103,7 +111,7 @@ def _samples(body: bytes, labels: list[str], fmt: str, rate: float, before: floa
     ts, x = np.zeros(n), []
     for i in range(n):
         has, p = body[p], p + 1
-        ts[i] = before = struct.unpack_from("<d", body, p)[0] if has else before + (1 / rate if rate else 0)
+        ts[i] = struct.unpack_from("<d", body, p)[0] if has else np.nan
         p += has
         if fmt == "string":
             row = []
@@ -119,86 +127,304 @@ def _samples(body: bytes, labels: list[str], fmt: str, rate: float, before: floa
     return ts, np.array(x, object if fmt == "string" else float).reshape(n, len(labels))
 
 
+@dataclass(frozen=True)
+class Head:
+    """What a stream header tells."""
+
+    name: str
+    labels: list[str]
+    fmt: str
+    rate: float
+    first: int
+
+    @classmethod
+    def of(cls, body: bytes) -> Head:
+        info = ET.fromstring(body[4:].decode())
+        labels = [c.text or "" for c in info.iterfind("desc/channels/channel/label")] or [f"channel_{i}" for i in range(int(info.findtext("channel_count")))]
+        return cls(info.findtext("name"), labels, info.findtext("channel_format"), float(info.findtext("nominal_srate")), int(info.findtext("desc/first_sample") or 0))
+
+
+class Recording:
+    """A file in a store that ``pyarrow`` reaches, walked through from chunk to chunk without reading what isn't asked for."""
+
+    def __init__(self, file):  # noqa: ANN001
+        self.file, self.size = file, file.size()
+
+    def at(self, where: int, n: int) -> bytes:
+        self.file.seek(where)
+        return self.file.read(n)
+
+    def after_mark(self, where: int) -> tuple[int, int]:
+        """(start, end) of the first boundary mark that starts at ``where`` or later; the end of the file if there is none."""
+        while where < self.size:
+            data = self.at(where, SEARCH_BYTES)
+            if (found := data.find(BOUNDARY_MARK)) >= 0:
+                return where + found, where + found + len(BOUNDARY_MARK)
+            where += max(1, len(data) - len(BOUNDARY_MARK) + 1)
+        return self.size, self.size
+
+    def chunks(self, where: int) -> Iterator[tuple[int, int, int]]:
+        """(tag, start, end) of the content of each chunk from ``where``, the start of one, on."""
+        while where < self.size:
+            head = self.at(where, 11)
+            size, begin = _length(head, 0)
+            tag = struct.unpack_from("<H", head, begin)[0]
+            yield tag, where + begin + 2, where + begin + size
+            where += begin + size
+
+    def heads(self, wanted: bytes | None = None) -> dict[bytes, Head]:
+        """Headers before the first samples; with ``wanted`` on to the header of that stream."""
+        if self.at(0, 4) != MAGIC:
+            raise ValueError("not an XDF file")
+        out = {}
+        for tag, a, b in self.chunks(4):
+            if tag == STREAM_HEADER:
+                body = self.at(a, b - a)
+                out[body[:4]] = Head.of(body)
+            if wanted in out or (wanted is None and tag == SAMPLES):
+                break
+        return out
+
+    def footers(self, heads: dict[bytes, Head]) -> list[tuple[str, float, float, int]]:
+        """From what follows the last boundary mark, which is searched from the end."""
+        back = SEARCH_BYTES
+        while True:
+            begin = max(0, self.size - back)
+            found = self.at(begin, self.size - begin).rfind(BOUNDARY_MARK)
+            if found >= 0 or not begin:
+                break
+            back *= 2
+        out = []
+        for tag, a, b in self.chunks(begin + found + len(BOUNDARY_MARK) if found >= 0 else 4):
+            if tag == STREAM_FOOTER:
+                body = self.at(a, b - a)
+                if body[:4] not in heads:
+                    heads |= self.heads(body[:4])
+                info = ET.fromstring(body[4:].decode())
+                out.append((heads[body[:4]].name, float(info.findtext("first_timestamp")), float(info.findtext("last_timestamp")), int(info.findtext("sample_count"))))
+        return out
+
+
 def decode(data: bytes, lower: bool = False) -> Iterator[pd.DataFrame]:
-    """The samples of each stream of a file, chunk by chunk; ``lower``: labels in lower case."""
-    heads, last, clocks = {}, {}, {}
-    for tag, body in _chunks(data):
+    """The samples of each stream of a file at hand, chunk by chunk; ``lower``: labels in lower case."""
+    recording = Recording(pa.BufferReader(data))
+    heads, last, clocks = recording.heads(), {}, {}
+    chunks = [(tag, data[a:b]) for tag, a, b in recording.chunks(4)]
+    for tag, body in chunks:
         if tag == CLOCK_OFFSET:
-            clocks.setdefault(body[:4], []).append(struct.unpack_from("<dd", body, 4))
-    for tag, body in _chunks(data):
+            clocks.setdefault(body[:4], []).append(dict(zip(("when", "by"), struct.unpack_from("<dd", body, 4))))
+    for tag, body in chunks:
         if tag == STREAM_HEADER:
-            info = ET.fromstring(body[4:].decode())
-            labels = [c.text or "" for c in info.iterfind("desc/channels/channel/label")] or [f"channel_{i}" for i in range(int(info.findtext("channel_count")))]
-            heads[body[:4]] = (info.findtext("name"), [x.lower() for x in labels] if lower else labels, info.findtext("channel_format"), float(info.findtext("nominal_srate")))
-            last[body[:4]] = (0, 0.0)
+            heads[body[:4]] = Head.of(body)
         elif tag == SAMPLES:
-            name, labels, fmt, rate = heads[body[:4]]
-            seq, before = last[body[:4]]
-            ts, x = _samples(body, labels, fmt, rate, before)
-            last[body[:4]] = (seq + len(ts), ts[-1] if len(ts) else before)
-            if offsets := clocks.get(body[:4]):
-                when, by = np.array(sorted(offsets)).T
-                ts = ts + np.interp(ts, when, by)
-            rows = np.arange(seq, seq + len(ts))
-            text = x.ravel() if fmt == "string" else None
-            yield pd.DataFrame({"stream": name, "seq": np.repeat(rows, len(labels)), "ts": np.repeat(ts, len(labels)), "channel": np.tile(labels, len(ts)), "value": np.nan if fmt == "string" else x.ravel(), "text": text}).astype({"text": object})
+            head = heads[body[:4]]
+            labels = [x.lower() for x in head.labels] if lower else head.labels
+            seq, stamp, stamp_at = last.get(body[:4], (0, 0.0, -1))
+            ts, x = _samples(body, labels, head.fmt)
+            ts = _stamps(ts, seq, head.rate, stamp, stamp_at)
+            last[body[:4]] = (seq + len(ts), ts[-1], seq + len(ts) - 1) if len(ts) else (seq, stamp, stamp_at)
+            ts = _corrected(ts, clocks.get(body[:4]))
+            rows = head.first + np.arange(seq, seq + len(ts))
+            text = x.ravel() if head.fmt == "string" else None
+            yield pd.DataFrame({"stream": head.name, "seq": np.repeat(rows, len(labels)), "ts": np.repeat(ts, len(labels)), "channel": np.tile(labels, len(ts)), "value": np.nan if head.fmt == "string" else x.ravel(), "text": text}).astype({"text": object})
 
 
-def _contents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+def _stamps(ts: np.ndarray, start: int, rate: float, stamp: float, stamp_at: int) -> np.ndarray:
+    """Time stamps of samples from ``start`` on; one that lacks follows from the rate and the last before, at first ``stamp`` of sample ``stamp_at``."""
+    known = ~np.isnan(ts)
+    if known.all():
+        return ts
+    last = np.maximum.accumulate(np.where(known, np.arange(len(ts)), -1))
+    gone = np.where(last >= 0, np.arange(len(ts)) - last, start + np.arange(len(ts)) - stamp_at)
+    return np.where(last >= 0, ts[last], stamp) + gone * (1 / rate if rate else 0)
 
 
-def read(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
-    """Samples of all streams of all files, cells without a value left out; a task reads whole files."""
+def _corrected(ts: np.ndarray, clocks: list[dict] | None) -> np.ndarray:
+    """Time stamps with what lies between the clock offsets added."""
+    if clocks is None or not len(clocks):
+        return ts
+    when, by = np.array(sorted((c["when"], c["by"]) for c in clocks)).T
+    return ts + np.interp(ts, when, by)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                yield from decode(content, lower)
 
-    found = _contents(spark, path).mapInPandas(run, SCHEMA)
-    return found.withColumn("value", F.when(~F.isnan("value"), F.col("value"))).where("value is not null or text is not null")
+_CLOCKS = pa.list_(pa.struct([("when", pa.float64()), ("by", pa.float64())]))
 
 
-def footers(spark: SparkSession, path: str) -> DataFrame:
-    """(stream, first_timestamp, last_timestamp, sample_count) from the footer of each stream."""
+class Reader(DataSourceReader):
+    """Reads files in ranges of ``part_bytes``; a range goes from its first boundary mark to the first one beyond it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                names, rows = {}, []
-                for tag, body in _chunks(content):
-                    if tag == STREAM_HEADER:
-                        names[body[:4]] = ET.fromstring(body[4:].decode()).findtext("name")
-                    elif tag == STREAM_FOOTER:
-                        info = ET.fromstring(body[4:].decode())
-                        rows.append((names[body[:4]], float(info.findtext("first_timestamp")), float(info.findtext("last_timestamp")), int(info.findtext("sample_count"))))
-                yield pd.DataFrame(rows, columns=["stream", "first_timestamp", "last_timestamp", "sample_count"])
+    def __init__(self, options: dict[str, str]):
+        self.path, self.what, self.part_bytes = options["path"], options.get("what", "chunks"), int(options.get("part_bytes", PART_BYTES))
 
-    return _contents(spark, path).mapInPandas(run, "stream string, first_timestamp double, last_timestamp double, sample_count long")
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(self.path)
+        found = [f for f in store.get_file_info(fs.FileSelector(top, recursive=True)) if f.is_file and f.extension == "xdf"] if store.get_file_info(top).type == fs.FileType.Directory else [store.get_file_info(top)]
+        parts = [(f.path, i) for f in sorted(found, key=lambda f: f.path) for i in range(1 if self.what == "footers" else -(-f.size // self.part_bytes))]
+        return [InputPartition(p) for p in parts]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        if partition is None or partition.value is None:
+            return
+        path, part = partition.value
+        with fs.FileSystem.from_uri(self.path)[0].open_input_file(path) as file:
+            recording = Recording(file)
+            heads = recording.heads()
+            if self.what == "footers":
+                rows = recording.footers(heads)
+                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))], ["stream", "first_timestamp", "last_timestamp", "sample_count"])
+                return
+            begin, stop = part * self.part_bytes, (part + 1) * self.part_bytes
+            mark, start = recording.after_mark(begin) if part else (0, 4)
+            if mark >= stop:
+                return
+            yield from (self._index if self.what == "index" else self._chunks)(recording, heads, path, part, start, stop)
+
+    def _walk(self, recording: Recording, heads: dict[bytes, Head], start: int, stop: int) -> Iterator[tuple[int, bytes, bytes, Head | None]]:
+        """(tag, content, stream, its head) of the samples and clock offsets of a range."""
+        for tag, a, b in recording.chunks(start):
+            if tag in (SAMPLES, CLOCK_OFFSET):
+                body = recording.at(a, b - a)
+                if body[:4] not in heads:
+                    heads |= recording.heads(body[:4])
+                yield tag, body, body[:4], heads[body[:4]]
+            elif tag == BOUNDARY and b - len(BOUNDARY_MARK) >= stop:
+                return
+
+    def _index(self, recording: Recording, heads: dict[bytes, Head], path: str, part: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+        """Of each stream in a range: how many samples, the last time stamp written and its sample, the span, the clock offsets."""
+        found: dict[bytes, dict] = {}
+        for tag, body, stream, head in self._walk(recording, heads, start, stop):
+            own = found.setdefault(stream, {"n": 0, "stamp": None, "stamp_at": None, "low": None, "clocks": [], "head": head})
+            if tag == CLOCK_OFFSET:
+                own["clocks"].append(dict(zip(("when", "by"), struct.unpack_from("<dd", body, 4))))
+                continue
+            ts, _ = _samples(body, head.labels, head.fmt)
+            at = np.flatnonzero(~np.isnan(ts))
+            if len(at):
+                own["stamp"], own["stamp_at"] = float(ts[at[-1]]), own["n"] + int(at[-1])
+                own["low"] = float(ts[at].min()) if own["low"] is None else min(own["low"], float(ts[at].min()))
+            own["n"] += len(ts)
+        rows = [(path, part, v["head"].name, v["head"].rate, v["head"].first, v["n"], v["stamp"], v["stamp_at"], v["low"], v["clocks"]) for v in found.values()]
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), _CLOCKS)
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["file", "part", "stream", "rate", "first", "n", "stamp", "stamp_at", "low", "clocks"])
+
+    def _chunks(self, recording: Recording, heads: dict[bytes, Head], path: str, part: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk of samples; time stamps lack only before the first one of the range."""
+        seen: dict[bytes, tuple[int, float | None, int]] = {}
+        for tag, body, stream, head in self._walk(recording, heads, start, stop):
+            if tag != SAMPLES:
+                continue
+            ts, x = _samples(body, head.labels, head.fmt)
+            at, stamp, stamp_at = seen.get(stream, (0, None, 0))
+            if stamp is not None:
+                ts = _stamps(ts, at, head.rate, stamp, stamp_at)
+            if len(ts) and not np.isnan(ts).all():
+                stamp_at = int(np.flatnonzero(~np.isnan(ts))[-1])
+                stamp, stamp_at = float(ts[stamp_at]), at + stamp_at
+            seen[stream] = (at + len(ts), stamp, stamp_at)
+            text = head.fmt == "string"
+            columns = [pa.array([v], t) for v, t in ((path, pa.string()), (part, pa.int32()), (head.name, pa.string()), (head.labels, pa.list_(pa.string())), (at, pa.int64()), (ts, pa.list_(pa.float64())), (None if text else x.ravel(), pa.list_(pa.float64())), (x.ravel().tolist() if text else None, pa.list_(pa.string())))]
+            yield pa.record_batch(columns, ["file", "part", "stream", "labels", "at", "stamps", "numbers", "texts"])
+
+
+class XdfSource(DataSource):
+    """``spark.read.format("xdf")``: chunks of samples, or with option ``what`` an ``index`` of ranges or the ``footers``."""
+
+    SCHEMAS = {
+        "chunks": "file string, part int, stream string, labels array<string>, at long, stamps array<double>, numbers array<double>, texts array<string>",
+        "index": "file string, part int, stream string, rate double, first long, n long, stamp double, stamp_at long, low double, clocks array<struct<when: double, by: double>>",
+        "footers": "stream string, first_timestamp double, last_timestamp double, sample_count long",
+    }
+
+    @classmethod
+    def name(cls) -> str:
+        return "xdf"
+
+    def schema(self) -> str:
+        return self.SCHEMAS[self.options.get("what", "chunks")]
+
+    def reader(self, schema) -> Reader:  # noqa: ANN001
+        return Reader(dict(self.options))
+
+
+def _source(spark: SparkSession, path: str, what: str, part_bytes: int = 0) -> DataFrame:
+    spark.dataSource.register(XdfSource)
+    return spark.read.format("xdf").option("what", what).option("part_bytes", part_bytes or PART_BYTES).load(path)
+
+
+def _stamped(stamps: pd.Series, start: pd.Series, rate: pd.Series, stamp: pd.Series, stamp_at: pd.Series, clocks: pd.Series) -> pd.Series:
+    """Time stamps of chunks, filled up and corrected."""
+    rows = zip(stamps, start, rate, stamp, stamp_at, clocks)
+    return pd.Series([_corrected(_stamps(np.array(ts, float), s, r, t, a), c) for ts, s, r, t, a, c in rows], dtype=object)
+
+
+def read(spark: SparkSession, path: str, lower: bool = False, part_bytes: int = 0) -> DataFrame:
+    """Samples of all streams of all files, cells without a value left out.
+
+    Ranges of ``part_bytes`` are read each by a task. A first pass over the ranges
+    tells where each one's samples count on, which time stamp comes before, and
+    which clock offsets lie around it.
+    """
+    index = stored(_source(spark, path, "index", part_bytes), "xdf-index")
+    before = Window.partitionBy("file", "stream").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("stamp").isNotNull(), F.struct("stamp", (F.col("start") + F.col("stamp_at")).alias("at"))), ignorenulls=True).over(before)
+    parts = index.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("last", last)
+    clocks = index.select("file", "stream", F.explode("clocks").alias("c")).select("file", "stream", "c.*")
+    order = Window.partitionBy("file", "stream").orderBy("when")
+    spans = clocks.select("file", "stream", "when", "by", F.coalesce(F.lag("when").over(order), F.lit(float("-inf"))).alias("previous"), F.coalesce(F.lead("when").over(order), F.lit(float("inf"))).alias("next"))
+    # samples without a stamp may lie before the first stamp and beyond the last
+    low, high = F.when(F.col("last").isNull(), F.lit(float("-inf"))).otherwise(F.least("low", "last.stamp")), F.coalesce("stamp", F.lit(float("inf")))
+    high = F.when(F.col("stamp_at") == F.col("n") - 1, high).otherwise(F.lit(float("inf")))
+    near = parts.select("file", "part", "stream", low.alias("low"), high.alias("high")).join(spans, ["file", "stream"]).where("next >= low and previous <= high")
+    near = near.groupBy("file", "part", "stream").agg(F.collect_list(F.struct("when", "by")).alias("clocks"))
+    placed = parts.drop("clocks").join(near, ["file", "part", "stream"], "left")
+    placed = placed.select("file", "part", "stream", "start", "rate", "first", F.coalesce("last.stamp", F.lit(0.0)).alias("stamp"), F.coalesce("last.at", F.lit(-1)).alias("stamp_at"), "clocks")
+    if index.count() <= MOST_PLACES:
+        placed = F.broadcast(placed)
+    rows = _source(spark, path, "chunks", part_bytes).join(placed, ["file", "part", "stream"])
+    start = F.col("start") + F.col("at")
+    stamps = F.pandas_udf(_stamped, "array<double>")("stamps", start, "rate", "stamp", "stamp_at", "clocks")
+    rows = rows.select("stream", F.transform("labels", F.lower).alias("labels") if lower else "labels", (F.col("first") + start).alias("first"), stamps.alias("stamps"), "numbers", "texts")
+    cells = F.posexplode(F.arrays_zip(F.coalesce("numbers", F.transform("texts", lambda _: F.lit(None).cast("double"))).alias("value"), F.coalesce("texts", F.transform("numbers", lambda _: F.lit(None).cast("string"))).alias("text")))
+    rows = rows.select("stream", "labels", "first", "stamps", cells.alias("pos", "cell"))
+    row = F.floor(F.col("pos") / F.size("labels")).cast("int")
+    found = rows.select("stream", (F.col("first") + row).alias("seq"), F.get("stamps", row).alias("ts"), F.get("labels", F.col("pos") % F.size("labels")).alias("channel"), F.col("cell")["value"].alias("value"), F.col("cell")["text"].alias("text"))
+    return found.withColumn("value", F.when(~F.isnan("value"), F.col("value"))).where("value is not null or text is not null")
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, first_timestamp, last_timestamp, sample_count) from the footer of each stream, without reading the samples."""
+    return _source(spark, path, "footers")
 
 
-def files(samples: DataFrame, rate: float, kind: str = "signal") -> DataFrame:
-    """(stream, content): each stream of ``samples`` (stream, seq, ts, channel, and value or text) as the content of a file.
+def files(samples: DataFrame, rate: float, kind: str = "signal", file_rows: int = 0) -> DataFrame:
+    """(stream, first, content): the streams of ``samples`` (stream, seq, ts, channel, and value or text) as contents of files.
 
-    A stream is one file, so one task holds it; recordings are bounded. Cells
-    that a sample of several channels lacks are NaN.
+    A stream goes on in a further file after ``file_rows`` samples, so a task holds
+    so many at most. Cells that a sample of several channels lacks are NaN.
     """
     column, fmt = ("text", "string") if "text" in samples.columns else ("value", "double64")
+    size = file_rows or FILE_ROWS
+    row = F.dense_rank().over(Window.partitionBy("stream").orderBy("seq")) - 1
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
         wide = t.pivot(index="seq", columns="channel", values=column).sort_index()
         ts = t.groupby("seq")["ts"].min().sort_index()
         x = wide.to_numpy() if fmt != "string" else wide.fillna("").to_numpy()
-        return pd.DataFrame({"stream": [t["stream"].iloc[0]], "content": [encode(t["stream"].iloc[0], kind, rate, list(wide.columns), ts.to_numpy(), x, fmt)]})
+        first = int(t["file"].iloc[0]) * size
+        return pd.DataFrame({"stream": [t["stream"].iloc[0]], "first": [first], "content": [encode(t["stream"].iloc[0], kind, rate, list(wide.columns), ts.to_numpy(), x, fmt, first=first)]})
 
-    return samples.groupBy("stream").applyInPandas(one, "stream string, content binary")
+    return samples.withColumn("file", F.floor(row / size)).groupBy("stream", "file").applyInPandas(one, "stream string, first long, content binary")
 
 
-def write(samples: DataFrame, path: str, rate: float, kind: str = "signal") -> DataFrame:
-    """Write a file for each stream below ``path``, a URI that all executors reach; gives (stream, file, size).
+def write(samples: DataFrame, path: str, rate: float, kind: str = "signal", file_rows: int = 0) -> DataFrame:
+    """Write the files of each stream below ``path``, a URI that all executors reach; gives (stream, file, size).
 
-    A file is named by its stream, so a task that runs again writes the same one.
+    A file is named by its stream and first sample, so a task that runs again writes the same one.
     """
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,10 +433,10 @@ def write(samples: DataFrame, path: str, rate: float, kind: str = "signal") -> D
         store, top = fs.FileSystem.from_uri(path)
         store.create_dir(top, recursive=True)
         for batch in batches:
-            names = [f"{uuid.uuid5(uuid.NAMESPACE_URL, name)}.xdf" for name in batch["stream"]]
+            names = [f"{uuid.uuid5(uuid.NAMESPACE_URL, name)}-{first}.xdf" for name, first in zip(batch["stream"], batch["first"])]
             for name, content in zip(names, batch["content"]):
                 with store.open_output_stream(f"{top}/{name}") as out:
                     out.write(content)
             yield pd.DataFrame({"stream": batch["stream"], "file": names, "size": batch["content"].map(len)})
 
-    return files(samples, rate, kind).mapInPandas(put, "stream string, file string, size long")
+    return files(samples, rate, kind, file_rows).mapInPandas(put, "stream string, file string, size long")

@@ -167,7 +167,7 @@ def sink_xdf_stream(spark: SparkSession, sf: str) -> DataFrame:
 
     s = online.stream(spark, f"{sf}/events.parquet*")
     s.writeStream.option("checkpointLocation", tables.scratch(spark, "state")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return xdf.read(spark, f"{path}/*").select("stream", "ts", "channel", "value")
+    return xdf.read(spark, path).select("stream", "ts", "channel", "value")
 
 
 @query("sink_live", "SELECT user_id AS signal_id, event_id AS seq, event_type AS channel, value FROM events")

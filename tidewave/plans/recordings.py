@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewave.functions import kernels
 from tidewave.operators import signals
 from tidewave.plans.registry import query
-from tidewave.sources import generators, tables, xdf
+from tidewave.sources import generators, live, tables, xdf
 from tidewave.streaming import online
 
 _SAMPLES = "samples AS (SELECT user_id AS signal_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS seq, ts, event_type AS channel, value FROM events)"
@@ -170,6 +170,19 @@ def sink_xdf_stream(spark: SparkSession, sf: str) -> DataFrame:
     return xdf.read(spark, path).select("stream", "ts", "channel", "value")
 
 
+@query("source_live", f"SELECT CAST(user_id AS VARCHAR) AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, {_SECONDS} AS ts, event_type AS channel, value FROM events")
+def source_live(spark: SparkSession, sf: str) -> DataFrame:
+    """Recordings followed by a stream that stops when it has the first half of the signals and starts again for the rest."""
+    path, out = tables.scratch(spark, "live"), tables.scratch(spark, "live-rows")
+    rows = tables.stored(_streams(spark, sf), "live-samples")
+    state = tables.scratch(spark, "live-state")
+    for half in (0, 1):
+        xdf.write(rows.where(F.pmod(F.crc32("stream"), F.lit(2)) == half), path, 0.0).write.format("noop").mode("overwrite").save()
+        samples = live.follow(spark, path).select("stream", "seq", "ts", "channel", "value")
+        samples.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(samples.schema).parquet(out)
+
+
 @query("sink_live", "SELECT user_id AS signal_id, event_id AS seq, event_type AS channel, value FROM events")
 def sink_live(spark: SparkSession, sf: str) -> DataFrame:
     """A stream passed on as lines of JSON, and what arrives."""

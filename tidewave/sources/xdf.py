@@ -163,21 +163,21 @@ class Recording:
             where += max(1, len(data) - len(BOUNDARY_MARK) + 1)
         return self.size, self.size
 
-    def chunks(self, where: int) -> Iterator[tuple[int, int, int]]:
-        """(tag, start, end) of the content of each chunk from ``where``, the start of one, on."""
-        while where < self.size:
+    def chunks(self, where: int, stop: int | None = None) -> Iterator[tuple[int, int, int]]:
+        """(tag, start, end) of the content of each chunk from ``where``, the start of one, to ``stop``."""
+        while where < (self.size if stop is None else stop):
             head = self.at(where, 11)
             size, begin = _length(head, 0)
             tag = struct.unpack_from("<H", head, begin)[0]
             yield tag, where + begin + 2, where + begin + size
             where += begin + size
 
-    def heads(self, wanted: bytes | None = None) -> dict[bytes, Head]:
-        """Headers before the first samples; with ``wanted`` on to the header of that stream."""
+    def heads(self, wanted: bytes | None = None, stop: int | None = None) -> dict[bytes, Head]:
+        """Headers before the first samples, and before ``stop``; with ``wanted`` on to the header of that stream."""
         if self.at(0, 4) != MAGIC:
             raise ValueError("not an XDF file")
         out = {}
-        for tag, a, b in self.chunks(4):
+        for tag, a, b in self.chunks(4, stop):
             if tag == STREAM_HEADER:
                 body = self.at(a, b - a)
                 out[body[:4]] = Head.of(body)

@@ -12,7 +12,7 @@ from tidewave.functions import kernels, statistics
 from tidewave.operators import filterbank, models, signals
 from tidewave.plans.registry import ORACLES, QUERIES, query
 from tidewave.sources import generators, tables, xdf
-from tidewave.streaming import online
+from tidewave.streaming import online, stateful
 
 _SAMPLES = "samples AS (SELECT user_id AS signal_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS seq, ts, event_type AS channel, value FROM events)"
 _MARKERS = "markers AS (SELECT user_id AS signal_id, event_type AS marker, ts AS marker_ts FROM events WHERE event_type = 'purchase')"
@@ -761,17 +761,16 @@ _ONLINE_FIR = " + ".join(f"{h} * coalesce(lag(value, {k}) OVER (PARTITION BY sig
 
 @query("fir_online", f"WITH {_STREAM} SELECT signal_id, channel, seq, round({_ONLINE_FIR}, 6) AS value FROM e")
 def fir_online(spark: SparkSession, sf: str) -> DataFrame:
-    """All samples: what waits in the state for a whole block when the stream has ended is read from there."""
-    path = tables.scratch(spark, "fir")
-    out = online.drained(online.fir(online.stream(spark, f"{sf}/events.parquet*"), _TAPS), "fir", path=path)
-    return out.unionByName(online.fir_rest(spark, path, _TAPS)).withColumn("value", F.round("value", 6))
+    """Each sample when the day it belongs to is complete; a few inputs are all that the state carries on."""
+    return keyed.through(spark, sf, stateful.Fir(_TAPS, _DAY, 1e9)).withColumn("value", F.round("value", 6))
 
 
 @query("ring_buffer", f"WITH {_STREAM}, r AS (SELECT *, row_number() OVER (PARTITION BY signal_id, channel ORDER BY seq DESC) AS back FROM e) SELECT signal_id, channel, count(*)::INT AS n, min(seq) AS first_seq, max(seq) AS last_seq, round(avg(value), 6) AS mean FROM r WHERE back <= 8 GROUP BY ALL")
 def ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
-    """The last eight samples of each channel, kept in the state of a stream."""
-    out = online.drained(online.ring(online.stream(spark, f"{sf}/events.parquet*"), 8), "ring", "update")
-    return out.withColumn("mean", F.round("mean", 6))
+    """The last eight samples of each channel as its last complete day leaves them in the state of a stream."""
+    found = keyed.through(spark, sf, stateful.Ring(8, _DAY, 1e9))
+    last = found.groupBy("signal_id", "channel").agg(F.max_by(F.struct("n", "first_seq", "last_seq", "mean"), "bucket").alias("r")).select("signal_id", "channel", "r.*")
+    return last.withColumn("mean", F.round("mean", 6))
 
 
 @query("segment_at", f"WITH {_STREAM}, r AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY ts DESC, seq DESC) AS back FROM e), b AS (SELECT signal_id, min(ts) AS low, max(ts) AS high, make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS pivot_ts FROM r WHERE back <= 40 GROUP BY signal_id) SELECT signal_id, pivot_ts, ts, channel, seq, value FROM r JOIN b USING (signal_id) WHERE back <= 40 AND pivot_ts - INTERVAL 1 DAY >= low AND pivot_ts + INTERVAL 1 DAY <= high AND ts >= pivot_ts - INTERVAL 1 DAY AND ts < pivot_ts + INTERVAL 1 DAY")
@@ -784,4 +783,4 @@ def segment_at(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-from tidewave.plans import banks, prediction, recordings, spectra  # noqa: E402, F401  (they add their queries and SQL)
+from tidewave.plans import banks, keyed, prediction, recordings, spectra  # noqa: E402, F401  (they add their queries and SQL)

@@ -66,33 +66,6 @@ def fir(samples: DataFrame, taps: Sequence[float], block: int = 8) -> DataFrame:
     return samples.groupBy("signal_id", "channel").applyInPandasWithState(run, "signal_id long, channel string, seq long, value double", "past array<double>, seqs array<long>, waiting array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def fir_rest(spark: SparkSession, path: str, taps: Sequence[float]) -> DataFrame:
-    """What ``fir`` would have given for the samples that wait in its state under ``path`` when the stream has ended."""
-    h = np.asarray(taps, float)
-    state = spark.read.format("statestore").load(f"{path}/state")
-    kept = state.select("key.signal_id", "key.channel", F.col("value.groupState.past").alias("past"), F.col("value.groupState.seqs").alias("seqs"), F.col("value.groupState.waiting").alias("waiting"))
-
-    @F.pandas_udf("array<double>")
-    def last(past: pd.Series, waiting: pd.Series) -> pd.Series:
-        return pd.Series([np.convolve(np.concatenate([p, w]), h, "valid").tolist() if len(w) else [] for p, w in zip(past, waiting)], dtype=object)
-
-    out = kept.withColumn("y", last("past", "waiting")).select("signal_id", "channel", F.explode(F.arrays_zip("seqs", "y")).alias("r"))
-    return out.select("signal_id", "channel", F.col("r.seqs").alias("seq"), F.col("r.y").alias("value"))
-
-
-def ring(samples: DataFrame, size: int) -> DataFrame:
-    """The last ``size`` samples of each channel after every batch, in bounded state."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(batches).sort_values("seq")
-        seqs, values = state.get if state.exists else ([], [])
-        seqs, values = [*seqs, *map(int, new["seq"])][-size:], [*values, *map(float, new["value"])][-size:]
-        state.update((seqs, values))
-        yield pd.DataFrame({"signal_id": [key[0]], "channel": [key[1]], "n": [len(seqs)], "first_seq": [seqs[0]], "last_seq": [seqs[-1]], "mean": [float(np.mean(values))]})
-
-    return samples.groupBy("signal_id", "channel").applyInPandasWithState(run, "signal_id long, channel string, n int, first_seq long, last_seq long, mean double", "seqs array<long>, xs array<double>", "update", GroupStateTimeout.NoTimeout)
-
-
 def drained(df: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and gives what it has written, as a table in the shared folder.
 

@@ -44,7 +44,7 @@ HELD_PERCENT = 80
 TOP = 2000
 SCALE = 2_000_000
 #: Words that are summed up before they are sent.
-BATCH_WORDS = 1 << 20
+BATCH_WORDS = 1 << 18
 MOST_POINTERS = 200_000
 #: Parts that hot keys of lookups are dealt out to; candidates of one part of a language's ranking.
 SALTS, RANKED = 8, 200_000

@@ -40,7 +40,7 @@ from tidewave.llm.common import discard, materialize, mix
 HELD_OUT_OF, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 #: Bounds of the training sample: labelled rows, and windows of a row for each kind of centre.
-TRAIN_ROWS, WINDOWS = 16_000, 3
+TRAIN_ROWS, WINDOWS = 12_000, 2
 #: Words on each side of a window's centre.
 REACH = 4
 BUCKETS = 1 << 20

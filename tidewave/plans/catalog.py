@@ -783,4 +783,4 @@ def segment_at(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-from tidewave.plans import banks, filters, keyed, prediction, recordings, spectra  # noqa: E402, F401  (they add their queries and SQL)
+from tidewave.plans import banks, coherence, filters, keyed, prediction, recordings, spectra  # noqa: E402, F401  (they add their queries and SQL)

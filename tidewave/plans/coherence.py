@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.functions import kernels
-from tidewave.operators import lines, phase, ransac, wavelets
+from tidewave.operators import ica, lines, phase, ransac, wavelets
 from tidewave.plans import catalog, spectra
 from tidewave.plans.registry import query
 from tidewave.sources import tables
@@ -108,3 +108,20 @@ def ransac_channels(spark: SparkSession, sf: str) -> DataFrame:
 @query("reref_ransac")
 def reref_ransac(spark: SparkSession, sf: str) -> DataFrame:
     return ransac.referenced(tables.samples(spark, sf), PLACES, ransac.Consensus(window=4, share=0.6)).select("signal_id", "channel", "seq", "value", "bad")
+
+
+def _repaired(spark: SparkSession, sf: str, method: str, rounds: int) -> DataFrame:
+    w = tables.wide(spark, sf)
+    rows = w.select("signal_id", "seq", F.array(*[F.col(c).cast("double") for c in tables.CHANNELS]).alias("x"))
+    return ica.repaired(rows, method, rounds=rounds).select("signal_id", "seq", *[F.col("x")[i].alias(c) for i, c in enumerate(tables.CHANNELS)])
+
+
+@query("ica_repair_picard")
+def ica_repair_picard(spark: SparkSession, sf: str) -> DataFrame:
+    """Every supplier's channels without the component of the greatest kurtosis."""
+    return _repaired(spark, sf, "picard", 20)
+
+
+@query("ica_repair_infomax")
+def ica_repair_infomax(spark: SparkSession, sf: str) -> DataFrame:
+    return _repaired(spark, sf, "infomax", 40)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.functions import quantiles
+
 #: The statistics in the order of their ordinals.
 STATISTICS = ("mean", "var", "std", "ptp", "skew", "kurt", "rms", "mobility", "complexity", "q75", "q25")
 
@@ -30,12 +32,20 @@ def expression(name: str) -> Column:
         "rms": lambda: F.sqrt(F.avg(v * v)),
         "mobility": lambda: ratio(sd["d1"], sd["value"]),
         "complexity": lambda: ratio(ratio(sd["d2"], sd["d1"]), ratio(sd["d1"], sd["value"])),
-        "q75": lambda: F.percentile(v, 0.75),
-        "q25": lambda: F.percentile(v, 0.25),
     }[name]()
 
 
+#: Statistics that are found by counting.
+QUANTILES = {"q75": 0.75, "q25": 0.25}
+
+
 def summarize(samples: DataFrame, names: tuple[str, ...] = STATISTICS, keys: tuple[str, ...] = ("signal_id", "channel"), digits: int | dict[str, int] = 6) -> DataFrame:
-    """The named statistics of each group, in one aggregation, rounded to ``digits`` (6 for a statistic that isn't named)."""
+    """The named statistics of each group, rounded to ``digits`` (6 for a statistic that isn't named); all but quantiles in one aggregation."""
+    rounded = lambda n, c: F.round(c, digits.get(n, 6) if isinstance(digits, dict) else digits).alias(f"feature_{n}")
+    plain = [n for n in names if n not in QUANTILES]
     df = derivatives(samples, keys) if {"mobility", "complexity"} & set(names) else samples
-    return df.groupBy(*keys).agg(*[F.round(expression(n), digits.get(n, 6) if isinstance(digits, dict) else digits).alias(f"feature_{n}") for n in names])
+    out = df.groupBy(*keys).agg(*[rounded(n, expression(n)) for n in plain]) if plain else df.select(*keys).distinct()
+    if len(plain) < len(names):
+        found = quantiles.quantiles(samples, keys, {n: q for n, q in QUANTILES.items() if n in names})
+        out = out.join(found, list(keys), "left").select(*keys, *[f"feature_{n}" if n in plain else rounded(n, F.col(n)) for n in names])
+    return out

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from tidewave.sources.tables import stored
 
 #: Signals whose matrices the driver holds at once; most steps, the gradient that ends them, and the longest step.
-MOST_SIGNALS, ROUNDS, ENOUGH, LONGEST = 4096, {"infomax": 200, "picard": 50}, 1e-4, 0.3
-#: Rate of the natural gradient; the least curvature that is divided by.
-RATE, LEAST_CURVATURE = 0.5, 0.05
+MOST_SIGNALS, ROUNDS, ENOUGH, LONGEST = 4096, {"infomax": 300, "picard": 50}, 1e-4, 0.3
+#: First rate of the natural gradient, and by what it changes where steps turn back or go on, down to the least; the least curvature that is divided by.
+RATE, SLOWER, FASTER, LEAST_RATE, LEAST_CURVATURE = 0.3, 0.7, 1.03, 0.02, 0.05
 
 
 @dataclass
@@ -35,6 +35,8 @@ class Unmixing:
     matrix: np.ndarray
     steps: int = 0
     gradient: float = np.inf
+    rate: float = RATE
+    last: np.ndarray | None = None
 
     def sources(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) @ self.matrix.T
@@ -87,13 +89,13 @@ def _whitened(rows: DataFrame, components: int | None) -> dict[object, Unmixing]
 
 
 def _step(v: np.ndarray, d: int, method: str) -> tuple[np.ndarray, float]:
-    """(relative change of the matrix, greatest gradient) from the sums of a signal."""
+    """(relative change of the matrix, for infomax at rate 1, and greatest gradient) from the sums of a signal."""
     n, v = v[0], v[1:] / v[0]
     t, c, slope = v[: d * d].reshape(d, d), v[d * d : 2 * d * d].reshape(d, d), v[2 * d * d :]
     sign = np.where(slope * np.diag(c) >= np.diag(t), 1.0, -1.0)  # peaked or flat
     gradient = sign[:, None] * t + c - np.eye(d)
     if method == "infomax":
-        move = -RATE * gradient
+        move = -gradient
     else:
         a = np.outer(1 + sign * slope, np.diag(c))  # curvature of (i, j) along itself
         b, det = a.T, a * a.T - 1
@@ -103,7 +105,22 @@ def _step(v: np.ndarray, d: int, method: str) -> tuple[np.ndarray, float]:
         det = a * b - 1
         move = -(b * gradient - gradient.T) / det
         np.fill_diagonal(move, -np.diag(gradient) / np.maximum(np.diag(a) + 1, LEAST_CURVATURE))
-    return move * min(1.0, LONGEST / max(np.abs(move).max(), 1e-300)), float(np.abs(gradient).max())
+    return move, float(np.abs(gradient).max())
+
+
+def advance(m: Unmixing, v: np.ndarray, method: str, enough: float = ENOUGH) -> bool:
+    """Move the matrix on by the sums ``v``; false if its gradient is small enough to end."""
+    move, gradient = _step(v, len(m.matrix), method)
+    if method == "infomax":
+        back = m.last is not None and (m.last * move).sum() < 0
+        m.rate, m.last = max(LEAST_RATE, m.rate * (SLOWER if back else FASTER)), move
+        move = move * m.rate
+    m.gradient = gradient
+    if gradient < enough:
+        return False
+    move = move * min(1.0, LONGEST / max(np.abs(move).max(), 1e-300))
+    m.matrix, m.steps = m.matrix + move @ m.matrix, m.steps + 1
+    return True
 
 
 def fit(rows: DataFrame, method: str = "picard", components: int | None = None, rounds: int | None = None, enough: float = ENOUGH) -> dict[object, Unmixing]:
@@ -125,12 +142,8 @@ def fit(rows: DataFrame, method: str = "picard", components: int | None = None,
             return np.concatenate([[len(y)], (g.T @ y).ravel(), (y.T @ y).ravel(), (1 - g * g).sum(0)])
 
         for key, v in _sums(rows, means).items():
-            m = model[key]
-            move, m.gradient = _step(v, len(m.matrix), method)
-            if m.gradient < enough:
+            if not advance(model[key], v, method, enough):
                 open_.discard(key)
-            else:
-                m.matrix, m.steps = m.matrix + move @ m.matrix, m.steps + 1
         shared.unpersist()
     return model
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
@@ -98,6 +99,25 @@ def predict(model: PipelineModel, features: DataFrame, *more: str) -> DataFrame:
     return out.select("row_id", "class", *more, F.element_at(F.array(*map(F.lit, labels)), F.col("prediction").cast("int") + 1).alias("prediction"))
 
 
+def class_sums(features: DataFrame) -> DataFrame:
+    """(class, v): of each class the number of rows, the sums of the features and of their products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                codes = batch["class"].dictionary_encode()
+                at, x = codes.indices.to_numpy(), batch["x"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                for k, name in enumerate(codes.dictionary.to_pylist()):
+                    own = x[at == k]
+                    held[name] = held.get(name, 0) + np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
+        yield pa.record_batch([pa.array(list(held), pa.string()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], ["class", "v"])
+
+    parts = features.where("class is not null").select("class", "x").mapInArrow(run, "class string, v array<double>").select("class", F.posexplode("v").alias("i", "v"))
+    total = parts.groupBy("class", "i").agg(F.sum("v").alias("v"))
+    return total.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).select("class", F.col("c.v").alias("v"))
+
+
 @dataclass
 class Discriminant:
     """Fisher's linear discriminant: class means and a pooled covariance, from one aggregation."""
@@ -105,26 +125,21 @@ class Discriminant:
     classes: list[str]
     weights: np.ndarray
     offsets: np.ndarray
+    means: np.ndarray
+    pooled: np.ndarray
 
     @classmethod
     def fit(cls, features: DataFrame, shrinkage: float = 1e-3) -> Discriminant:
-        """Sums of x and of x xT per class are made on the executors; the driver gets features squared per class."""
-
-        def moments(t: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(t["x"].tolist())
-            return pd.DataFrame({"class": [t["class"].iloc[0]], "n": [len(x)], "s": [x.sum(0).tolist()], "q": [(x.T @ x).ravel().tolist()]})
-
-        chunk = F.pmod(F.xxhash64("row_id"), F.lit(64))
-        parts = features.select("class", "x", chunk.alias("chunk")).groupBy("class", "chunk").applyInPandas(moments, "class string, n long, s array<double>, q array<double>").toPandas()
-        classes = sorted(parts["class"].unique())
-        n = np.array([parts.n[parts["class"] == c].sum() for c in classes], float)
-        s = np.array([np.sum(parts.s[parts["class"] == c].tolist(), axis=0) for c in classes])
-        q = np.sum(parts.q.tolist(), axis=0).reshape(s.shape[1], -1)
-        means = s / n[:, None]
-        pooled = (q - (means.T * n) @ means) / max(1, n.sum() - len(classes))
-        pooled = (1 - shrinkage) * pooled + shrinkage * np.trace(pooled) / len(pooled) * np.eye(len(pooled))
-        w = np.linalg.solve(pooled, means.T).T
-        return cls(classes, w, np.log(n / n.sum()) - 0.5 * (w * means).sum(1))
+        """Each task sums x and x xT of its own rows by class; the driver gets features squared per class."""
+        rows = {r["class"]: np.array(r["v"]) for r in class_sums(features).collect()}
+        classes = sorted(rows)
+        v = np.array([rows[c] for c in classes])
+        k = int((np.sqrt(4 * v.shape[1] - 3) - 1) / 2)
+        n, means = v[:, 0], v[:, 1 : k + 1] / v[:, :1]
+        pooled = (v[:, k + 1 :].sum(0).reshape(k, k) - (means.T * n) @ means) / max(1, n.sum() - len(classes))
+        shrunk = (1 - shrinkage) * pooled + shrinkage * np.trace(pooled) / k * np.eye(k)
+        w = np.linalg.solve(shrunk, means.T).T
+        return cls(classes, w, np.log(n / n.sum()) - 0.5 * (w * means).sum(1), means, pooled)
 
     def predict(self, features: DataFrame) -> DataFrame:
         classes, w, b = self.classes, self.weights, self.offsets

@@ -244,9 +244,12 @@ def couple(paired: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], float],
     return paired.withColumn(out, run("xa", "xb")).drop("xa", "xb")
 
 
-def spectrum(samples: DataFrame, fs: float, size: int = 256, segments: int = 64) -> DataFrame:
+def spectrum(samples: DataFrame, fs: float, size: int = 256, segments: int = 64, pick: np.ndarray | None = None) -> DataFrame:
     """(signal_id, channel, bin, freq, power): Welch's density of each channel, a mean over segments of ``size`` samples.
 
+    ``pick`` (rows by bins) gives sums of bins in place of bins, before anything
+    is shuffled; ``bin`` then counts its rows, and ``freq`` means nothing.
+
     A task holds blocks of ``segments`` segments; a channel shorter than one is
     one segment, filled up with zeros, and what a longer one has beyond its last
     whole segment is left out.
@@ -260,7 +263,8 @@ def spectrum(samples: DataFrame, fs: float, size: int = 256, segments: int = 64)
             whole = len(v) // size
             if not whole and b:
                 return None
-            return (kernels.welch(np.asarray(v, float)[: whole * size] if whole else np.asarray(v, float), fs, size)[1] * max(1, whole)).tolist()
+            power = kernels.welch(np.asarray(v, float)[: whole * size] if whole else np.asarray(v, float), fs, size)[1] * max(1, whole)
+            return (power if pick is None else pick @ power).tolist()
 
         return pd.Series([one(v, b) for v, b in zip(x, block)], dtype=object)
 

@@ -480,9 +480,10 @@ def band_power(x: np.ndarray) -> np.ndarray:
 
 @query("band_power")
 def band_powers(spark: SparkSession, sf: str) -> DataFrame:
-    p = signals.spectrum(tables.samples(spark, sf), 256.0)
-    band = F.coalesce(*[F.when((F.col("freq") >= a) & (F.col("freq") < b), i) for i, (a, b) in enumerate(_BANDS)])
-    return p.withColumn("item", band.cast("long")).where("item is not null").groupBy(*signals.SIGNAL, "item").agg(F.round(F.sum("power"), 6).alias("value"))
+    freq = np.fft.rfftfreq(256, 1 / 256.0)
+    inside = np.array([(freq >= low) & (freq < high) for low, high in _BANDS], float)
+    p = signals.spectrum(tables.samples(spark, sf), 256.0, pick=inside)
+    return p.select(*signals.SIGNAL, F.col("bin").alias("item"), F.round("power", 6).alias("value"))
 
 
 @query("psd_welch")
@@ -666,6 +667,27 @@ def clf_lda(spark: SparkSession, sf: str) -> DataFrame:
     return models.Discriminant.fit(f.where(models.held_out() > 0)).predict(f)
 
 
+_FEATURED = "f AS MATERIALIZED (SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS class, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL)"
+
+
+@query("lda_means", f"WITH {_FEATURED} SELECT class, i, round(avg(x), 6) + 0.0::DOUBLE AS mean FROM f GROUP BY class, i")
+def lda_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Class means of the discriminant of all rows."""
+    model = models.Discriminant.fit(tables.features(spark, sf))
+    return spark.createDataFrame([(c, i, round(float(v), 6) + 0.0) for c, row in zip(model.classes, model.means) for i, v in enumerate(row)], "class string, i long, mean double")
+
+
+@query(
+    "lda_pooled",
+    f"WITH {_FEATURED}, d AS MATERIALIZED (SELECT row_id, class, i, x - avg(x) OVER (PARTITION BY class, i) AS x FROM f) "
+    "SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x) / (count(*) - count(DISTINCT a.class)), 6) + 0.0::DOUBLE AS cov FROM d a JOIN d b USING (row_id) GROUP BY a.i, b.i",
+)
+def lda_pooled(spark: SparkSession, sf: str) -> DataFrame:
+    """The pooled covariance of the discriminant of all rows."""
+    model = models.Discriminant.fit(tables.features(spark, sf))
+    return spark.createDataFrame([(i, j, round(float(v), 6) + 0.0) for i, row in enumerate(model.pooled) for j, v in enumerate(row)], "i long, j long, cov double")
+
+
 @query("predict_proba")
 def predict_proba(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array

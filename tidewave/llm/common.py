@@ -76,6 +76,15 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Columns that operators on documents look at.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with further columns named by their place, so that none clashes or needs quotes; ``toDF`` gives their names back."""
+    return docs.toDF(*[c if c in OWN else f"further{i}" for i, c in enumerate(docs.columns)])
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text (null: none), cut at ASCII white space only."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import unused
+from tidewave.llm.common import plain_names
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -149,6 +149,6 @@ KEEP_SCORE = 0.5
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose language can't be told (``und`` or a low score); a null lang is filled in."""
-    pred, score = unused("lang_pred", docs.columns), unused("score", docs.columns)
-    out = predict(docs, fit(docs), pred, score).where((F.col(pred) != "und") & (F.col(score) >= KEEP_SCORE))
-    return out.withColumn("lang", F.coalesce("lang", pred)).drop(pred, score)
+    plain = plain_names(docs)
+    out = predict(plain, fit(plain)).where((F.col("lang_pred") != "und") & (F.col("score") >= KEEP_SCORE))
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score").toDF(*docs.columns)

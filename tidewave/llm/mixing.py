@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import materialize, unused, words
+from tidewave.llm.common import materialize, plain_names, unused, words
 
 NONE = "(none)"
 LEVELS = ("domain", "language", "leaf_source")
@@ -132,8 +132,13 @@ def take(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     """``docs`` reduced to what ``mix`` takes, with ``copies`` (``_copies`` if there is such a column).
 
     Of rows that agree in id, leaf and length as many are taken, and as often,
-    as ``mix`` says, in order of the hash of their text.
+    as ``mix`` says, in order of the hash of their text. Further columns may have
+    any name.
     """
+    return _taken(plain_names(docs), plan).toDF(*docs.columns, unused("copies", docs.columns))
+
+
+def _taken(docs: DataFrame, plan: Plan) -> DataFrame:
     copies, key, most, many, all_, row = (unused(c, docs.columns) for c in ("copies", "key", "most", "many", "all", "row"))
     taken = mix(docs, plan).groupBy(F.xxhash64("doc_id", "language", "source", "tokens").alias(key))
     taken = taken.agg(F.count("*").alias(all_), F.max("copies").alias("hi"), F.min("copies").alias("lo"), F.sum("copies").alias("sum"))

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StructField, StructType
 
-from tidewave.llm.common import NGRAM, SIMILAR_PERCENT, Filter, arrow_rows, components, discard, materialize, mix, runs, shingle_sets, unused
+from tidewave.llm.common import NGRAM, SIMILAR_PERCENT, Filter, arrow_rows, components, discard, materialize, mix, plain_names, runs, shingle_sets, unused
 
 #: Further token orders, by the seed that permutes the hashes.
 ORDERS = (0x5BD1E995, 0xC2B2AE3D)
@@ -382,8 +382,13 @@ def keep_one(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """``docs`` with one row of each component; rows without words all stay.
 
     It is the row of the smallest id (a null id only where there is no other);
-    of several with this id that of the smallest hash over its columns.
+    of several with this id that of the smallest hash over its columns. Further
+    columns may have any name.
     """
+    return _one_each(plain_names(docs), percent).toDF(*docs.columns)
+
+
+def _one_each(docs: DataFrame, percent: int) -> DataFrame:
     found = join(docs, percent).where("set_class is not null")
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_class")).alias("first"))
     first = materialize(first.select(F.col("first.doc_id").alias("__id"), F.col("first.set_class").alias("__set")), "first")

@@ -103,3 +103,16 @@ def test_wavelets_in_blocks(spark, size):
                 assert np.allclose([found[k, a, i] for i in range(len(own))], y) and np.isclose(power[k, a], (np.abs(y) ** 2).sum())
     with pytest.raises(ValueError, match="unknown"):
         wavelets.wavelet("gaus9")
+
+
+def test_eigenvalues_of_correlations(spark):
+    from tidewave.plans import catalog
+    from tidewave.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    found = catalog.QUERIES["conn_corr_eigen"](spark, sf).toPandas()
+    for signal, own in tables.wide(spark, sf).toPandas().groupby("signal_id"):
+        x = own[list(tables.CHANNELS)].to_numpy(float)
+        values = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1]
+        assert np.allclose(found[found.signal_id == signal].sort_values("item").value, values, atol=1e-6)
+    assert np.allclose(kernels.correlation_eigenvalues(np.array([[4.0, 0.0], [0.0, 0.0]])), [1, 1])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import kernels
+from tidewave.sources.tables import stored
 
 SIGNAL = ("signal_id", "channel")
 
@@ -145,7 +146,7 @@ def reference_robust(samples: DataFrame, rounds: int = 4, limit: float = 3.0) ->
         spread = out.groupBy("signal_id", "channel").agg(F.stddev_samp("value").alias("s"))
         middle = spread.groupBy("signal_id").agg(F.percentile("s", 0.5).alias("mid"), (F.percentile("s", 0.75) - F.percentile("s", 0.25)).alias("iqr"))
         found = spread.join(middle, "signal_id").where(F.abs(F.col("s") - F.col("mid")) > limit * 0.7413 * F.col("iqr")).select("signal_id", "channel")
-        new = found.join(bad, ["signal_id", "channel"], "left_anti")
+        new = stored(found.join(bad, ["signal_id", "channel"], "left_anti"), "bad-channels")  # a round's plan doesn't hold those before
         if new.isEmpty():
             break
         bad = bad.union(new).distinct()

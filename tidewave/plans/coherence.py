@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.functions import kernels
-from tidewave.operators import ica, lines, phase, ransac, wavelets
+from tidewave.operators import filterbank, ica, lines, phase, ransac, wavelets
 from tidewave.plans import catalog, spectra
 from tidewave.plans.registry import query
 from tidewave.sources import tables
@@ -95,6 +96,20 @@ def cwt_cmor(spark: SparkSession, sf: str) -> DataFrame:
     return wavelets.coefficients(tables.samples(spark, sf), "cmor1.5-1.0", SCALES)
 
 
+@query("conn_corr_eigen")
+def conn_corr_eigen(spark: SparkSession, sf: str) -> DataFrame:
+    """Eigenvalues of each supplier's correlations between channels, from sums of products."""
+    w = tables.wide(spark, sf)
+    rows = w.select(F.col("signal_id").alias("trial_id"), F.lit("").alias("class"), F.lit(0).alias("band"), F.array(*[F.col(c).cast("double") for c in tables.CHANNELS]).alias("x"))
+
+    @F.pandas_udf("array<double>")
+    def values(cov: pd.Series) -> pd.Series:
+        return pd.Series([kernels.correlation_eigenvalues(np.reshape(c, (int(len(c) ** 0.5), -1))).tolist() for c in cov], dtype=object)
+
+    found = filterbank.raw_covariances(rows).select(F.col("trial_id").alias("signal_id"), F.posexplode(values("cov")).alias("item", "value"))
+    return found.select("signal_id", F.col("item").cast("long").alias("item"), F.round("value", 6).alias("value"))
+
+
 #: Places of the five channels on the head, made up, as the events have none.
 PLACES = {"click": (0.0, 0.0, 1.0), "error": (0.8, 0.0, 0.6), "purchase": (-0.8, 0.0, 0.6), "signup": (0.0, 0.8, 0.6), "view": (0.0, -0.8, 0.6)}
 

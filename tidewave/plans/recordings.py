@@ -197,5 +197,4 @@ def session_variable(spark: SparkSession, sf: str) -> DataFrame:
     """A value set in one place and read in another."""
     spark.sql("DECLARE OR REPLACE VARIABLE tidewave_least DOUBLE DEFAULT 0")
     spark.sql("SET VAR tidewave_least = 99")
-    least = spark.sql("SELECT tidewave_least AS least").first()["least"]
-    return tables.table(spark, sf, "events", "event_id", "value").where(F.col("value") > least)
+    return tables.table(spark, sf, "events", "event_id", "value").where("value > tidewave_least")

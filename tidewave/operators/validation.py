@@ -173,3 +173,12 @@ def multiclass_auc(scored: DataFrame, classes: int) -> DataFrame:
     for df in (ovr, ovo):
         out += [df.select(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in df.columns]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def samples_averages(rows: DataFrame, truth: str = "truth", guess: str = "guess") -> DataFrame:
+    """Precision, recall, F1 and Jaccard's index of sets of labels (arrays), computed row by row and averaged; a score without a denominator is 0."""
+    a, b = F.array_distinct(F.coalesce(truth, F.array())), F.array_distinct(F.coalesce(guess, F.array()))
+    both, n, m = F.size(F.array_intersect(a, b)), F.size(a), F.size(b)
+    share = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    scores = {"precision": share(both, m), "recall": share(both, n), "f1": share(2 * both, n + m), "jaccard": share(both, n + m - both)}
+    return rows.select(*[c.alias(k) for k, c in scores.items()]).agg(*[F.avg(k).alias(k) for k in scores])

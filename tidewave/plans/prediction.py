@@ -162,3 +162,15 @@ _kernelled("sigmoid")
 @query("validate_models")
 def validate_models(spark: SparkSession, sf: str) -> DataFrame:
     return models.compare_models(("logreg", "rf"), tables.features(spark, sf), 2, max_iter=10, trees=5)
+
+
+_SETS = "o AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS truth, coalesce(list(DISTINCT l_returnflag) FILTER (l_quantity > 25), []) AS guess FROM lineitem GROUP BY l_orderkey), s AS (SELECT len(list_intersect(truth, guess)) AS b, len(truth) AS n, len(guess) AS m FROM o)"
+
+
+@query("metrics_samples", f"WITH {_SETS} SELECT round(avg(CASE WHEN m > 0 THEN b / m ELSE 0 END), 9) AS precision, round(avg(CASE WHEN n > 0 THEN b / n ELSE 0 END), 9) AS recall, round(avg(CASE WHEN n + m > 0 THEN 2 * b / (n + m) ELSE 0 END), 9) AS f1, round(avg(CASE WHEN n + m - b > 0 THEN b / (n + m - b) ELSE 0 END), 9) AS jaccard FROM s")
+def metrics_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The flags of an order, guessed from its larger lines: averages over orders."""
+    lines = tables.table(spark, sf, "lineitem", "l_orderkey", "l_returnflag", "l_quantity")
+    sets = lines.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("truth"), F.collect_set(F.when(F.col("l_quantity") > 25, F.col("l_returnflag"))).alias("guess"))
+    found = validation.samples_averages(sets)
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])

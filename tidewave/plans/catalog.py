@@ -747,34 +747,45 @@ def segment_online(spark: SparkSession, sf: str) -> DataFrame:
 _STREAM = "e AS (SELECT user_id AS signal_id, event_id AS seq, ts, event_type AS channel, value FROM events)"
 
 
+def _windows_online(spark: SparkSession, sf: str, length: str, step: str | None = None) -> DataFrame:
+    """Each window once, when the watermark has passed it and its state is dropped."""
+    stream, late = keyed.replay(spark, sf, 4 * _DAY)
+    return online.drained(online.tumbling(stream, length, step, late), "windows").where(F.col("signal_id") != stateful.CLOCK)
+
+
+def _sessions_online(spark: SparkSession, sf: str) -> DataFrame:
+    stream, late = keyed.replay(spark, sf)
+    return online.drained(online.sessions(stream, "6 hours", late), "sessions").where(F.col("signal_id") != stateful.CLOCK)
+
+
 @query("window_online")
 def window_online(spark: SparkSession, sf: str) -> DataFrame:
-    return online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "2 days"), "windows", "complete")
+    return _windows_online(spark, sf, "2 days")
 
 
 @query("session_online")
 def session_online(spark: SparkSession, sf: str) -> DataFrame:
-    return online.drained(online.sessions(online.stream(spark, f"{sf}/events.parquet*"), "6 hours"), "sessions", "complete")
+    return _sessions_online(spark, sf)
 
 
 @query("window_spans_online", f"WITH {_STREAM} SELECT time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 2 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 2 DAY AS stop, signal_id, channel, count(*) AS n, round(avg(value), 6) AS feature_mean FROM e GROUP BY ALL")
 def window_spans_online(spark: SparkSession, sf: str) -> DataFrame:
     """``window_online`` with start and end as columns."""
-    out = online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "2 days"), "windows", "complete")
+    out = _windows_online(spark, sf, "2 days")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("window.end").cast("timestamp_ntz").alias("stop"), "signal_id", "channel", "n", F.round("feature_mean", 6).alias("feature_mean"))
 
 
 @query("window_step_online", f"WITH {_STREAM}, w AS (SELECT *, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - to_days(k::INT) AS start FROM e, (SELECT unnest(range(3)) AS k)) SELECT start, signal_id, channel, count(*) AS n, round(avg(value), 6) AS feature_mean FROM w GROUP BY ALL")
 def window_step_online(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of three days, a new one each day."""
-    out = online.drained(online.tumbling(online.stream(spark, f"{sf}/events.parquet*"), "3 days", "1 day"), "windows", "complete")
+    out = _windows_online(spark, sf, "3 days", "1 day")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "signal_id", "channel", "n", F.round("feature_mean", 6).alias("feature_mean"))
 
 
 @query("session_spans_online", f"WITH {_STREAM}, g AS (SELECT *, sum(new) OVER (PARTITION BY signal_id ORDER BY ts, seq) AS k FROM (SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY signal_id ORDER BY ts, seq) > INTERVAL 6 HOUR, true))::INT AS new FROM e)) SELECT signal_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM g GROUP BY signal_id, k")
 def session_spans_online(spark: SparkSession, sf: str) -> DataFrame:
     """``session_online`` with start and end as columns."""
-    out = online.drained(online.sessions(online.stream(spark, f"{sf}/events.parquet*"), "6 hours"), "sessions", "complete")
+    out = _sessions_online(spark, sf)
     return out.select("signal_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("stop"), "n")
 
 

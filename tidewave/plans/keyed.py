@@ -13,10 +13,15 @@ DAY, SLICES = 86_400.0, 4
 _STREAM = "e AS (SELECT user_id AS signal_id, event_id AS seq, ts, event_type AS channel, value FROM events)"
 
 
+def replay(spark: SparkSession, sf: str, rest: float = 2 * DAY) -> tuple[DataFrame, str]:
+    """The events of ``sf`` as a stream, slice by slice, and its delay; all that ends within ``rest`` seconds after the last event comes to an end."""
+    e = tables.table(spark, sf, "events").select(F.col("user_id").alias("signal_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("channel"), "value")
+    return stateful.replayed(e, tables.scratch(spark, "replay"), SLICES, rest)
+
+
 def through(spark: SparkSession, sf: str, processor: stateful.Ordered) -> DataFrame:
     """The events of ``sf``, slice by slice, through ``processor``."""
-    e = tables.table(spark, sf, "events").select(F.col("user_id").alias("signal_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("channel"), "value")
-    stream, late = stateful.replayed(e, tables.scratch(spark, "replay"), SLICES, 2 * DAY)
+    stream, late = replay(spark, sf)
     return stateful.run(stateful.online(stream, processor, late), "keyed").where(F.col("signal_id") != stateful.CLOCK)
 
 

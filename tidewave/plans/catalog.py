@@ -794,14 +794,14 @@ _ONLINE_FIR = " + ".join(f"{h} * coalesce(lag(value, {k}) OVER (PARTITION BY sig
 
 @query("fir_online", f"WITH {_STREAM} SELECT signal_id, channel, seq, round({_ONLINE_FIR}, 6) AS value FROM e")
 def fir_online(spark: SparkSession, sf: str) -> DataFrame:
-    """Each sample when the day it belongs to is complete; a few inputs are all that the state carries on."""
-    return keyed.through(spark, sf, stateful.Fir(_TAPS, _DAY, 1e9)).withColumn("value", F.round("value", 6))
+    """Each sample when the ten days it belongs to are complete; a few inputs are all that the state carries on."""
+    return keyed.through(spark, sf, stateful.Fir(_TAPS, 10 * _DAY, 1e9)).withColumn("value", F.round("value", 6))
 
 
 @query("ring_buffer", f"WITH {_STREAM}, r AS (SELECT *, row_number() OVER (PARTITION BY signal_id, channel ORDER BY seq DESC) AS back FROM e) SELECT signal_id, channel, count(*)::INT AS n, min(seq) AS first_seq, max(seq) AS last_seq, round(avg(value), 6) AS mean FROM r WHERE back <= 8 GROUP BY ALL")
 def ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
-    """The last eight samples of each channel as its last complete day leaves them in the state of a stream."""
-    found = keyed.through(spark, sf, stateful.Ring(8, _DAY, 1e9))
+    """The last eight samples of each channel as its last complete ten days leave them in the state of a stream."""
+    found = keyed.through(spark, sf, stateful.Ring(8, 10 * _DAY, 1e9))
     last = found.groupBy("signal_id", "channel").agg(F.max_by(F.struct("n", "first_seq", "last_seq", "mean"), "bucket").alias("r")).select("signal_id", "channel", "r.*")
     return last.withColumn("mean", F.round("mean", 6))
 

@@ -21,7 +21,7 @@ def replay(spark: SparkSession, sf: str, rest: float = 2 * DAY) -> tuple[DataFra
 
 def through(spark: SparkSession, sf: str, processor: stateful.Ordered) -> DataFrame:
     """The events of ``sf``, slice by slice, through ``processor``."""
-    stream, late = replay(spark, sf)
+    stream, late = replay(spark, sf, 2 * processor.bucket_ms / 1000)
     return stateful.run(stateful.online(stream, processor, late), "keyed").where(F.col("signal_id") != stateful.CLOCK)
 
 

@@ -66,3 +66,19 @@ def test_fewer_components(spark):
     _, _, x = planted(5, 500)
     model = ica.fit(table(spark, x), components=2, rounds=2)
     assert model[0].matrix.shape == (2, 4)
+
+
+@pytest.mark.parametrize("method", ["picard", "infomax"])
+def test_short_signals_take_no_steps_of_the_driver(spark, monkeypatch, method):
+    """Signals that a task can hold are repaired without jobs for each step, as by sums over partitions; a longer one among them goes by sums."""
+    parts = [planted(seed, n)[2] for seed, n in ((6, 400), (7, 90), (8, 300), (9, 1500))]
+    rows = table(spark, *parts, np.ones((5, 4)), parts[0][:1]).repartition(3).cache()
+    order = lambda df: np.stack(df.toPandas().sort_values(["signal_id", "seq"])["x"])
+    monkeypatch.setattr(ica, "WHOLE", 0)
+    by_sums = order(ica.repaired(rows, method, rounds=8))
+    monkeypatch.setattr(ica, "WHOLE", 500)
+    assert np.allclose(order(ica.repaired(rows, method, rounds=8)), by_sums, atol=1e-6)
+    monkeypatch.setattr(ica, "WHOLE", 2000)
+    monkeypatch.setattr(ica, "fit", None)
+    assert np.allclose(order(ica.repaired(rows, method, rounds=8)), by_sums, atol=1e-6)
+    rows.unpersist()

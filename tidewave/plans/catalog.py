@@ -279,7 +279,7 @@ def trial_cov(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("conn_corr", f"WITH {_SAMPLES}, {_PAIRED.format(op='<')} SELECT signal_id, a, b, round(corr(x, y), 6) AS r FROM p GROUP BY ALL HAVING count(*) > 2 AND var_pop(x) > 0 AND var_pop(y) > 0")
 def conn_corr(spark: SparkSession, sf: str) -> DataFrame:
-    g = _paired(spark, sf, False).groupBy("signal_id", "a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    g = _paired(spark, sf, False).groupBy("signal_id", "a", "b").agg(statistics.correlation("x", "y").alias("r"), F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
     return g.where("n > 2 and vx > 0 and vy > 0").select("signal_id", "a", "b", F.round("r", 6).alias("r"))
 
 
@@ -543,7 +543,7 @@ _coupled("csd_morlet", lambda a, b: float(np.abs((kernels.morlet(a, 256.0, _FREQ
 def conn_spec_corr(spark: SparkSession, sf: str) -> DataFrame:
     p = signals.spectrum(tables.samples(spark, sf), 256.0)
     a, b = (p.select("signal_id", "bin", F.col("channel").alias(c), F.col("power").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-    r = a.join(b, ["signal_id", "bin"]).where("a < b").groupBy("signal_id", "a", "b").agg(F.corr("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    r = a.join(b, ["signal_id", "bin"]).where("a < b").groupBy("signal_id", "a", "b").agg(statistics.correlation("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
     return r.select("signal_id", "a", "b", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.round("r", 6)).alias("value"))
 
 

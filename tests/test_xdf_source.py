@@ -114,3 +114,30 @@ def test_not_a_recording(spark, tmp_path):
     (tmp_path / "x.xdf").write_bytes(b"nothing at all")
     with pytest.raises(Exception, match="not an XDF file"):
         xdf.read(spark, f"file://{tmp_path}").count()
+
+
+@pytest.mark.parametrize("what", ["index", "chunks", "footers"])
+def test_many_small_ranges_share_tasks(tmp_path, monkeypatch, what):
+    for i in range(40):
+        (tmp_path / f"{i}.xdf").write_bytes(mixed_file(np.random.default_rng(i)))
+    reader = xdf.Reader({"path": f"file://{tmp_path}", "what": what, "part_bytes": "700"})
+    rows = lambda parts: [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    monkeypatch.setattr(xdf, "MOST_TASKS", 10**6)
+    alone = reader.partitions()
+    monkeypatch.setattr(xdf, "MOST_TASKS", 8)
+    monkeypatch.setattr(xdf, "LEAST_TASKS", 5)
+    together = reader.partitions()
+    assert len(together) <= 8 and len(alone) >= 40
+    assert str(rows(together)) == str(rows(alone))
+
+
+def test_shared_ranges_stay_below_a_tasks_bytes():
+    small, large = [(f"s{i}", 0, 4000) for i in range(90_000)], [("l", i, xdf.PART_BYTES) for i in range(2000)]
+    assert 300 < len(xdf.shared(small)) < 500 and len(xdf.shared(large)) == 2000
+    assert [r for task in xdf.shared(small + large) for r in task] == small + large
+
+
+def test_a_channel_with_two_values_at_a_sample_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("s", 0, 0.0, "a", 1.0), ("s", 0, 0.0, "a", 2.0)], "stream string, seq long, ts double, channel string, value double")
+    with pytest.raises(Exception, match="several values"):
+        xdf.write(rows, f"file://{tmp_path}", 0.0).count()

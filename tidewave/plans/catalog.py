@@ -36,14 +36,14 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
 def xdf_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     s = tables.samples(spark, sf).where("channel = 'purchase'")
     rows = s.select(F.col("signal_id").cast("string").alias("stream"), "seq", (signals.micros("ts") / 1e6).alias("ts"), "channel", "value")
-    return xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: (x for b in it for c in b["content"] for x in xdf.decode(c)), xdf.SCHEMA).drop("text")
+    return xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: xdf.decode_all(c for b in it for c in b["content"]), xdf.SCHEMA).drop("text")
 
 
 @query("xdf_roundtrip_all", f"WITH {_SAMPLES} SELECT CAST(signal_id AS VARCHAR) AS stream, seq, epoch_us(ts) / 1000000.0::DOUBLE AS ts, channel, value FROM samples")
 def xdf_roundtrip_all(spark: SparkSession, sf: str) -> DataFrame:
     """All channels; as each has times of its own, each is a stream."""
     rows = tables.samples(spark, sf).select(F.concat_ws("/", "signal_id", "channel").alias("stream"), "seq", (signals.micros("ts") / 1e6).alias("ts"), "channel", "value")
-    found = xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: (x for b in it for c in b["content"] for x in xdf.decode(c)), xdf.SCHEMA).drop("text")
+    found = xdf.files(rows, 0.0).select("content").mapInPandas(lambda it: xdf.decode_all(c for b in it for c in b["content"]), xdf.SCHEMA).drop("text")
     return found.withColumn("stream", F.substring_index("stream", "/", 1))
 
 

@@ -16,6 +16,7 @@ import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,10 @@ CHUNK_ROWS = 4096
 SCHEMA = "stream string, seq long, ts double, channel string, value double, text string"
 #: Samples of a file, bytes of a range that one task reads, bytes in which a boundary mark is searched at once.
 FILE_ROWS, PART_BYTES, SEARCH_BYTES = 1 << 20, 64 << 20, 1 << 20
+#: Ranges up to whose number each is a task; of more, neighbours share one up to ``PART_BYTES`` or a share of 1 / ``LEAST_TASKS`` of all, with what a file and a range add to their bytes.
+MOST_TASKS, LEAST_TASKS, OPEN_BYTES, RANGE_BYTES = 1024, 64, 1 << 18, 1 << 14
+#: Rows and values that go to Spark at once.
+BATCH_ROWS, BATCH_VALUES = 1024, 1 << 18
 #: Ranges and streams up to whose number their places are broadcast.
 MOST_PLACES = 100_000
 
@@ -207,6 +212,35 @@ class Recording:
 
 def decode(data: bytes, lower: bool = False) -> Iterator[pd.DataFrame]:
     """The samples of each stream of a file at hand, chunk by chunk; ``lower``: labels in lower case."""
+    for chunk in _decoded(data, lower):
+        yield _frame([chunk])
+
+
+def decode_all(contents: Iterator[bytes], lower: bool = False) -> Iterator[pd.DataFrame]:
+    """As ``decode`` for files one after another, those that are small put together."""
+    held, size = [], 0
+    for data in contents:
+        for chunk in _decoded(data, lower):
+            held.append(chunk)
+            size += chunk[2].size
+            if size >= BATCH_VALUES:
+                yield _frame(held)
+                held, size = [], 0
+    if held:
+        yield _frame(held)
+
+
+def _frame(chunks: list[tuple[Head, list[str], np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Rows of chunks of (head, labels, values or texts, numbers of the samples, time stamps)."""
+    sizes = [x.size for _, _, x, _, _ in chunks]
+    number = np.concatenate([np.full(x.size, np.nan) if head.fmt == "string" else x.ravel() for head, _, x, _, _ in chunks])
+    text = np.concatenate([x.ravel().astype(object) if head.fmt == "string" else np.full(x.size, None, object) for head, _, x, _, _ in chunks])
+    spread = lambda k: np.concatenate([np.repeat(c[k], len(c[1])) for c in chunks])
+    labels = np.concatenate([np.tile(np.array(c[1], object), len(c[3])) for c in chunks])
+    return pd.DataFrame({"stream": np.repeat(np.array([c[0].name for c in chunks], object), sizes), "seq": spread(3), "ts": spread(4), "channel": labels, "value": number, "text": text})
+
+
+def _decoded(data: bytes, lower: bool) -> Iterator[tuple[Head, list[str], np.ndarray, np.ndarray, np.ndarray]]:
     recording = Recording(pa.BufferReader(data))
     heads, last, clocks = recording.heads(), {}, {}
     chunks = [(tag, data[a:b]) for tag, a, b in recording.chunks(4)]
@@ -224,9 +258,7 @@ def decode(data: bytes, lower: bool = False) -> Iterator[pd.DataFrame]:
             ts = _stamps(ts, seq, head.rate, stamp, stamp_at)
             last[body[:4]] = (seq + len(ts), ts[-1], seq + len(ts) - 1) if len(ts) else (seq, stamp, stamp_at)
             ts = _corrected(ts, clocks.get(body[:4]))
-            rows = head.first + np.arange(seq, seq + len(ts))
-            text = x.ravel() if head.fmt == "string" else None
-            yield pd.DataFrame({"stream": head.name, "seq": np.repeat(rows, len(labels)), "ts": np.repeat(ts, len(labels)), "channel": np.tile(labels, len(ts)), "value": np.nan if head.fmt == "string" else x.ravel(), "text": text}).astype({"text": object})
+            yield head, labels, x, head.first + np.arange(seq, seq + len(ts)), ts
 
 
 def _stamps(ts: np.ndarray, start: int, rate: float, stamp: float, stamp_at: int) -> np.ndarray:
@@ -250,8 +282,33 @@ def _corrected(ts: np.ndarray, clocks: list[dict] | None) -> np.ndarray:
 _CLOCKS = pa.list_(pa.struct([("when", pa.float64()), ("by", pa.float64())]))
 
 
+def shared(ranges: list[tuple], file: int = 0, size: int = -1) -> list[list[tuple]]:
+    """``ranges`` dealt to tasks in their order: few each by itself, of many as many together as make a task worthwhile. Columns ``file`` and ``size`` tell the file and the bytes of each."""
+    if len(ranges) <= MOST_TASKS:
+        return [[r] for r in ranges]
+    weights = [r[size] + RANGE_BYTES + (OPEN_BYTES if before is None or before[file] != r[file] else 0) for before, r in zip([None, *ranges], ranges)]
+    most, out, held = min(PART_BYTES, sum(weights) // LEAST_TASKS), [[]], 0
+    for r, w in zip(ranges, weights):
+        if out[-1] and held + w > most:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += w
+    return out
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(v), t) for v, t in zip(zip(*rows), kinds.values())], list(kinds))
+
+
 class Reader(DataSourceReader):
-    """Reads files in ranges of ``part_bytes``; a range goes from its first boundary mark to the first one beyond it."""
+    """Reads files in ranges of ``part_bytes``; a range goes from its first boundary mark to the first one beyond it. Many small ranges share a task."""
+
+    KINDS = {
+        "chunks": {"file": pa.string(), "part": pa.int32(), "stream": pa.string(), "labels": pa.list_(pa.string()), "at": pa.int64(), "stamps": pa.list_(pa.float64()), "numbers": pa.list_(pa.float64()), "texts": pa.list_(pa.string())},
+        "index": {"file": pa.string(), "part": pa.int32(), "stream": pa.string(), "rate": pa.float64(), "first": pa.int64(), "n": pa.int64(), "stamp": pa.float64(), "stamp_at": pa.int64(), "low": pa.float64(), "clocks": _CLOCKS},
+        "footers": {"stream": pa.string(), "first_timestamp": pa.float64(), "last_timestamp": pa.float64(), "sample_count": pa.int64()},
+    }
 
     def __init__(self, options: dict[str, str]):
         self.path, self.what, self.part_bytes = options["path"], options.get("what", "chunks"), int(options.get("part_bytes", PART_BYTES))
@@ -261,27 +318,39 @@ class Reader(DataSourceReader):
 
         store, top = fs.FileSystem.from_uri(self.path)
         found = [f for f in store.get_file_info(fs.FileSelector(top, recursive=True)) if f.is_file and f.extension == "xdf"] if store.get_file_info(top).type == fs.FileType.Directory else [store.get_file_info(top)]
-        parts = [(f.path, i) for f in sorted(found, key=lambda f: f.path) for i in range(1 if self.what == "footers" else -(-f.size // self.part_bytes))]
-        return [InputPartition(p) for p in parts]
+        ranges = [(f.path, i, min(f.size - i * self.part_bytes, self.part_bytes)) for f in sorted(found, key=lambda f: f.path) for i in range(1 if self.what == "footers" else -(-f.size // self.part_bytes))]
+        return [InputPartition([(path, [part for _, part, _ in own]) for path, own in groupby(parts, key=lambda r: r[0])]) for parts in shared(ranges)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         if partition is None or partition.value is None:
             return
-        path, part = partition.value
-        with fs.FileSystem.from_uri(self.path)[0].open_input_file(path) as file:
-            recording = Recording(file)
-            heads = recording.heads()
-            if self.what == "footers":
-                rows = recording.footers(heads)
-                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))], ["stream", "first_timestamp", "last_timestamp", "sample_count"])
-                return
+        store, _ = fs.FileSystem.from_uri(self.path)
+        kinds = self.KINDS[self.what]
+        held, size = [], 0
+        for path, parts in partition.value:
+            with store.open_input_file(path) as file:
+                for row, values in self._rows(Recording(file), path, parts):
+                    held.append(row)
+                    size += values
+                    if len(held) >= BATCH_ROWS or size >= BATCH_VALUES:
+                        yield _batch(held, kinds)
+                        held, size = [], 0
+        if held:
+            yield _batch(held, kinds)
+
+    def _rows(self, recording: Recording, path: str, parts: list[int]) -> Iterator[tuple[tuple, int]]:
+        """Rows of ranges of a file, with how many values each holds."""
+        heads = recording.heads()
+        if self.what == "footers":
+            yield from ((row, 1) for row in recording.footers(heads))
+            return
+        for part in parts:
             begin, stop = part * self.part_bytes, (part + 1) * self.part_bytes
             mark, start = recording.after_mark(begin) if part else (0, 4)
-            if mark >= stop:
-                return
-            yield from (self._index if self.what == "index" else self._chunks)(recording, heads, path, part, start, stop)
+            if mark < stop:
+                yield from (self._index if self.what == "index" else self._chunks)(recording, heads, path, part, start, stop)
 
     def _walk(self, recording: Recording, heads: dict[bytes, Head], start: int, stop: int) -> Iterator[tuple[int, bytes, bytes, Head | None]]:
         """(tag, content, stream, its head) of the samples and clock offsets of a range."""
@@ -294,7 +363,7 @@ class Reader(DataSourceReader):
             elif tag == BOUNDARY and b - len(BOUNDARY_MARK) >= stop:
                 return
 
-    def _index(self, recording: Recording, heads: dict[bytes, Head], path: str, part: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+    def _index(self, recording: Recording, heads: dict[bytes, Head], path: str, part: int, start: int, stop: int) -> Iterator[tuple[tuple, int]]:
         """Of each stream in a range: how many samples, the last time stamp written and its sample, the span, the clock offsets."""
         found: dict[bytes, dict] = {}
         for tag, body, stream, head in self._walk(recording, heads, start, stop):
@@ -308,11 +377,10 @@ class Reader(DataSourceReader):
                 own["stamp"], own["stamp_at"] = float(ts[at[-1]]), own["n"] + int(at[-1])
                 own["low"] = float(ts[at].min()) if own["low"] is None else min(own["low"], float(ts[at].min()))
             own["n"] += len(ts)
-        rows = [(path, part, v["head"].name, v["head"].rate, v["head"].first, v["n"], v["stamp"], v["stamp_at"], v["low"], v["clocks"]) for v in found.values()]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), _CLOCKS)
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["file", "part", "stream", "rate", "first", "n", "stamp", "stamp_at", "low", "clocks"])
+        for v in found.values():
+            yield (path, part, v["head"].name, v["head"].rate, v["head"].first, v["n"], v["stamp"], v["stamp_at"], v["low"], v["clocks"]), 1 + len(v["clocks"])
 
-    def _chunks(self, recording: Recording, heads: dict[bytes, Head], path: str, part: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+    def _chunks(self, recording: Recording, heads: dict[bytes, Head], path: str, part: int, start: int, stop: int) -> Iterator[tuple[tuple, int]]:
         """A row for each chunk of samples; time stamps lack only before the first one of the range."""
         seen: dict[bytes, tuple[int, float | None, int]] = {}
         for tag, body, stream, head in self._walk(recording, heads, start, stop):
@@ -327,8 +395,7 @@ class Reader(DataSourceReader):
                 stamp, stamp_at = float(ts[stamp_at]), at + stamp_at
             seen[stream] = (at + len(ts), stamp, stamp_at)
             text = head.fmt == "string"
-            columns = [pa.array([v], t) for v, t in ((path, pa.string()), (part, pa.int32()), (head.name, pa.string()), (head.labels, pa.list_(pa.string())), (at, pa.int64()), (ts, pa.list_(pa.float64())), (None if text else x.ravel(), pa.list_(pa.float64())), (x.ravel().tolist() if text else None, pa.list_(pa.string())))]
-            yield pa.record_batch(columns, ["file", "part", "stream", "labels", "at", "stamps", "numbers", "texts"])
+            yield (path, part, head.name, head.labels, at, ts, None if text else x.ravel(), x.ravel().tolist() if text else None), x.size
 
 
 class XdfSource(DataSource):
@@ -411,14 +478,20 @@ def files(samples: DataFrame, rate: float, kind: str = "signal", file_rows: int
     size = file_rows or FILE_ROWS
     row = F.dense_rank().over(Window.partitionBy("stream").orderBy("seq")) - 1
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        wide = t.pivot(index="seq", columns="channel", values=column).sort_index()
-        ts = t.groupby("seq")["ts"].min().sort_index()
-        x = wide.to_numpy() if fmt != "string" else wide.fillna("").to_numpy()
-        first = int(t["file"].iloc[0]) * size
-        return pd.DataFrame({"stream": [t["stream"].iloc[0]], "first": [first], "content": [encode(t["stream"].iloc[0], kind, rate, list(wide.columns), ts.to_numpy(), x, fmt, first=first)]})
-
-    return samples.withColumn("file", F.floor(row / size)).groupBy("stream", "file").applyInPandas(one, "stream string, first long, content binary")
+    def one(t: pa.Table) -> pa.Table:
+        seq, row = np.unique(t["seq"].to_numpy(), return_inverse=True)
+        names, channel = np.unique(np.array(t["channel"].to_pylist(), object), return_inverse=True)
+        if len(np.unique(row * len(names) + channel)) < len(row):
+            raise ValueError("a channel has several values at a sample")
+        x = np.full((len(seq), len(names)), "" if fmt == "string" else np.nan, object if fmt == "string" else float)
+        x[row, channel] = [v or "" for v in t[column].to_pylist()] if fmt == "string" else t[column].to_numpy()
+        ts = np.full(len(seq), np.nan)
+        np.fmin.at(ts, row, t["ts"].to_numpy())
+        name, first = t["stream"][0].as_py(), t["file"][0].as_py() * size
+        return pa.table({"stream": pa.array([name], pa.string()), "first": pa.array([first], pa.int64()), "content": pa.array([encode(name, kind, rate, names.tolist(), ts, x, fmt, first=first)], pa.binary())})
+
+    typed = samples.withColumns({"seq": F.col("seq").cast("long"), "ts": F.col("ts").cast("double"), column: F.col(column).cast("string" if fmt == "string" else "double"), "file": F.floor(row / size)})
+    return typed.groupBy("stream", "file").applyInArrow(one, "stream string, first long, content binary")
 
 
 def write(samples: DataFrame, path: str, rate: float, kind: str = "signal", file_rows: int = 0) -> DataFrame:

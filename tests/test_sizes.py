@@ -1,5 +1,6 @@
 """Faults that show on larger or odder tables than those at hand."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,3 +20,12 @@ def test_constant_channels_have_no_correlation(spark, tmp_path, name):
     rows = [(i, i * 60.0, 1, c, {"a": 3.0, "b": float(i % 7), "c": float(i % 5)}[c]) for i in range(60) for c in "abc"] + [(1000, 0.0, 2, "a", 1.0), (1001, 0.0, 2, "b", 2.0)]
     found = {(r[0], r[1], r[2]): r[3] for r in catalog.QUERIES[name](spark, events(spark, tmp_path, rows)).collect()}
     assert found.pop((1, "b", "c")) is not None and set(found.values()) <= {None}
+
+
+def test_dejitter_rounds_once(spark, tmp_path):
+    """A time just below half a second, that is half a second in whole microseconds."""
+    path = events(spark, tmp_path, [(0, 0.499999, 1, "a", 0.0), (1, 1.500003, 1, "a", 0.0), (2, 86402.500003, 1, "a", 0.0)])
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    expected = sorted(duck.execute(catalog.ORACLES["dejitter"]).fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["dejitter"](spark, path).collect())) == expected and expected[0][3] == 1704067200

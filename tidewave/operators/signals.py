@@ -168,12 +168,12 @@ def monotonic(samples: DataFrame) -> DataFrame:
 
 
 def dejittered(samples: DataFrame) -> DataFrame:
-    """Time stamps (microseconds ``us``) of each channel on the straight line that fits them."""
+    """Time stamps (microseconds ``us``; ``fit``, before they are rounded) of each channel on the straight line that fits them."""
     start = samples.groupBy(*SIGNAL).agg(F.min(micros("ts")).alias("origin"))
     at = samples.join(start, list(SIGNAL)).withColumn("late", (micros("ts") - F.col("origin")).cast("double"))
     line = at.groupBy(*SIGNAL).agg(F.regr_slope("late", "seq").alias("slope"), F.regr_intercept("late", "seq").alias("base"))
     fit = F.col("origin") + F.coalesce(F.col("base") + F.col("slope") * F.col("seq"), F.col("late"))
-    return at.join(line, list(SIGNAL)).select(*SIGNAL, "seq", F.round(fit).cast("long").alias("us"), "value")
+    return at.join(line, list(SIGNAL)).select(*SIGNAL, "seq", F.round(fit).cast("long").alias("us"), "value", fit.alias("fit"))
 
 
 def latest(left: DataFrame, right: DataFrame, value: str) -> DataFrame:

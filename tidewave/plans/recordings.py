@@ -146,7 +146,7 @@ def monotonize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dejitter", f"WITH {_JITTER}, o AS (SELECT *, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY signal_id, channel) AS late, min(epoch_us(ts)) OVER (PARTITION BY signal_id, channel) AS origin FROM j), l AS (SELECT signal_id, channel, regr_slope(late, seq) AS slope, regr_intercept(late, seq) AS base FROM o GROUP BY ALL) SELECT signal_id, channel, seq, (round((origin + coalesce(base + slope * seq, late)) / 1000000))::BIGINT AS second FROM o JOIN l USING (signal_id, channel)")
 def dejitter(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.dejittered(_jittered(spark, sf)).select("signal_id", "channel", "seq", F.round(F.col("us") / 1e6).cast("long").alias("second"))
+    return signals.dejittered(_jittered(spark, sf)).select("signal_id", "channel", "seq", F.round(F.col("fit") / 1e6).cast("long").alias("second"))
 
 
 @query("multi_input_sync", f"WITH {_SAMPLES}, v AS (SELECT signal_id, ts, value AS last_view FROM samples WHERE channel = 'view') SELECT s.signal_id, s.ts, s.seq, s.value, v.last_view FROM (SELECT * FROM samples WHERE channel = 'click') s ASOF LEFT JOIN v ON s.signal_id = v.signal_id AND s.ts >= v.ts")

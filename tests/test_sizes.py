@@ -1,9 +1,11 @@
 """Faults that show on larger or odder tables than those at hand."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewave.operators import models
 from tidewave.plans import catalog
 
 
@@ -29,3 +31,15 @@ def test_dejitter_rounds_once(spark, tmp_path):
     duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     expected = sorted(duck.execute(catalog.ORACLES["dejitter"]).fetchall())
     assert sorted(map(tuple, catalog.QUERIES["dejitter"](spark, path).collect())) == expected and expected[0][3] == 1704067200
+
+
+def test_mean_covariances_gather_no_trial(spark):
+    """Means of the covariances of trials, from sums of batches: no trial is a group in Python."""
+    rng = np.random.default_rng(0)
+    x = {(t, b): rng.normal(size=(20 + t, 3)) + 5 for t in range(6) for b in (0, 1)}
+    rows = [(t, "AR"[t % 2], b, i, v.tolist()) for (t, b), own in x.items() for i, v in enumerate(own)]
+    found = models.mean_covariances(spark.createDataFrame(rows, "trial_id long, class string, band int, seq long, x array<double>").repartition(5))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    for r in found.collect():
+        expected = np.mean([np.cov(x[t, r["band"]].T).ravel() for t in range(6) if "AR"[t % 2] == r["class"]], axis=0)
+        assert np.allclose(r["cov"], expected)

@@ -266,17 +266,15 @@ class FBCSP:
         return cls(d["classes"], {int(b): np.array(w) for b, w in d["filters"].items()}, [tuple(s) for s in d["selected"]], d["m"])
 
 
-def covariances(trials: DataFrame) -> DataFrame:
-    """(trial_id, class, band, cov): the channel covariance of each trial, row by row."""
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"trial_id": [t["trial_id"].iloc[0]], "class": [t["class"].iloc[0]], "band": [t["band"].iloc[0]], "cov": [np.cov(np.stack(t["x"].tolist()).T).ravel().tolist()]})
-
-    return trials.groupBy("trial_id", "band").applyInPandas(one, "trial_id long, class string, band int, cov array<double>")
-
-
-def mean_covariances(trials: DataFrame) -> DataFrame:
-    return averaged(covariances(trials))
+def mean_covariances(trials: DataFrame, channels: int | None = None) -> DataFrame:
+    """(class, band, cov): means over trials of the covariances of their ``channels`` (none: as many as the first row has), each an aggregate; a trial of one sample has none."""
+    if channels is None:
+        first = trials.select(F.size("x")).first()
+        channels = first[0] if first else 0
+    x = [F.get("x", F.lit(i)) for i in range(channels)]
+    upper = {(i, j): F.covar_samp(x[i], x[j]) for i in range(channels) for j in range(i, channels)}
+    own = trials.groupBy("trial_id", "class", "band").agg(F.count("*").alias("n"), *[v.alias(f"c{i}_{j}") for (i, j), v in upper.items()]).where("n > 1")
+    return averaged(own.select("class", "band", F.array(*[f"c{min(i, j)}_{max(i, j)}" for i in range(channels) for j in range(channels)]).alias("cov")))
 
 
 def averaged(cov: DataFrame) -> DataFrame:

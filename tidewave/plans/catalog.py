@@ -627,12 +627,12 @@ def _trials(spark: SparkSession, sf: str) -> DataFrame:
 @query("csp_cov_cells")
 def csp_cov_cells(spark: SparkSession, sf: str) -> DataFrame:
     """The mean covariances by cell."""
-    return models.mean_covariances(_trials(spark, sf)).select("class", "band", F.posexplode("cov").alias("cell", "v")).select("class", "band", F.col("cell").cast("long").alias("cell"), F.round("v", 6).alias("cov"))
+    return models.mean_covariances(_trials(spark, sf), len(tables.CHANNELS)).select("class", "band", F.posexplode("cov").alias("cell", "v")).select("class", "band", F.col("cell").cast("long").alias("cell"), F.round("v", 6).alias("cov"))
 
 
 @query("csp_cov")
 def csp_cov(spark: SparkSession, sf: str) -> DataFrame:
-    return models.mean_covariances(_trials(spark, sf))
+    return models.mean_covariances(_trials(spark, sf), len(tables.CHANNELS))
 
 
 @query("fbcsp_extract")

@@ -80,3 +80,16 @@ def test_markers_and_stamps(tmp_path):
     rows = [r for p in reader.partitions({}, end) for b in reader.read(p) for r in b.to_pylist()]
     assert [(r["stream"], r["seq"], r["ts"] and round(r["ts"], 9), r["value"] or r["text"]) for r in rows] == [("s", 0, None, 1), ("s", 1, 5.0, 2), ("s", 2, 5.1, 3), ("m", 0, 9.0, "é"), ("s", 3, 5.2, 1), ("s", 4, 5.0, 2), ("s", 5, 5.1, 3)]
     assert reader.partitions(end, end) == []
+
+
+def test_many_small_recordings_share_tasks(tmp_path, monkeypatch):
+    for i in range(50):
+        (tmp_path / f"{i}.xdf").write_bytes(xdf.encode(f"s{i}", "EEG", 10.0, ["p"], np.arange(4) / 10, np.full((4, 1), float(i))))
+    reader = live.LiveReader({"path": f"file://{tmp_path}"})
+    end = reader.latestOffset()
+    assert len(reader.partitions({}, end)) == 50
+    monkeypatch.setattr(xdf, "MOST_TASKS", 8)
+    monkeypatch.setattr(xdf, "LEAST_TASKS", 5)
+    parts = reader.partitions({}, end)
+    rows = [(r["stream"], r["seq"], r["value"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert len(parts) <= 8 and sorted(rows) == sorted((f"s{i}", k, float(i)) for i in range(50) for k in range(4))

@@ -5,7 +5,7 @@ folder as their chunks arrive. An offset tells for each file up to which byte it
 whole chunks were taken and how many samples of each stream came before, so a
 query that starts again from its checkpoint goes on where it stopped: nothing is
 lost and nothing comes twice. A chunk that is not whole yet waits. A trigger's
-bytes are read in ranges of ``part_bytes``, each by a task.
+bytes are read in ranges of ``part_bytes``, each by a task; many small ones share a task.
 
 Offsets hold an entry for each file. Clock offsets are not applied, as later ones
 would change what was given before; a time stamp that lacks is null where none
@@ -46,6 +46,10 @@ def _walk(recording: xdf.Recording, at: int, counts: dict[str, int], stop: int)
         at = end
 
 
+def _joined(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches() if batches else []
+
+
 class LiveReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.part_bytes = options["path"], int(options.get("part_bytes", xdf.PART_BYTES))
@@ -84,18 +88,32 @@ class LiveReader(DataSourceStreamReader):
             own = start.get(path, {"at": 4, "counts": {}})
             if own["at"] >= to["at"]:
                 continue
+            if to["at"] - own["at"] <= self.part_bytes:
+                out.append((path, own["at"], to["at"], own["counts"]))
+                continue
             with store.open_input_file(path) as file:
                 begin = own
                 for at, counts in _walk(xdf.Recording(file), own["at"], own["counts"], to["at"]):
                     if at - begin["at"] >= self.part_bytes or at == to["at"]:
-                        out.append(InputPartition((path, begin["at"], at, begin["counts"])))
+                        out.append((path, begin["at"], at, begin["counts"]))
                         begin = {"at": at, "counts": counts}
-        return out
+        tasks = xdf.shared([(*r, r[2] - r[1]) for r in out])
+        return [InputPartition([r[:4] for r in task]) for task in tasks]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        path, start, stop, counts = partition.value
-        counts, stamps = dict(counts), {}
         store, _ = self._store()
+        held, size = [], 0
+        for path, start, stop, counts in partition.value:
+            for rows in self._range(store, path, start, stop, counts):
+                held.append(rows)
+                size += rows.num_rows
+                if size >= xdf.BATCH_VALUES:
+                    yield from _joined(held)
+                    held, size = [], 0
+        yield from _joined(held)
+
+    def _range(self, store, path: str, start: int, stop: int, counts: dict[str, int]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        counts, stamps = dict(counts), {}
         with store.open_input_file(path) as file:
             recording = xdf.Recording(file)
             heads = recording.heads(stop=stop)

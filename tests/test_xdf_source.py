@@ -141,3 +141,21 @@ def test_a_channel_with_two_values_at_a_sample_is_refused(spark, tmp_path):
     rows = spark.createDataFrame([("s", 0, 0.0, "a", 1.0), ("s", 0, 0.0, "a", 2.0)], "stream string, seq long, ts double, channel string, value double")
     with pytest.raises(Exception, match="several values"):
         xdf.write(rows, f"file://{tmp_path}", 0.0).count()
+
+
+def test_files_of_many_streams_are_made_together(spark, monkeypatch):
+    """No stream is a group of its own in Python; files are the same wherever batches end, names as odd as they are."""
+    names = ["a", "b&<c>", "é", "", *map(str, range(40))]
+    rows = [(n, 3 * i, i / 4, c, float(i)) for k, n in enumerate(names) for i in range(1 + 7 * k % 23) for c in (["x"] if k % 3 else ["x", "ü>"])]
+    samples = spark.createDataFrame(rows, "stream string, seq long, ts double, channel string, value double").repartition(5)
+    made = xdf.files(samples, 4.0, file_rows=5)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    whole = {(r["stream"], r["first"]): bytes(r["content"]) for r in made.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        cut = {(r["stream"], r["first"]): bytes(r["content"]) for r in xdf.files(samples, 4.0, file_rows=5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert cut == whole and len(whole) == sum(-(-(1 + 7 * k % 23) // 5) for k in range(len(names)))
+    found = pd.concat(xdf.decode_all(iter(whole.values()))).fillna({"stream": ""})
+    assert sorted(map(tuple, found[["stream", "seq", "ts", "channel", "value"]].values.tolist())) == sorted((n, i // 3, t, c, v) for n, i, t, c, v in rows)

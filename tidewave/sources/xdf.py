@@ -16,7 +16,9 @@ import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import groupby
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
@@ -58,19 +60,29 @@ def _chunk(tag: int, content: bytes) -> bytes:
     return _sized(len(content) + 2) + struct.pack("<H", tag) + content
 
 
+def _tag(name: str, inner: object, plain: bool = True) -> str:
+    """An element of XML; ``plain``: what it holds is text, not elements."""
+    inner = escape(str(inner)) if plain else inner
+    return f"<{name}>{inner}</{name}>" if inner else f"<{name} />"
+
+
+@lru_cache(maxsize=1024)
+def _described(kind: str, rate: float, labels: tuple[str, ...], fmt: str, unit: str, first: int) -> str:
+    """What a stream header holds after the name."""
+    info = "".join(_tag(k, v) for k, v in (("type", kind), ("channel_count", len(labels)), ("nominal_srate", rate), ("channel_format", fmt)))
+    channels = "".join(_tag("channel", _tag("label", label or "") + _tag("unit", unit) + _tag("type", kind), False) for label in labels)
+    return info + _tag("desc", (_tag("first_sample", first) if first else "") + _tag("channels", channels, False), False)
+
+
 def _header(name: str, kind: str, rate: float, labels: list[str], fmt: str, unit: str, first: int = 0) -> bytes:
-    info = ET.Element("info")
-    for k, v in (("name", name), ("type", kind), ("channel_count", len(labels)), ("nominal_srate", rate), ("channel_format", fmt)):
-        ET.SubElement(info, k).text = str(v)
-    desc = ET.SubElement(info, "desc")
-    if first:
-        ET.SubElement(desc, "first_sample").text = str(first)
-    channels = ET.SubElement(desc, "channels")
-    for label in labels:
-        channel = ET.SubElement(channels, "channel")
-        for k, v in (("label", label), ("unit", unit), ("type", kind)):
-            ET.SubElement(channel, k).text = v
-    return ET.tostring(info)
+    info = _tag("info", _tag("name", name) + _described(kind, rate, tuple(labels), fmt, unit, first), False)
+    return info.encode("ascii", "xmlcharrefreplace")
+
+
+@lru_cache(maxsize=256)
+def _row(fmt: str, channels: int) -> np.dtype:
+    """A sample with its time stamp."""
+    return np.dtype([("has", "u1"), ("ts", "<f8"), ("x", DTYPES[fmt], (channels,))])
 
 
 def encode(name: str, kind: str, rate: float, labels: list[str], ts: np.ndarray, x: np.ndarray, fmt: str = "double64", offsets: list[tuple[float, float]] = (), unit: str = "", first: int = 0) -> bytes:
@@ -80,9 +92,7 @@ def encode(name: str, kind: str, rate: float, labels: list[str], ts: np.ndarray,
     """
     if fmt == "string" and rate:
         raise ValueError("a stream of markers has no regular rate")
-    footer = ET.Element("info")
-    for k, v in (("first_timestamp", ts[0] if len(ts) else 0), ("last_timestamp", ts[-1] if len(ts) else 0), ("sample_count", len(ts))):
-        ET.SubElement(footer, k).text = repr(float(v)) if k != "sample_count" else str(v)
+    footer = _tag("first_timestamp", repr(float(ts[0] if len(ts) else 0))) + _tag("last_timestamp", repr(float(ts[-1] if len(ts) else 0))) + _tag("sample_count", len(ts))
     one = struct.pack("<I", 1)
     out = [MAGIC, _chunk(FILE_HEADER, b"<?xml version='1.0'?><info><version>1.0</version></info>"), _chunk(STREAM_HEADER, one + _header(name, kind, rate, labels, fmt, unit, first))]
     for at in range(0, max(1, len(ts)), CHUNK_ROWS):
@@ -91,12 +101,12 @@ def encode(name: str, kind: str, rate: float, labels: list[str], ts: np.ndarray,
             texts = ([str(v).encode() for v in row] for row in part)
             body = b"".join(b"\x08" + struct.pack("<d", when) + b"".join(_sized(len(v)) + v for v in row) for when, row in zip(t, texts))
         else:
-            rows = np.zeros(len(t), np.dtype([("has", "u1"), ("ts", "<f8"), ("x", DTYPES[fmt], (len(labels),))]))
+            rows = np.empty(len(t), _row(fmt, len(labels)))
             rows["has"], rows["ts"], rows["x"] = 8, t, part
             body = rows.tobytes()
         out += [_chunk(SAMPLES, one + _sized(len(t)) + body), _chunk(BOUNDARY, BOUNDARY_MARK)]
     out += [_chunk(CLOCK_OFFSET, one + struct.pack("<dd", when, by)) for when, by in offsets]
-    return b"".join([*out, _chunk(STREAM_FOOTER, one + ET.tostring(footer))])
+    return b"".join([*out, _chunk(STREAM_FOOTER, one + _tag("info", footer, False).encode())])
 
 
 def _length(data: bytes, at: int) -> tuple[int, int]:
@@ -108,7 +118,7 @@ def _samples(body: bytes, labels: list[str], fmt: str) -> tuple[np.ndarray, np.n
     """Time stamps (NaN where they lack) and values of a chunk."""
     n, p = _length(body, 4)
     if fmt != "string":
-        row = np.dtype([("has", "u1"), ("ts", "<f8"), ("x", DTYPES[fmt], (len(labels),))])
+        row = _row(fmt, len(labels))
         if len(body) - p == n * row.itemsize:
             rows = np.frombuffer(body, row, n, p)
             if (rows["has"] == 8).all():
@@ -240,10 +250,20 @@ def _frame(chunks: list[tuple[Head, list[str], np.ndarray, np.ndarray, np.ndarra
     return pd.DataFrame({"stream": np.repeat(np.array([c[0].name for c in chunks], object), sizes), "seq": spread(3), "ts": spread(4), "channel": labels, "value": number, "text": text})
 
 
+def _walked(data: bytes) -> Iterator[tuple[int, int, int]]:
+    """As ``Recording.chunks`` for a file at hand."""
+    where = 4
+    while where < len(data):
+        size, begin = _length(data, where)
+        yield int.from_bytes(data[begin : begin + 2], "little"), begin + 2, begin + size
+        where = begin + size
+
+
 def _decoded(data: bytes, lower: bool) -> Iterator[tuple[Head, list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    recording = Recording(pa.BufferReader(data))
-    heads, last, clocks = recording.heads(), {}, {}
-    chunks = [(tag, data[a:b]) for tag, a, b in recording.chunks(4)]
+    if data[:4] != MAGIC:
+        raise ValueError("not an XDF file")
+    heads, last, clocks = {}, {}, {}
+    chunks = [(tag, data[a:b]) for tag, a, b in _walked(data)]
     for tag, body in chunks:
         if tag == CLOCK_OFFSET:
             clocks.setdefault(body[:4], []).append(dict(zip(("when", "by"), struct.unpack_from("<dd", body, 4))))
@@ -477,21 +497,61 @@ def files(samples: DataFrame, rate: float, kind: str = "signal", file_rows: int
     column, fmt = ("text", "string") if "text" in samples.columns else ("value", "double64")
     size = file_rows or FILE_ROWS
     row = F.dense_rank().over(Window.partitionBy("stream").orderBy("seq")) - 1
+    empty = "" if fmt == "string" else np.nan
 
-    def one(t: pa.Table) -> pa.Table:
-        seq, row = np.unique(t["seq"].to_numpy(), return_inverse=True)
-        names, channel = np.unique(np.array(t["channel"].to_pylist(), object), return_inverse=True)
+    def grid(seq: np.ndarray, ts: np.ndarray, channel: np.ndarray, value: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Channels, time stamps and samples by channels of rows in any order."""
+        seq, row = np.unique(seq, return_inverse=True)
+        names, channel = np.unique(channel, return_inverse=True)
         if len(np.unique(row * len(names) + channel)) < len(row):
             raise ValueError("a channel has several values at a sample")
-        x = np.full((len(seq), len(names)), "" if fmt == "string" else np.nan, object if fmt == "string" else float)
-        x[row, channel] = [v or "" for v in t[column].to_pylist()] if fmt == "string" else t[column].to_numpy()
-        ts = np.full(len(seq), np.nan)
-        np.fmin.at(ts, row, t["ts"].to_numpy())
-        name, first = t["stream"][0].as_py(), t["file"][0].as_py() * size
-        return pa.table({"stream": pa.array([name], pa.string()), "first": pa.array([first], pa.int64()), "content": pa.array([encode(name, kind, rate, names.tolist(), ts, x, fmt, first=first)], pa.binary())})
-
-    typed = samples.withColumns({"seq": F.col("seq").cast("long"), "ts": F.col("ts").cast("double"), column: F.col(column).cast("string" if fmt == "string" else "double"), "file": F.floor(row / size)})
-    return typed.groupBy("stream", "file").applyInArrow(one, "stream string, first long, content binary")
+        x = np.full((len(seq), len(names)), empty, object if fmt == "string" else float)
+        x[row, channel] = value
+        when = np.full(len(seq), np.nan)
+        np.fmin.at(when, row, ts)
+        return names.tolist(), when, x
+
+    def made(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """A row for each file; ``starts`` are the first rows of the files."""
+        seq, ts = rows["seq"].to_numpy(), rows["ts"].to_numpy()
+        value = np.array([v or "" for v in rows[column].to_pylist()], object) if fmt == "string" else rows[column].to_numpy()
+        channel = np.array(rows["channel"].to_pylist(), object)
+        # a channel by itself, in order, needs no grid
+        mixed = ~(seq[1:] > seq[:-1]) | (channel[1:] != channel[:-1])
+        mixed[starts[1:] - 1] = False
+        mixed = np.add.reduceat(np.append(mixed, False), starts) > 0
+        firsts, contents = rows["file"].to_numpy()[starts] * size, []
+        streams = rows["stream"].take(pa.array(starts))
+        for name, first, a, b, several in zip(streams.to_pylist(), firsts.tolist(), starts.tolist(), [*starts[1:].tolist(), len(seq)], mixed.tolist()):
+            names, when, x = grid(seq[a:b], ts[a:b], channel[a:b], value[a:b]) if several else ([channel[a]], ts[a:b], value[a:b, None])
+            contents.append(encode(name, kind, rate, names, when, x, fmt, first=first))
+        return pa.record_batch([pa.array(streams.to_pylist(), pa.string()), pa.array(firsts, pa.int64()), pa.array(contents, pa.binary())], ["stream", "first", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last file, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            stream = batch["stream"].dictionary_encode("encode").indices.to_numpy()
+            file = batch["file"].to_numpy()
+            starts = np.flatnonzero((stream[1:] != stream[:-1]) | (file[1:] != file[:-1])) + 1
+            if not held or any(held[-1][k][-1] != batch[k][0] for k in ("stream", "file")):
+                starts = np.concatenate([[0], starts])
+            if not len(starts):
+                held.append(batch)
+                continue
+            if held:
+                yield made(pa.Table.from_batches([*held, batch.slice(0, starts[0])]), np.zeros(1, int))
+            if len(starts) > 1:
+                yield made(pa.Table.from_batches([batch.slice(starts[0], starts[-1] - starts[0])]), starts[:-1] - starts[0])
+            held = [batch.slice(starts[-1])]
+        if held:
+            yield made(pa.Table.from_batches(held), np.zeros(1, int))
+
+    typed = samples.select("stream", F.col("seq").cast("long").alias("seq"), F.col("ts").cast("double").alias("ts"), "channel", F.col(column).cast("string" if fmt == "string" else "double").alias(column))
+    # the window deals out whole streams in this order, so a task gets the rows of a file one after another
+    ordered = typed.withColumn("file", F.floor(row / size)).sortWithinPartitions("stream", "seq")
+    return ordered.mapInArrow(run, "stream string, first long, content binary")
 
 
 def write(samples: DataFrame, path: str, rate: float, kind: str = "signal", file_rows: int = 0) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidewave.operators import filterbank, models
+from tidewave.plans import banks
 
 SHAPE = "trial_id long, class string, seq long, x array<double>"
 
@@ -70,3 +71,41 @@ def test_planted_band(spark):
     lda = models.Discriminant.fit(features.where("row_id < 40"))
     assert lda.predict(features.where("row_id >= 40")).where("class = prediction").count() >= 19
     cov.unpersist()
+
+
+def test_responses_are_made_once_for_a_length(monkeypatch):
+    made = []
+    design = filterbank.kernels.windowed_sinc
+    monkeypatch.setattr(filterbank.kernels, "windowed_sinc", lambda *a, **k: made.append(a) or design(*a, **k))
+    bank = filterbank.Bank.spaced(127.0, length=31)
+    x = np.random.default_rng(1).standard_normal((40, 3))
+    for _ in range(50):
+        y = np.stack(list(bank.apply(x)))
+    assert np.allclose(y, whole(x, bank))
+    made.clear()
+    list(bank.apply(x))
+    assert not made
+
+
+def test_filter_bank_shuffles_line_items_twice(spark, sf):
+    """Once by supplier and once by block: trials are numbered where their supplier's rows are."""
+    plan = banks.filter_bank(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_rounded_in_the_tasks(spark):
+    rows = [(1, "a", s, [v]) for s, v in enumerate((0.126, -0.126, 0.3749))]
+    bank = filterbank.Bank(2.0, ((0.0, 1.0),), 1)  # passes what it gets
+    found = filterbank.filtered(spark.createDataFrame(rows, SHAPE), bank, digits=2).orderBy("seq").collect()
+    assert np.allclose([r["x"][0] for r in found], [0.13, -0.13, 0.37], atol=1e-12)
+
+
+def test_sums_of_a_trial_travel_as_one_row(spark, some):
+    """With the channels known the sums are columns, not rows; covariances are those of the other form."""
+    x, trials = some
+    bank = filterbank.Bank.spaced(128.0, length=33)
+    made = filterbank.covariances(trials, bank, 16, channels=4)
+    assert "Generate posexplode(p" not in made._jdf.queryExecution().toString()
+    found = {(r["trial_id"], r["band"]): r["cov"] for r in made.collect()}
+    other = {(r["trial_id"], r["band"]): r["cov"] for r in filterbank.covariances(trials, bank, 16).collect()}
+    assert found.keys() == other.keys() and all(np.allclose(found[k], other[k]) for k in other)

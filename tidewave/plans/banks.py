@@ -36,19 +36,19 @@ _cells = " UNION ALL ".join(f"SELECT trial_id, class, band, {4 * a + b} AS cell,
 @query("filter_bank", f"{_BANKED} SELECT trial_id, class, band, seq, {', '.join(f'round(x{i}, 4) + 0.0::DOUBLE AS x{i}' for i in range(4))} FROM banked")
 def filter_bank(spark: SparkSession, sf: str) -> DataFrame:
     """All trials through nine bands from 4 to 40 Hz."""
-    out = filterbank.filtered(trials(spark, sf), BANK)
-    return out.select("trial_id", "class", "band", "seq", *[(F.round(F.col("x")[i], 4) + 0.0).alias(f"x{i}") for i in range(4)])
+    out = filterbank.filtered(trials(spark, sf), BANK, digits=4)
+    return out.select("trial_id", "class", "band", "seq", *[(F.col("x")[i] + 0.0).alias(f"x{i}") for i in range(4)])
 
 
 @query("fbcsp_bank_cov", f"{_BANKED}, c AS ({_cells}) SELECT class, band, cell, round(avg(v), 6) AS cov FROM c GROUP BY ALL")
 def fbcsp_bank_cov(spark: SparkSession, sf: str) -> DataFrame:
     """Mean channel covariances of each class and band, by cell."""
-    mean = models.averaged(filterbank.covariances(trials(spark, sf), BANK))
+    mean = models.averaged(filterbank.covariances(trials(spark, sf), BANK, channels=len(tables.CHANNELS)))
     return mean.select("class", "band", F.posexplode("cov").alias("cell", "v")).select("class", "band", F.col("cell").cast("long").alias("cell"), F.round("v", 6).alias("cov"))
 
 
 @query("fbcsp_bank")
 def fbcsp_bank(spark: SparkSession, sf: str) -> DataFrame:
     """Selected features of all trials; each trial is filtered once, all further steps read its covariances."""
-    cov = tables.stored(filterbank.covariances(trials(spark, sf), BANK), "covariances")
+    cov = tables.stored(filterbank.covariances(trials(spark, sf), BANK, channels=len(tables.CHANNELS)), "covariances")
     return models.FBCSP.fit_covariances(cov).transform_covariances(cov)

@@ -44,9 +44,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as samples: a signal for each user, a channel for each type, ``seq`` in order of time per channel."""
-    order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    df = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
-    return df.select(F.col("user_id").alias("signal_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), "ts", F.col("event_type").alias("channel"), "value")
+    order = Window.partitionBy("signal_id", "channel").orderBy("ts", "event_id")
+    df = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("signal_id"), F.col("event_type").alias("channel"), "value")
+    # numbered by the names that rows leave with, so what groups by them needs no shuffle of its own
+    return df.select("signal_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "ts", "channel", "value")
 
 
 def markers(spark: SparkSession, sf_dir: str, name: str = "purchase") -> DataFrame:
@@ -56,9 +57,9 @@ def markers(spark: SparkSession, sf_dir: str, name: str = "purchase") -> DataFra
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as rows of four channels, a signal for each supplier."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    df = table(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", *CHANNELS)
-    return df.select(F.col("l_suppkey").alias("signal_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), F.col("l_returnflag").alias("class"), *CHANNELS)
+    order = Window.partitionBy("signal_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("signal_id"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("class"), *CHANNELS)
+    return df.select("signal_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "class", *CHANNELS)
 
 
 def melt(df: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:

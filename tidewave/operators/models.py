@@ -237,12 +237,13 @@ class FBCSP:
 
         @F.pandas_udf("array<double>")
         def shares(band: pd.Series, cov: pd.Series) -> pd.Series:
-            def one(b, c):  # noqa: ANN001, ANN202
+            out, own = np.empty((len(band), 2 * m)), band.to_numpy()
+            for b in np.unique(own):
                 w = filters[b][np.r_[0:m, len(filters[b]) - m : len(filters[b])]]
-                var = np.einsum("ij,jk,ik->i", w, np.reshape(c, (w.shape[1], -1)), w)
-                return np.log(var / var.sum()).tolist()
-
-            return pd.Series([one(b, c) for b, c in zip(band, cov)], dtype=object)
+                c = np.stack(cov[own == b].tolist()).reshape(-1, w.shape[1], w.shape[1])
+                var = np.einsum("ij,tjk,ik->ti", w, c, w)
+                out[own == b] = np.log(var / var.sum(1, keepdims=True))
+            return pd.Series(list(out), dtype=object)
 
         each = cov.where(F.col("band").isin(bands)).select("trial_id", "class", "band", shares("band", "cov").alias("f"))
         whole = each.groupBy("trial_id", "class").agg(F.array_sort(F.collect_list(F.struct("band", "f"))).alias("bands"))

@@ -59,3 +59,29 @@ def test_blocks_equal_the_recurrence(spark, size, fan):
 
 def test_nothing(spark):
     assert recursive.forward(spark.createDataFrame([], SHAPE), recursive.notch(256.0, 50.0)).count() == 0
+
+
+def test_inputs_together_equal_each_by_itself():
+    rng = np.random.default_rng(5)
+    s = recursive.butterworth(256.0, [48, 52], "stop")
+    xs = [rng.standard_normal(n) for n in (3, 0, 63, 1, 20, 63)]
+    for y, x in zip(recursive.together(s, xs), xs):
+        assert y.tolist() == recursive.run(s, x, np.zeros(8))[0].tolist()
+    assert recursive.together(s, []) == []
+
+
+def test_channels_of_one_block_are_no_groups(spark, monkeypatch):
+    """Channels shorter than a block go through in batches: no scan, no group in Python for each."""
+    samples = spark.createDataFrame([(i, "a", k, float(k + i)) for i in range(30) for k in range(1 + 4 * i)], SHAPE).repartition(4)
+    monkeypatch.setattr(recursive, "_scan", None)
+    s = recursive.butterworth(256.0, [4, 40], "band", 2)
+    for made, ways in ((recursive.forward, 1), (recursive.both_ways, 2)):
+        found = made(samples, s)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+        found = found.toPandas()
+        for i, own in found.groupby("signal_id"):
+            y = np.arange(1 + 4 * i) + float(i)
+            for _ in range(ways):
+                y = recursive.run(s, y, np.zeros(4))[0][::-1]
+            assert np.allclose(own.sort_values("seq").value, y if ways == 2 else y[::-1])
+        assert len(found) == samples.count()

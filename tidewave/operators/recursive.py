@@ -10,7 +10,7 @@ and on groups of groups, so no task walks through a channel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -79,6 +79,27 @@ def run(sections: Sections, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarra
     return out, np.array(s)
 
 
+def together(sections: Sections, xs: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """The outputs of ``run`` from rest for several inputs at once, a step of all for each sample."""
+    sizes = np.array([len(x) for x in xs], int)
+    order = np.argsort(-sizes, kind="stable")
+    held = np.zeros((len(xs), sizes.max(initial=0)))
+    held[np.arange(held.shape[1]) < sizes[order][:, None]] = np.concatenate([np.empty(0), *(xs[i] for i in order)])
+    held, s = np.ascontiguousarray(held.T), np.zeros((2 * len(sections), len(xs)))
+    for i, row in enumerate(held):
+        live = np.searchsorted(-sizes[order], -i)  # inputs of more than i samples
+        v = row[:live]
+        for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+            y = b0 * v + s[2 * k, :live]
+            s[2 * k, :live], s[2 * k + 1, :live] = b1 * v - a1 * y + s[2 * k + 1, :live], b2 * v - a2 * y
+            v = y
+        row[:live] = v
+    out: list[np.ndarray] = [None] * len(xs)
+    for place, i in enumerate(order):
+        out[i] = held[: sizes[i], place]
+    return out
+
+
 class System:
     """A cascade as matrices over ``STRIDE`` samples: outputs and state from inputs and state."""
 
@@ -128,13 +149,13 @@ _KEYS = list(signals.SIGNAL)
 _STATE = "signal_id {id}, channel string, block long"
 
 
-def _scan(ends: DataFrame, sections: Sections, fan: int) -> DataFrame:
-    """(signal_id, channel, block, start) from (signal_id, channel, block, n, c): the state before each block."""
+def _scan(ends: DataFrame, sections: Sections, fan: int, back: bool = False) -> DataFrame:
+    """(signal_id, channel, block, start) from (signal_id, channel, block, n, c): the state before each block, ``back``: coming from the last."""
     kind = ends.schema["signal_id"].dataType.simpleString()
     shape = _STATE.format(id=kind)
 
     def chain(t: pa.Table, start: np.ndarray) -> tuple[pa.Table, list[np.ndarray], np.ndarray, int]:
-        t = t.sort_by("block")
+        t = t.sort_by([("block", "descending" if back else "ascending")])
         s, out, total = start, [], 0
         for n, c in zip(t["n"].to_pylist(), t["c"].to_pylist()):
             out.append(s)
@@ -158,33 +179,70 @@ def _scan(ends: DataFrame, sections: Sections, fan: int) -> DataFrame:
         return ends.groupBy(*_KEYS).applyInArrow(starts, f"{shape}, start array<double>")
     grouped = ends.withColumn("group", F.floor(F.col("block") / fan))
     above = stored(grouped.groupBy(*_KEYS, "group").applyInArrow(totals, f"{shape}, n long, c array<double>"), "iir-groups")
-    begins = _scan(above, sections, fan).select(*_KEYS, F.col("block").alias("group"), F.col("start").alias("begin"))
+    begins = _scan(above, sections, fan, back).select(*_KEYS, F.col("block").alias("group"), F.col("start").alias("begin"))
     return grouped.join(begins, [*_KEYS, "group"]).groupBy(*_KEYS, "group").applyInArrow(starts, f"{shape}, start array<double>")
 
 
-def forward(samples: DataFrame, sections: Sections, size: int = BLOCK, fan: int = FAN) -> DataFrame:
-    """``samples`` (signal_id, channel, seq from 0 on, value) through the cascade, from rest."""
-    framed = stored(signals.frames(signals.blocks(samples, size), (*_KEYS, "block")), "iir-blocks")
+def _alone(framed: DataFrame, ways: Sequence[bool], sections: Sections) -> DataFrame:
+    """(signal_id, channel, block, y): channels of one block through the cascade from rest, once for each of ``ways`` (True: from the end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = system(sections)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch["x"].value_lengths().to_numpy()
+            xs = np.split(batch["x"].flatten().to_numpy(zero_copy_only=False).astype(float, copy=False), np.cumsum(sizes)[:-1])
+            short = np.flatnonzero(sizes < STRIDE)
+            for back in ways:
+                xs = [x[::-1] for x in xs] if back else xs
+                done = dict(zip(short.tolist(), together(sections, [xs[i] for i in short])))
+                xs = [done[i] if i in done else own.apply(x, np.zeros(own.size))[0] for i, x in enumerate(xs)]
+                xs = [x[::-1] for x in xs] if back else xs
+            y = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(xs)))
+            yield pa.record_batch([*(batch[k] for k in (*_KEYS, "block")), y], [*_KEYS, "block", "y"])
+
+    kind = framed.schema["signal_id"].dataType.simpleString()
+    return framed.select(*_KEYS, "block", "x").mapInArrow(run, f"{_STATE.format(id=kind)}, y array<double>")
+
+
+def _cascade(framed: DataFrame, sections: Sections, fan: int, back: bool) -> DataFrame:
+    """(signal_id, channel, block, y): channels of any number of blocks, which start from the states that a scan finds; ``back``: from the end."""
+    order = slice(None, None, -1 if back else 1)
 
     @F.pandas_udf("array<double>")
     def end(x: pd.Series) -> pd.Series:
         own = system(sections)
-        return pd.Series([own.apply(np.asarray(v, float), np.zeros(own.size))[1].tolist() for v in x], dtype=object)
+        return pd.Series([own.apply(np.asarray(v, float)[order], np.zeros(own.size))[1].tolist() for v in x], dtype=object)
 
     @F.pandas_udf("array<double>")
     def through(x: pd.Series, start: pd.Series) -> pd.Series:
         own = system(sections)
-        return pd.Series([own.apply(np.asarray(v, float), np.asarray(s, float))[0].tolist() for v, s in zip(x, start)], dtype=object)
-
-    ends = stored(framed.select(*_KEYS, F.col("block").cast("long").alias("block"), F.size("x").cast("long").alias("n"), end("x").alias("c")), "iir-ends")
-    starts = _scan(ends, sections, fan)
-    out = framed.join(starts, [*_KEYS, "block"]).select(*_KEYS, "block", through("x", "start").alias("y"))
+        return pd.Series([own.apply(np.asarray(v, float)[order], np.asarray(s, float))[0][order].tolist() for v, s in zip(x, start)], dtype=object)
+
+    ends = stored(framed.select(*_KEYS, "block", F.size("x").cast("long").alias("n"), end("x").alias("c")), "iir-ends")
+    starts = _scan(ends, sections, fan, back)
+    return framed.join(starts, [*_KEYS, "block"]).select(*_KEYS, "block", through("x", "start").alias("y"))
+
+
+def _filtered(samples: DataFrame, ways: Sequence[bool], sections: Sections, size: int, fan: int) -> DataFrame:
+    """``samples`` through the cascade, from rest, once for each of ``ways``; channels of less than a block need no scan."""
+    framed = signals.frames(signals.blocks(samples, size), (*_KEYS, "block")).withColumn("block", F.col("block").cast("long"))
+    framed = stored(framed.withColumn("n", F.size("x")), "iir-blocks")
+    alone = (F.col("block") == 0) & (F.col("n") < size)
+    out, several = _alone(framed.where(alone), ways, sections), framed.where(~alone)
+    if not several.isEmpty():
+        for i, back in enumerate(ways):
+            several = _cascade(several if not i else stored(several.withColumnRenamed("y", "x"), "iir-once"), sections, fan, back)
+        out = out.unionByName(several)
     return signals.core(out, size, 0).select(*_KEYS, "seq", "value")
 
 
+def forward(samples: DataFrame, sections: Sections, size: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """``samples`` (signal_id, channel, seq from 0 on, value) through the cascade, from rest."""
+    return _filtered(samples, (False,), sections, size, fan)
+
+
 def both_ways(samples: DataFrame, sections: Sections, size: int = BLOCK, fan: int = FAN) -> DataFrame:
     """Forwards and then backwards, each from rest: no shift of phase, the gain squared."""
-    once = forward(samples, sections, size, fan)
-    last = samples.groupBy(*_KEYS).agg(F.max("seq").alias("last"))
-    turn = lambda df: df.join(last, _KEYS).select(*_KEYS, (F.col("last") - F.col("seq")).alias("seq"), "value")
-    return turn(forward(turn(once), sections, size, fan))
+    return _filtered(samples, (False, True), sections, size, fan)

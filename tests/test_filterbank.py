@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidewave.operators import filterbank, models
-from tidewave.plans import banks
+from tidewave.plans import banks, catalog
 
 SHAPE = "trial_id long, class string, seq long, x array<double>"
 
@@ -109,3 +109,13 @@ def test_sums_of_a_trial_travel_as_one_row(spark, some):
     found = {(r["trial_id"], r["band"]): r["cov"] for r in made.collect()}
     other = {(r["trial_id"], r["band"]): r["cov"] for r in filterbank.covariances(trials, bank, 16).collect()}
     assert found.keys() == other.keys() and all(np.allclose(found[k], other[k]) for k in other)
+
+
+def test_trials_of_line_items_are_read_and_sorted_once(spark, sf):
+    """One scan, one sort of the two flags' rows, and covariances without rows in Python: a task holds no more than a sort."""
+    cov = filterbank.raw_covariances(catalog._trials(spark, sf), 4)
+    plan = cov._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Sort [") == 1 and "MapInArrow" not in plan
+    found = {(r["trial_id"], r["band"]): r["cov"] for r in cov.collect()}
+    other = {(r["trial_id"], r["band"]): r["cov"] for r in filterbank.raw_covariances(catalog._trials(spark, sf)).collect()}
+    assert found.keys() == other.keys() and all(np.allclose(found[k], other[k]) for k in other)

@@ -164,7 +164,12 @@ def from_sums(parts: DataFrame, channels: int | None = None) -> DataFrame:
 
 
 def raw_covariances(trials: DataFrame, channels: int | None = None) -> DataFrame:
-    """As ``covariances`` for trials (trial_id, class, band, seq, x) that are filtered already; each batch sums its rows first."""
+    """As ``covariances`` for trials (trial_id, class, band, seq, x) that are filtered already: with ``channels`` known each is an aggregate, else each batch sums its rows first."""
+    if channels is not None:
+        x = [F.get("x", F.lit(i)) for i in range(channels)]
+        upper = {(i, j): F.covar_samp(x[i], x[j]) for i in range(channels) for j in range(i, channels)}
+        own = trials.groupBy("trial_id", "class", "band").agg(F.count("*").alias("n"), *[v.alias(f"c{i}_{j}") for (i, j), v in upper.items()]).where("n > 1")
+        return own.select("trial_id", "class", F.col("band").cast("int").alias("band"), F.array(*[f"c{min(i, j)}_{max(i, j)}" for i in range(channels) for j in range(channels)]).alias("cov"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,4 +186,4 @@ def raw_covariances(trials: DataFrame, channels: int | None = None) -> DataFrame
             first = pa.array(order[start])
             yield pa.record_batch([*(batch[k].take(first) for k in ("trial_id", "class", "band")), pa.array(found, pa.list_(pa.float64()))], ["trial_id", "class", "band", "p"])
 
-    return from_sums(trials.select("trial_id", "class", F.col("band").cast("int").alias("band"), "x").mapInArrow(sums, "trial_id long, class string, band int, p array<double>"), channels)
+    return from_sums(trials.select("trial_id", "class", F.col("band").cast("int").alias("band"), "x").mapInArrow(sums, "trial_id long, class string, band int, p array<double>"))

@@ -272,10 +272,7 @@ def mean_covariances(trials: DataFrame, channels: int | None = None) -> DataFram
     if channels is None:
         first = trials.select(F.size("x")).first()
         channels = first[0] if first else 0
-    x = [F.get("x", F.lit(i)) for i in range(channels)]
-    upper = {(i, j): F.covar_samp(x[i], x[j]) for i in range(channels) for j in range(i, channels)}
-    own = trials.groupBy("trial_id", "class", "band").agg(F.count("*").alias("n"), *[v.alias(f"c{i}_{j}") for (i, j), v in upper.items()]).where("n > 1")
-    return averaged(own.select("class", "band", F.array(*[f"c{min(i, j)}_{max(i, j)}" for i in range(channels) for j in range(channels)]).alias("cov")))
+    return averaged(filterbank.raw_covariances(trials, channels))
 
 
 def averaged(cov: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewave.operators import filterbank, models
@@ -15,11 +15,9 @@ _SCALES = (1.0, 1e-3, 100.0, 100.0)
 
 def trials(spark: SparkSession, sf: str, least_rows: int = 2) -> DataFrame:
     """(trial_id, class, seq, x): the line items of two flags, a trial for each supplier and flag of at least ``least_rows`` rows."""
-    w = tables.wide(spark, sf).where("class in ('A', 'R')")
-    own = Window.partitionBy("signal_id", "class")
-    numbered = w.withColumns({"row": F.row_number().over(own.orderBy("seq")) - 1, "n": F.count("*").over(own)}).where(F.col("n") >= least_rows)
+    rows = tables.trial_rows(spark, sf, ("A", "R")).where(F.col("n") >= least_rows)
     x = F.array(*[F.col(c) * s for c, s in zip(tables.CHANNELS, _SCALES)])
-    return numbered.select((F.col("signal_id") * 2 + (F.col("class") == "R").cast("long")).alias("trial_id"), "class", F.col("row").cast("long").alias("seq"), x.alias("x"))
+    return rows.select((F.col("signal_id") * 2 + (F.col("class") == "R").cast("long")).alias("trial_id"), "class", "seq", x.alias("x"))
 
 
 _x = ", ".join(f"l_{c} * {s} AS x{i}" for i, (c, s) in enumerate(zip(("quantity", "extendedprice", "discount", "tax"), _SCALES)))

@@ -615,13 +615,10 @@ def topk_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def _trials(spark: SparkSession, sf: str) -> DataFrame:
     """Line items of two flags as trials of four channels, two bands of trailing means; a trial for each supplier and flag of more than 8 rows."""
-    w = tables.wide(spark, sf).where("class in ('A', 'R')")
-    over = Window.partitionBy("signal_id", "class").orderBy("seq")
-    base = w.select((F.col("signal_id") * 2 + (F.col("class") == "R").cast("long")).alias("trial_id"), "class", "seq", *[(F.col(c) * s).alias(c) for c, s in zip(tables.CHANNELS, (1.0, 1e-3, 100.0, 100.0))], *[F.avg(c).over(over.rowsBetween(-3, 0)).alias(f"m_{c}") for c in tables.CHANNELS])
-    raw = base.select("trial_id", "class", F.lit(0).alias("band"), "seq", F.array(*tables.CHANNELS).alias("x"))
-    slow = base.select("trial_id", "class", F.lit(1).alias("band"), "seq", F.array(*[f"m_{c}" for c in tables.CHANNELS]).alias("x"))
-    long_enough = base.groupBy("trial_id").agg(F.count("*").alias("n")).where("n > 8").select("trial_id")
-    return raw.unionByName(slow).join(long_enough, "trial_id", "left_semi")
+    w = tables.trial_rows(spark, sf, ("A", "R"), 4).where("n > 8 and signal_id is not null")
+    raw = F.array(*[F.col(c) * s for c, s in zip(tables.CHANNELS, (1.0, 1e-3, 100.0, 100.0))])
+    bands = F.posexplode(F.array(raw, F.array(*[f"m_{c}" for c in tables.CHANNELS]))).alias("band", "x")
+    return w.select((F.col("signal_id") * 2 + (F.col("class") == "R").cast("long")).alias("trial_id"), "class", "seq", bands).select("trial_id", "class", "band", "seq", "x")
 
 
 @query("csp_cov_cells")
@@ -637,13 +634,13 @@ def csp_cov(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fbcsp_extract")
 def fbcsp_extract(spark: SparkSession, sf: str) -> DataFrame:
-    cov = tables.stored(filterbank.raw_covariances(_trials(spark, sf)), "covariances")
+    cov = tables.stored(filterbank.raw_covariances(_trials(spark, sf), len(tables.CHANNELS)), "covariances")
     return models.FBCSP.fit_covariances(cov).transform_covariances(cov)
 
 
 @query("fbcsp_json")
 def fbcsp_json(spark: SparkSession, sf: str) -> DataFrame:
-    cov = tables.stored(filterbank.raw_covariances(_trials(spark, sf)), "covariances")
+    cov = tables.stored(filterbank.raw_covariances(_trials(spark, sf), len(tables.CHANNELS)), "covariances")
     return models.FBCSP.from_json(models.FBCSP.fit_covariances(cov).to_json()).transform_covariances(cov)
 
 

@@ -62,6 +62,15 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("signal_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "class", *CHANNELS)
 
 
+def trial_rows(spark: SparkSession, sf_dir: str, classes: tuple[str, ...], back: int = 0) -> DataFrame:
+    """Rows of ``wide`` of some classes, a trial for each signal and class: ``seq`` counts within the trial, ``n`` are its rows, ``m_`` the means of each channel's last ``back`` rows. One sort does it."""
+    own = Window.partitionBy("signal_id", "class")
+    order = own.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    df = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin(*classes)).select(F.col("l_suppkey").alias("signal_id"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("class"), *CHANNELS)
+    means = [F.avg(c).over(order.rowsBetween(1 - back, 0)).alias(f"m_{c}") for c in CHANNELS] if back else []
+    return df.select("signal_id", "class", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.count("*").over(own).alias("n"), *CHANNELS, *means)
+
+
 def melt(df: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
     """Wide rows as long samples."""
     return df.unpivot(["signal_id", "seq", "class"], list(channels), "channel", "value")

@@ -43,3 +43,16 @@ def test_mean_covariances_gather_no_trial(spark):
     for r in found.collect():
         expected = np.mean([np.cov(x[t, r["band"]].T).ravel() for t in range(6) if "AR"[t % 2] == r["class"]], axis=0)
         assert np.allclose(r["cov"], expected)
+
+
+def test_machines_are_fitted_side_by_side(spark):
+    """The classes of a one-against-rest classifier do not wait for each other; predictions are those of one after another."""
+    pipeline = models.classifier("svm", max_iter=5)
+    one = pipeline.getStages()[1]
+    assert one.getParallelism() == models.MACHINES > 1
+    rng = np.random.default_rng(2)
+    rows = [(i, str(i % 3), (rng.normal(size=4) + 3 * (np.arange(4) == i % 3)).tolist()) for i in range(90)]
+    f = models._prepared(spark.createDataFrame(rows, "row_id long, class string, x array<double>").repartition(2)).cache()
+    found = [[r["prediction"] for r in p.fit(f).transform(f).orderBy("row_id").collect()] for p in (pipeline, models.Pipeline(stages=[pipeline.getStages()[0], one.copy({one.parallelism: 1})]))]
+    f.unpersist()
+    assert found[0] == found[1]

@@ -20,6 +20,10 @@ from tidewave.functions import kernels
 from tidewave.operators import filterbank
 
 
+#: Machines of a one-against-rest classifier that are fitted at a time, each with a copy of the features in executors' memory or on disk.
+MACHINES = 4
+
+
 def concat_classes(*parts: DataFrame) -> DataFrame:
     """Rows of all parts (row_id, class, x), each class together, parts in order inside a class."""
     first, *rest = [p.select(F.lit(i).alias("part"), "row_id", "class", "x") for i, p in enumerate(parts)]
@@ -51,7 +55,7 @@ def classifier(kind: str, **options: object) -> Pipeline:
     index = StringIndexer(inputCol="class", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
     model = {
         "logreg": lambda: LogisticRegression(maxIter=options.get("max_iter", 50), regParam=options.get("reg", 0.01), elasticNetParam=options.get("l1_ratio", 0.0), standardization=False),
-        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=options.get("max_iter", 30), regParam=options.get("reg", 0.01))),
+        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=options.get("max_iter", 30), regParam=options.get("reg", 0.01)), parallelism=MACHINES),
         "rf": lambda: RandomForestClassifier(numTrees=options.get("trees", 20), maxDepth=min(30, options.get("depth", 5)), impurity=options.get("criterion", "gini"), seed=options.get("seed", 7)),
     }[kind]()
     return Pipeline(stages=[index, model])

@@ -16,8 +16,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.functions import kernels
+from tidewave.functions import densities, kernels
 from tidewave.operators import filterbank
+from tidewave.sources.tables import stored
 
 
 #: Machines of a one-against-rest classifier that are fitted at a time, each with a copy of the features in executors' memory or on disk.
@@ -195,10 +196,6 @@ def compare_models(kinds: Sequence[str], features: DataFrame, folds: int = 3, **
 # ---- filter-bank common spatial patterns -------------------------------------------------
 
 
-#: Trials on which FBCSP selects its features; its filters come from all.
-MOST_TRIALS = 2000
-
-
 @dataclass
 class FBCSP:
     """Filters of each band (rows: components) and the selected features (band, index)."""
@@ -215,7 +212,7 @@ class FBCSP:
 
     @classmethod
     def fit_covariances(cls, cov: DataFrame, m: int = 2, n_features: int = 4) -> FBCSP:
-        """``cov``: (trial_id, class, band, cov), read twice; exactly two classes."""
+        """``cov``: (trial_id, class, band, cov), read twice; exactly two classes. Filters and selection come from all trials."""
         rows = averaged(cov).collect()  # channels squared for each class and band
         classes = sorted({r["class"] for r in rows})
         if len(classes) != 2:
@@ -223,14 +220,9 @@ class FBCSP:
         by = {(r["class"], r["band"]): np.array(r["cov"]).reshape(int(len(r["cov"]) ** 0.5), -1) for r in rows}
         filters = {b: kernels.csp(by[classes[0], b], by[classes[1], b]) for b in sorted({b for _, b in by})}
         model = cls(classes, filters, [], m)
-        # the windows compare every two trials: features are selected on a bounded sample of trials
-        some = cov.select("trial_id").distinct().orderBy(F.xxhash64("trial_id"), "trial_id").limit(MOST_TRIALS)
-        found = model._all_features(cov.join(some, "trial_id", "left_semi")).toPandas()
-        label = (found["class"] == classes[0]).to_numpy()
-        table = np.stack(found["f"].tolist())
-        score = [_mutual_information(table[:, j], label) for j in range(table.shape[1])]
+        score = mutual_information(stored(model._all_features(cov), "features"), classes)
         bands, own = sorted(filters), 2 * m
-        best = sorted(range(len(score)), key=lambda j: (-score[j], j))[:n_features]
+        best = sorted(score, key=lambda j: (-round(score[j], 10), j))[:n_features]  # the order of the sums doesn't decide
         both = {*best, *(j // own * own + own - 1 - j % own for j in best)}
         model.selected = [(bands[j // own], j % own) for j in sorted(both)]
         return model
@@ -286,18 +278,67 @@ def averaged(cov: DataFrame) -> DataFrame:
     return means.groupBy("class", "band").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).select("class", "band", F.transform("c", lambda r: r["v"]).alias("cov"))
 
 
-def _mutual_information(x: np.ndarray, label: np.ndarray) -> float:
-    """Between a feature and a binary label, with Parzen windows (Ang et al. 2008)."""
+def mutual_information(features: DataFrame, classes: list[str]) -> dict[int, float]:
+    """Between each of the features ``f`` (read three times) and the two ``classes``, with Parzen windows over all rows (Ang et al. 2008).
+
+    A value that is not finite has no window and is left out for its feature. The driver holds a few numbers for each
+    cell of a window's width (``densities``), however many rows there are.
+    """
+    values = features.select("class", F.posexplode("f").alias("j", "v")).where(F.abs("v") < float("inf"))
+    found = {(r["j"], classes.index(r["class"])): (r["n"], r["s"]) for r in values.groupBy("class", "j").agg(F.count("*").alias("n"), F.stddev_pop("v").alias("s")).collect()}
+    width = {key: float(densities.bandwidth(s, n)) for key, (n, s) in found.items()}
+    cells = {key: densities.spread(*c) for key, c in _moments(features, classes, width).items()}
+    shared = features.sparkSession.sparkContext.broadcast(cells)
+    size = max((j for j, _ in found), default=-1) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for j, x in enumerate(_table(batch).T[:size]):
+                x = x[np.isfinite(x)]
+                a, b = (densities.at(x, width[j, k], *shared.value[j, k]) / width[j, k] if (j, k) in width else np.zeros(len(x)) for k in (0, 1))
+                total[j] += _entropy(a / np.maximum(a + b, 1e-300)).sum()
+        yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], ["e"])
+
+    entropy = np.sum([np.array(r["e"]) for r in features.select("f").mapInArrow(run, "e array<double>").collect()], axis=0)  # a row for each task
+    shared.unpersist()
+    counts = np.array([[found.get((j, k), (0, 0))[0] for k in (0, 1)] for j in range(size)]).reshape(size, 2)
+    rows = np.maximum(1, counts.sum(1))
+    return {j: float(_entropy(counts[j, 0] / rows[j]) - entropy[j] / rows[j]) for j in range(size)}
+
+
+def _entropy(q: np.ndarray | float) -> np.ndarray | float:
+    q = np.clip(q, 1e-12, 1 - 1e-12)
+    return -(q * np.log(q) + (1 - q) * np.log(1 - q))
+
+
+def _table(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows by features."""
+    return batch["f"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
 
-    def density(points: np.ndarray) -> np.ndarray:
-        h = max(1e-9, points.std() * (4 / (3 * max(2, len(points)))) ** 0.2)
-        return np.exp(-((x[:, None] - points[None]) ** 2) / (2 * h * h)).mean(1) / h
 
-    prior = label.mean()
-    a, b = density(x[label]) * prior, density(x[~label]) * (1 - prior)
-    p = np.clip(a / np.maximum(a + b, 1e-300), 1e-12, 1 - 1e-12)
-    entropy = lambda q: -(q * np.log(q) + (1 - q) * np.log(1 - q))
-    return float(entropy(np.clip(prior, 1e-12, 1 - 1e-12)) - entropy(p).mean())
+def _moments(features: DataFrame, classes: list[str], width: dict[tuple[int, int], float]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """For each feature and class the cells that hold values, with their moments: each task sums its own rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label = batch["class"].to_numpy(zero_copy_only=False)
+            tables = [_table(batch)[label == c] for c in classes]
+            for key, h in width.items():
+                x = tables[key[1]][:, key[0]]
+                own = densities.summed(*densities.placed(x[np.isfinite(x)], h))
+                held[key] = densities.summed(*map(np.concatenate, zip(held[key], own))) if key in held else own
+        for (j, k), (cell, terms) in held.items():
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cell) + 1, dtype=np.int32) * densities.TERMS), pa.array(terms.ravel()))
+            yield pa.record_batch([pa.array(np.full(len(cell), j, np.int32)), pa.array(np.full(len(cell), k, np.int32)), pa.array(cell), lists], ["j", "k", "cell", "m"])
+
+    parts = features.mapInArrow(run, "j int, k int, cell long, m array<double>")
+    total = parts.groupBy("j", "k", "cell").agg(*[F.sum(F.get("m", F.lit(i))).alias(f"m{i}") for i in range(densities.TERMS)]).toPandas()
+    m = total[[f"m{i}" for i in range(densities.TERMS)]].to_numpy()
+    return {key: (total["cell"].to_numpy()[at], m[at]) for key, at in total.groupby(["j", "k"]).indices.items()}
 
 
 def top_features(scores: DataFrame, n: int, m: int) -> DataFrame:

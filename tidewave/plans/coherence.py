@@ -125,7 +125,7 @@ def reref_ransac(spark: SparkSession, sf: str) -> DataFrame:
     return ransac.referenced(tables.samples(spark, sf), PLACES, ransac.Consensus(window=4, share=0.6)).select("signal_id", "channel", "seq", "value", "bad")
 
 
-def _repaired(spark: SparkSession, sf: str, method: str, rounds: int) -> DataFrame:
+def _repaired(spark: SparkSession, sf: str, method: str, rounds: int | None = None) -> DataFrame:
     w = tables.wide(spark, sf)
     rows = w.select("signal_id", "seq", F.array(*[F.col(c).cast("double") for c in tables.CHANNELS]).alias("x"))
     return ica.repaired(rows, method, rounds=rounds).select("signal_id", "seq", *[F.col("x")[i].alias(c) for i, c in enumerate(tables.CHANNELS)])
@@ -139,4 +139,5 @@ def ica_repair_picard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ica_repair_infomax")
 def ica_repair_infomax(spark: SparkSession, sf: str) -> DataFrame:
-    return _repaired(spark, sf, "infomax", 40)
+    """As ``ica_repair_picard``; every signal goes on until its gradient is small."""
+    return _repaired(spark, sf, "infomax")
